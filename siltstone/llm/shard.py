@@ -81,33 +81,28 @@ def cuts(keyed: DataFrame, shards: int, cells: int = 1 << 14) -> tuple[int, list
     rows = _cells(keyed, bits)
     if not rows:
         return 0, [1 << KEY_BITS] * (shards - 1)
-    now = Cells(*zip(*((r["key"] if r["single"] else r["cell"] << bits, bits, r["size"], r["single"]) for r in rows), strict=True))
+    now = Cells(*zip(*((r["key"] if r["single"] else r["cell"] << bits, 0 if r["single"] else bits, r["size"], r["single"]) for r in rows), strict=True))
     while True:
         low, high = now.smallest(shards, whole=False), now.smallest(shards, whole=True)
         late, early = now.fill(high, shards, whole=False), _pushed(now, low, shards)
         first = np.maximum(np.searchsorted(now.before, early, "right") - 1, 0)
         last = np.minimum(np.searchsorted(now.before, late, "right") - 1, len(now.size) - 1)
-        unsure = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]))
-        unsure = unsure[~now.single[unsure]]
-        if not len(unsure):
+        inside = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)]))
+        if now.single[inside].all():
             ends = now.fill(high, shards, whole=True)
             starts = np.searchsorted(now.before, ends[:-1], "left")
             return high, [int(now.first[k]) if k < len(now.first) else 1 << KEY_BITS for k in starts]
-        # split the cells where a cut can fall; neighbouring ranges are asked for together
-        more = max(1, (cells // len(unsure)).bit_length() - 1)
-        bits = max(0, int(now.bits[unsure].min()) - more)
-        asked = None
-        for run in np.split(unsure, np.flatnonzero(np.diff(unsure) > 1) + 1):
-            span = F.col("key").between(int(now.first[run[0]]), int(now.first[run[-1]]) + (1 << int(now.bits[run[-1]])) - 1)
-            asked = span if asked is None else asked | span
+        # make the windows in which a cut can fall anew from finer cells; there are at most as many windows as shards
+        more = max(1, (cells // len(inside)).bit_length() - 1)
+        bits = max(0, int(now.bits[inside][~now.single[inside]].min()) - more)
+        asked = F.lit(False)
+        for run in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1):
+            asked = asked | F.col("key").between(int(now.first[run[0]]), int(now.first[run[-1]]) + (1 << int(now.bits[run[-1]])) - 1)
         fine = _cells(keyed.where(asked), bits)
-        kept = np.setdiff1d(np.arange(len(now.size)), unsure)
-        # a cell of one group within an asked run comes back as well; it stays as it was
-        known = set(now.first[kept][now.single[kept]].tolist())
-        fine = [r for r in fine if not (r["single"] and r["key"] in known)]
+        kept = np.setdiff1d(np.arange(len(now.size)), inside)
         now = Cells(
             [*now.first[kept].tolist(), *(r["key"] if r["single"] else r["cell"] << bits for r in fine)],
-            [*now.bits[kept].tolist(), *[bits] * len(fine)],
+            [*now.bits[kept].tolist(), *(0 if r["single"] else bits for r in fine)],
             [*now.size[kept].tolist(), *(r["size"] for r in fine)],
             [*now.single[kept].tolist(), *(r["single"] for r in fine)],
         )
