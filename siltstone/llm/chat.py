@@ -24,9 +24,10 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from . import common
 
@@ -350,9 +351,9 @@ def _ordered(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> Dat
     return rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
 
 
-def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Iterator[dict]]]:
+def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[dict]]]:
     """(conversation, its messages one by one) of sorted rows; the messages must be read before the next conversation."""
-    rows = ((None if pd.isna(c) else c, r, t) for b in batches for c, r, t in zip(b["conv"], b["role"], b["text"], strict=True))
+    rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("conv", "role", "text")), strict=True))
     ahead = next(rows, None)
 
     def messages(conv) -> Iterator[dict]:
@@ -369,14 +370,15 @@ def _conversations(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[object, It
 def format_conversations(rows: DataFrame, template: str = DEFAULT, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, formatted text and loss spans (start, end in code points) of every conversation."""
     parse(template)
-    kind = rows.schema[conv].dataType.simpleString()
+    schema = f"conv_id {rows.schema[conv].dataType.simpleString()}, formatted string, loss_spans array<struct<start: long, end: long>>"
+    form = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         for key, messages in _conversations(batches):
             out, spans = render(template, {"messages": messages})
-            yield pd.DataFrame({"conv_id": pd.Series([key], dtype=object), "formatted": [out], "loss_spans": [[{"start": a, "end": b} for a, b in spans]]})
+            yield pa.RecordBatch.from_pylist([{"conv_id": key, "formatted": out, "loss_spans": [{"start": a, "end": b} for a, b in spans]}], form)
 
-    return _ordered(rows, conv, turn, role, text).mapInPandas(run, f"conv_id {kind}, formatted string, loss_spans array<struct<start: long, end: long>>")
+    return _ordered(rows, conv, turn, role, text).mapInArrow(run, schema)
 
 
 def digests(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -385,8 +387,8 @@ def digests(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     conv_id, n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars, loss_sha256 (the unescaped
     text under the loss mask), formatted_chars. Only one turn of a conversation is held at a time.
     """
-    kind = rows.schema[conv].dataType.simpleString()
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    schema = f"conv_id {rows.schema[conv].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    form = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         out = []
@@ -396,13 +398,11 @@ def digests(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
                 turns.update(f"{read_role}\n{read_text}\n".encode())
                 loss.update(masked.encode())
                 n, loss_chars, chars = n + 1, loss_chars + len(masked), chars + length
-            out.append((key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+            out.append(dict(zip(form.names, (key, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars), strict=True)))
             if len(out) >= 5000:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": object})
+                yield pa.RecordBatch.from_pylist(out, form)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=names).astype({"conv_id": object})
+            yield pa.RecordBatch.from_pylist(out, form)
 
-    return _ordered(rows, conv, turn, role, text).mapInPandas(
-        run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )
+    return _ordered(rows, conv, turn, role, text).mapInArrow(run, schema)
