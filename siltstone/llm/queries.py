@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, dedup, near, shard, tokencount, toxicity
+from . import bpe, chat, decontam, dedup, license, near, quality, shard, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +35,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), ~toxicity.held_out("id"))
+    return quality.score(docs, model)
+
+
 def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard.place(_table(spark, sf_dir, "documents"), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -50,7 +60,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out("doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_exact_dedup, op4_chat_format, op5_token_counts, op7_minimax_shards, op8_near_dedup, op9_bpe, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan,
+        op2_decontamination,
+        op3_exact_dedup,
+        op4_chat_format,
+        op5_token_counts,
+        op6_quality,
+        op7_minimax_shards,
+        op8_near_dedup,
+        op9_bpe,
+        op10_toxicity,
+    )
+}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
