@@ -53,6 +53,8 @@ class Deduplicator:
         session = self.spark.newSession()
         session.conf.set("spark.sql.shuffle.partitions", self.spark.conf.get("spark.sql.shuffle.partitions"))
         session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        # many small stores: don't reserve some MB of disk for the logs of each
+        session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
         arrived = (
             session.readStream.schema(prints.schema)
             .option("maxFilesPerTrigger", files_a_batch)
@@ -110,20 +112,15 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     return plain.join(odd.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left_anti").unionByName(fixed)
 
 
-def _collisions(rows: DataFrame, grouped: DataFrame, salts: int = 64) -> DataFrame:
-    """Digests of which some row's full normalised bytes differ from those of the row that stays.
+def _collisions(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Digests of which the rows' full normalised bytes are not all the same.
 
-    Only hits are read again. Rows of a digest are dealt by `salts` salts of their identifier; the one row that stays
-    is sent to each salt in use, so a digest with very many rows meets in no single task.
+    The content of hits and of the rows that stay is found by the locator. Whether all bytes of a digest are equal is
+    an aggregate, combined before the shuffle, so a digest with very many rows meets in no single task.
     """
-    hits = grouped.where("n > 1").withColumn("salt", F.when(F.col("n") > salts, F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(0))
-    texts = rows.join(hits.select("id", "digest", "keep_id", "n", "salt"), "id").withColumn("bytes", normalised(F.col("text")))
-    texts = texts.select("id", "digest", "keep_id", "n", "salt", "bytes")
-    stays = texts.where(F.col("id") == F.col("keep_id")).select(
-        "digest", F.explode(F.when(F.col("n") > salts, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"), F.col("bytes").alias("kept_bytes")
-    )
-    others = texts.where(F.col("id") != F.col("keep_id")).select("digest", F.col("salt").cast("int").alias("salt"), "bytes")
-    return others.join(stays, ["digest", "salt"]).where(F.col("bytes") != F.col("kept_bytes")).select("digest").distinct()
+    hits = grouped.where("n > 1").select("id", "digest")
+    texts = rows.join(hits, "id").select("digest", normalised(F.col("text")).alias("bytes"))
+    return texts.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where("least <> most").select("digest")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
