@@ -774,3 +774,6 @@ def natural_sort_keys(spark, d):
 def windowed_events(spark, d):
     out = rounded(frames.windowed_stats(load(spark, d, "events"), "ts", "event_type", "value"))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from . import catalogue_materials  # noqa: E402, F401  registers its queries
