@@ -498,7 +498,7 @@ def coordination_numbers(spark, d):
 @query(_PAIRS + """
     , n AS (SELECT "group", count(*) AS n_sites FROM s GROUP BY 1),
     h AS (SELECT "group", floor(distance / 0.1 + 1e-9)::BIGINT AS bin, count(*) AS n FROM p WHERE distance > 0 GROUP BY 1, 2)
-    SELECT "group", bin, round((bin + 0.5) * 0.1, 6) AS r, n, round(n / (n_sites * (n_sites / 64.0) * 4 / 3 * pi() * (((bin + 1) * 0.1) ** 3 - (bin * 0.1) ** 3)), 6) AS g
+    SELECT "group", bin, round((bin + 0.5)::DOUBLE * 0.1, 6)::DOUBLE AS r, n, round(n / (n_sites * (n_sites / 64.0) * 4 / 3 * pi() * (((bin + 1) * 0.1) ** 3 - (bin * 0.1) ** 3)), 6) AS g
     FROM h JOIN n USING ("group") WHERE bin < 8
 """)
 def pair_distribution(spark, d):
@@ -660,7 +660,9 @@ def _binary(spark, d):
 
 @query("""
     WITH e AS (SELECT p_brand, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 0.0 WHEN p_partkey % 5 = 1 THEN 1.0 ELSE p_size / 50.0 END::DOUBLE AS b, p_retailprice % 97 AS energy FROM part),
-    l AS (SELECT p_brand, b, min(energy) AS m FROM e GROUP BY 1, 2),
+    k AS (SELECT p_brand, b, energy FROM e UNION ALL
+        SELECT p_brand, c, 0.0 FROM (SELECT DISTINCT p_brand FROM e), (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) v(c) WHERE (p_brand, c) NOT IN (SELECT p_brand, b FROM e)),
+    l AS (SELECT p_brand, b, min(energy) AS m FROM k GROUP BY 1, 2),
     h AS (SELECT t.p_brand, t.b, min(CASE WHEN r.b = f.b THEN f.m ELSE f.m + (r.m - f.m) * (t.b - f.b) / (r.b - f.b) END) AS hull
         FROM l t JOIN l f ON f.p_brand = t.p_brand AND f.b <= t.b JOIN l r ON r.p_brand = t.p_brand AND r.b >= t.b WHERE r.b > f.b OR f.b = t.b GROUP BY 1, 2)
     SELECT p_brand, p_partkey, round(greatest(energy - hull, 0), 6) AS e_above_hull FROM e JOIN h USING (p_brand, b)
@@ -719,7 +721,7 @@ def strip_html(spark, d):
 
 
 @query("""
-    SELECT * FROM (VALUES ('1.5', 1.5), ('<b>2</b>', 2.0), ('3.25 ± 0.5', 3.25), ('4(2)', 4.0), ('−7', -7.0), ('1e3', 1000.0), ('12 kg', NULL), ('', NULL), ('NaN', NULL), ('5 +- 1', 5.0), ('1d', NULL)) t(cell, number)
+    SELECT cell, number::DOUBLE AS number FROM (VALUES ('1.5', 1.5), ('<b>2</b>', 2.0), ('3.25 ± 0.5', 3.25), ('4(2)', 4.0), ('−7', -7.0), ('1e3', 1000.0), ('12 kg', NULL), ('', NULL), ('NaN', NULL), ('5 +- 1', 5.0), ('1d', NULL)) t(cell, number)
 """)
 def parse_numeric_text(spark, d):
     cells = ["1.5", "<b>2</b>", "3.25 ± 0.5", "4(2)", "−7", "1e3", "12 kg", "", "NaN", "5 +- 1", "1d"]
@@ -742,7 +744,7 @@ def chem_sys_counts(spark, d):
     return rows.groupBy(formula.chemical_system("formula").alias("system")).agg(F.count("*").cast("int").alias("count"))
 
 
-@query("SELECT * FROM (VALUES ('Fe2O3', 'Fe', 0.4), ('Fe2O3', 'O', 0.6), ('LiFePO4', 'Fe', 0.142857), ('LiFePO4', 'Li', 0.142857), ('LiFePO4', 'O', 0.571429), ('LiFePO4', 'P', 0.142857)) t(formula, element, fraction)")
+@query("SELECT formula, element, fraction::DOUBLE AS fraction FROM (VALUES ('Fe2O3', 'Fe', 0.4), ('Fe2O3', 'O', 0.6), ('LiFePO4', 'Fe', 0.142857), ('LiFePO4', 'Li', 0.142857), ('LiFePO4', 'O', 0.571429), ('LiFePO4', 'P', 0.142857)) t(formula, element, fraction)")
 def fractional_composition(spark, d):
     rows = spark.createDataFrame([("Fe2O3",), ("LiFePO4",)], "formula string")
     parsed = rows.withColumn("amounts", formula.parse_formula("formula"))

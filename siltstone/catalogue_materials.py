@@ -298,7 +298,7 @@ def temperatures_and_categories(spark, d):
     return rounded(rows.select("event_id", phases.convert_temperature(F.col("value"), "F", "C").alias("celsius"), phases.category(F.col("user_id") % 6).alias("kind")))
 
 
-@query("SELECT * FROM (VALUES ('s', 'a', 0.0, -2.0), ('s', 'a', 0.0, -10.0), ('s', 'ab', -2.0, 0.0), ('s', 'ab', 0.0, -2.0), ('s', 'b', -2.0, 0.0), ('s', 'b', -10.0, 0.0)) t(system, entry, mu_a, mu_b)")
+@query("SELECT system, entry, mu_a::DOUBLE AS mu_a, mu_b::DOUBLE AS mu_b FROM (VALUES ('s', 'a', 0.0, -2.0), ('s', 'a', 0.0, -10.0), ('s', 'ab', -2.0, 0.0), ('s', 'ab', 0.0, -2.0), ('s', 'b', -2.0, 0.0), ('s', 'b', -10.0, 0.0)) t(system, entry, mu_a, mu_b)")
 def stability_domains(spark, d):
     rows = spark.createDataFrame([("s", "a", 1.0, 0.0, 0.0), ("s", "b", 0.0, 1.0, 0.0), ("s", "ab", 0.5, 0.5, -1.0)], "system string, entry string, a double, b double, e double")
     return phases.stability_domains(rows, "system", "entry", ["a", "b"], "e")

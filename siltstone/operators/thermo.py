@@ -42,17 +42,17 @@ def formation_energy(entries: DataFrame, refs: DataFrame, entry: str = "entry_id
 def hull_energies(points: np.ndarray, energies: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
     """For each point (fractions that sum to 1), the lowest energy of mixtures of points with the same composition.
 
-    The simplex method, with the lowest pure points as the first basis; NaN where a pure point lacks.
+    The simplex method, with the lowest pure points as the first basis; a pure point that lacks is taken at energy 0.
     """
     n, d = points.shape
+    lacking = np.eye(d)[[k for k in range(d) if not (points[:, k] > 1 - 1e-9).any()]]
+    points, energies = np.vstack([points, lacking]), np.concatenate([energies, np.zeros(len(lacking))])
     pure = [np.flatnonzero(points[:, k] > 1 - 1e-9) for k in range(d)]
-    if any(not len(x) for x in pure):
-        return np.full(n, np.nan)
     start = [int(x[energies[x].argmin()]) for x in pure]
     out = np.empty(n)
     for i in range(n):
         basis = list(start)
-        for _ in range(50 * d + n):
+        for _ in range(50 * d + len(points)):
             b = points[basis].T
             prices = np.linalg.solve(points[basis], energies[basis])
             gain = energies - points @ prices

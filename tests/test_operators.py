@@ -79,8 +79,8 @@ def test_hull_against_brute_force():
         assert abs(hull[i] - best) < 1e-8
 
 
-def test_hull_without_references_is_unknown():
-    assert np.isnan(thermo.hull_energies(np.array([[0.5, 0.5]]), np.array([1.0]))).all()
+def test_hull_takes_lacking_corners_at_zero():
+    assert thermo.hull_energies(np.array([[0.5, 0.5], [0.25, 0.75]]), np.array([1.0, -1.0])).tolist() == pytest.approx([-2 / 3, -1.0])
 
 
 @pytest.mark.parametrize(
