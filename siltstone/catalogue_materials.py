@@ -59,15 +59,15 @@ def reciprocal_lattice(spark, d):
 
 
 _LEAST_MOST = "2 * sin(radians(5.0)) / 1.54184", "2 * sin(radians(25.0)) / 1.54184"
-_POINTS = _quoted(f"""{_CELLS.replace('FROM embeddings', 'FROM embeddings WHERE vec_id % 50 = 0')}, r AS ({_RECIPROCAL}),
-    n AS (SELECT vec_id, (x.range - 12)::INTEGER AS h, (y.range - 12)::INTEGER AS k, (z.range - 12)::INTEGER AS l, r.* EXCLUDE vec_id FROM r, range(25) x, range(25) y, range(25) z),
+_POINTS = _quoted(f"""{_CELLS}, r AS ({_RECIPROCAL}),
+    n AS (SELECT vec_id, (x.range - 7)::INTEGER AS h, (y.range - 7)::INTEGER AS k, (z.range - 7)::INTEGER AS l, r.* EXCLUDE vec_id FROM r, range(15) x, range(15) y, range(15) z),
     g AS (SELECT vec_id, h, k, l, sqrt((h * ax + k * bx + l * cx) ** 2 + (h * ay + k * by + l * cy) ** 2 + (h * az + k * bz + l * cz) ** 2) AS g FROM n),
     p AS (SELECT vec_id, h, k, l, g, 2 * degrees(asin(g * 1.54184 / 2)) AS two_theta FROM g WHERE g > 1e-12 AND g BETWEEN {_LEAST_MOST[0]} AND {_LEAST_MOST[1]})
 """)
 
 
 def _points(spark, d):
-    return crystal.reflections(_cells(spark, d).where("vec_id % 50 = 0"), "vec_id", 1.54184, (10.0, 50.0))
+    return crystal.reflections(_cells(spark, d), "vec_id", 1.54184, (10.0, 50.0))
 
 
 @query(_POINTS + "SELECT vec_id, h, k, l, round(g, 6) AS g, round(two_theta, 5) AS two_theta FROM p")
