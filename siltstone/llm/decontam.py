@@ -151,23 +151,28 @@ class Items:
         return done
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_chars: int) -> Iterator[tuple[list, list]]:
+    """(ids, texts) of the benchmark in blocks of about `block_chars` characters; at least one block."""
+    items = common.own_columns(benchmark, id=item_col, text=item_text).where(F.char_length("text") > 0)
+    blocks = 1 + (items.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0) // block_chars
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
+        yield [r["id"] for r in part], [r["text"] for r in part]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 10, rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, edits, first_char, last_char of every document and item of which it holds a passage.
 
-    Blocks hold about `block_chars` characters of items each, so what is sent to the tasks doesn't grow with the benchmark.
+    What is sent to the tasks is one block of items, so it doesn't grow with the benchmark.
     """
-    spark = docs.sparkSession
-    items = common.own_columns(benchmark, id=item_col, text=item_text).where(F.char_length("text") > 0)
-    blocks = 1 + (items.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0) // block_chars
     rows = common.own_columns(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
     found = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
-        sent = spark.sparkContext.broadcast(([r["id"] for r in part], [r["text"] for r in part], q, rate))
+    for block in _blocks(benchmark, item_col, item_text, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            index = Items(*sent.value)
+            index = Items(*sent.value, q, rate)
             for batch in common.slices(batches):
                 hits = list(index.find(*common.text_buffers(batch.column("text"))))
                 d, *rest = zip(*hits, strict=True) if hits else ((),) * 5
@@ -179,7 +184,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return found.withColumnRenamed("id", id_col)
 
 
-def remove_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that hold no benchmark passage, with all their columns."""
-    bad = common.cut(find_leaks(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_bad_id")).distinct())
-    return docs.join(bad, docs[f"`{id_col}`"] == bad["_bad_id"], "left_anti")
+def remove_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 10, rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
+    """The rows that hold no benchmark passage, with all their columns; rows are tested where they lie, without a join."""
+    for block in _blocks(benchmark, item_col, item_text, block_chars):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent):
+            index = Items(*sent.value, q, rate)
+            for batch in common.slices(batches, text_col):
+                keep = np.ones(batch.num_rows, bool)
+                keep[[hit[0] for hit in index.find(*common.text_buffers(batch.column(text_col)))]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

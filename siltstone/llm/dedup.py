@@ -96,6 +96,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     tool.add(prints)
     stored = spark.read.parquet(f"{tool.folder}/arrived")
     grouped = common.cut(common.join_groups(stored, tool.groups(), "digest", "n"))
+    if folder is None:
+        common.discard(spark, tool.folder)
     odd = _collisions(rows, grouped)
     plain = grouped.select(
         F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256")

@@ -18,6 +18,7 @@ fewer than five words has one shingle, the whole sequence; repeated rows are in
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -38,6 +39,29 @@ _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 _MULTIPLIERS = common.mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+@functools.cache
+def _powers(base: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(base))]))
+
+
+def word_hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
+    """Polynomial hashes of the words, from prefix sums over pieces of whole words."""
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + piece, "right")))
+        a, b = int(starts[first]), int(ends[last - 1])
+        n = piece if b - a <= piece else b - a
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum((lower[a:b].astype(np.uint64) + np.uint64(1)) * _powers(int(_R), n)[: b - a])])
+            out[first:last] = (sums[ends[first:last] - a] - sums[starts[first:last] - a]) * _powers(int(_R_INVERSE), n)[starts[first:last] - a]
+        if n > piece:
+            _powers.cache_clear()
+        first = last
+    return common.mix64(out)
+
+
 def shingle_sets(offsets: np.ndarray, raw: np.ndarray) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a buffer."""
     n = len(offsets) - 1
@@ -51,19 +75,16 @@ def shingle_sets(offsets: np.ndarray, raw: np.ndarray) -> list[np.ndarray]:
     starts = np.flatnonzero(~blank & prev_blank)
     next_blank = np.concatenate([blank[1:], [True]]) | first[1:]
     ends = np.flatnonzero(~blank & next_blank) + 1
+    words = word_hashes(lower, starts, ends)
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    bounds = np.searchsorted(owner, np.arange(n + 1))
+    count = max(0, len(words) - SHINGLE + 1)
+    joined = np.zeros(count, np.uint64)
+    sets = []
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(raw) - 1, _R)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((lower.astype(np.uint64) + np.uint64(1)) * powers)])
-        back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(raw) - 1, _R_INVERSE)]))
-        words = common.mix64((sums[ends] - sums[starts]) * back[starts])
-        owner = np.searchsorted(offsets, starts, "right") - 1
-        bounds = np.searchsorted(owner, np.arange(n + 1))
-        count = max(0, len(words) - SHINGLE + 1)
-        joined = np.zeros(count, np.uint64)
         for k in range(SHINGLE):
             joined = joined * _R + words[k : k + count]
         joined = common.mix64(joined)
-        sets = []
         for a, b in zip(bounds, bounds[1:], strict=False):
             if b - a >= SHINGLE:
                 found = np.sort(joined[a : b - SHINGLE + 1])
@@ -111,7 +132,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, items (the sorted hashes of the whole set, 8 bytes each) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=2 << 20):
+        for batch in common.slices(batches):
             sets = shingle_sets(*common.text_buffers(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "items"])
 
@@ -180,18 +201,21 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """id, component (the smallest id reachable) of all ids in the links (x, y), by alternating star contraction."""
     edges = common.cut(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
+    seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # larger neighbours move to the smallest one
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # smaller neighbours and the node itself move to the smallest one
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = common.cut(small)
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
-            return new.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        edges = new
+        small = large.join(lowest, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = common.cut(small.distinct())
+        # a star forest comes back unchanged: the same number of edges with the same sums
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if now == seen:
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+        seen = now
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
