@@ -13,7 +13,7 @@ the most code points stays, then the smallest identifier.
 
 Defined results: a null text counts as empty, and all empty texts are equal; an empty table gives no rows. Identifiers
 are integers; a null one stays only where its group has no other. Rows that repeat an identifier with equal text stay
-or go together.
+or go together; rows without an identifier can't be told apart, so `deduplicate` keeps all of them if one stays.
 """
 
 from __future__ import annotations
@@ -128,4 +128,4 @@ def _collisions(rows: DataFrame, grouped: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """The rows that stay, with all their columns."""
     kept = classify(docs, id_col, text_col, folder).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[f"`{id_col}`"] == kept["_kept_id"], "left_semi")
+    return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]), "left_semi")

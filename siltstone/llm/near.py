@@ -13,7 +13,8 @@ connected costs no more, and no link between components is lost. A candidate pai
 confirmed by the exact sizes of intersection and union.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
-fewer than five words has one shingle, the whole sequence; repeated rows are in one component.
+fewer than five words has one shingle, the whole sequence; repeated rows are in one component. A row with a null identifier
+is in the component of equal sets that have one, else in a component without identifier, and stays then.
 """
 
 from __future__ import annotations
@@ -266,7 +267,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     done = placed.select("id", "n", F.coalesce("component", "node").alias("component"))
     empty = sketched.where("n = 0").select("id", "n", F.col("id").alias("component"))
     return done.unionByName(empty).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
     )
 
 
@@ -286,4 +287,4 @@ def _shingles(sets: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component stays, with all its columns: the one with the smallest id."""
     kept = link(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[f"`{id_col}`"] == kept["_kept_id"], "left_semi")
+    return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]), "left_semi")

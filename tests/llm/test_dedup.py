@@ -98,6 +98,18 @@ def test_near_of_nothing_and_of_empty_texts(spark):
     assert all(r.kept and r.n_shingles == 0 for r in near.link(frame(spark, [(1, None), (2, " ")])).collect())
 
 
+def test_rows_without_identifier_are_not_lost(spark):
+    rows = [(None, "no identifier and no copy of these words"), (1, "has one"), (2, "has  one"), (3, None), (None, "HAS ONE")]
+    for tool in (dedup, near):
+        kept = [(r.doc_id, r.text) for r in tool.deduplicate(frame(spark, rows)).collect()]
+        assert rows[0] in kept and rows[3] in kept
+        assert len([i for i, _ in kept if i in (1, 2)]) == 1
+    exact = {(r.doc_id, r.keep_id, r.kept) for r in dedup.classify(frame(spark, rows[:2])).collect()}
+    assert exact == {(None, None, True), (1, 1, True)}
+    near_rows = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near.link(frame(spark, rows)).collect())
+    assert near_rows == [(0, 0, True), (0, 1, False), (1, 1, True), (2, 1, False), (3, 3, True)]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(5, k) for k in range(10, 60)]
     links = spark.createDataFrame(edges, "x long, y long")
