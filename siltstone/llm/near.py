@@ -1,16 +1,17 @@
 """MinHash near-deduplication with tensored banding, and links confirmed on full sets.
 
-A document's set holds its distinct shingles of five words, as 64-bit hashes. Two small collections of `SIDE` bands of
-`ROWS` minhashes each are computed; a table's key joins a band of the one with a band of the other, so SIDE * SIDE tables
-need only 2 * SIDE * ROWS minhashes. At the least similarity of 0.85 a pair shares no table with probability below 1e-4
-(two independent collections miss with (1 - 0.85**ROWS)**SIDE each).
+A document's set holds its distinct shingles of five words, as 64-bit hashes. Two small collections of `side` bands of
+`ROWS` minhashes each are computed; a table's key joins a band of the one with a band of the other, so side * side tables
+need only 2 * side * ROWS minhashes. The least similarity s of a link and the probability `miss` that a pair at s shares no
+table are parameters, from which `Scheme` derives the number of bands (two independent collections miss with
+(1 - s**ROWS)**side each): 8 a side at 0.85 and 1e-4, 12 a side at 0.8 and 1e-5.
 
 Documents with equal sets are one node. Candidates of a table key are compared in rounds. First every member is compared
 with the key's smallest one; then, for keys whose members still lie in several components, with growing random
 parts of the members, in the end with all of them. Only members of different components are compared, so a key that is
 connected costs no more, and no link between components is lost. A candidate pair whose minhashes agree in less than
-`LEAST_EQUAL` of 32 places is dropped (a true link has so few with probability below 1e-5); all others are
-confirmed by the exact sizes of intersection and union.
+`least_equal` places is dropped (a true link has so few with probability of a tenth of `miss` at most: 17 of 32 places at
+0.85 and 1e-4, 24 of 48 at 0.8 and 1e-5); all others are confirmed by the exact sizes of intersection and union.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
 fewer than five words has one shingle, the whole sequence; repeated rows are in one component. A row with a null identifier
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +34,38 @@ from pyspark.sql import functions as F
 from . import common
 
 SHINGLE = 5
-SIDE, ROWS = 8, 2
-HASHES = 2 * SIDE * ROWS
-LEAST_EQUAL = 17
+ROWS = 2
+#: What a link is unless told otherwise: the least similarity, and how often a pair at it may share no table.
+SIMILARITY, MISS = 0.85, 1e-4
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
-_MULTIPLIERS = common.mix64(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+class Scheme:
+    """Bands, minhashes and tests for links of at least `similarity`, of which a share of `miss` at most is not met."""
+
+    def __init__(self, similarity: float = SIMILARITY, miss: float = MISS):
+        if not 0 < similarity <= 1 or not 0 < miss < 1:
+            raise ValueError("similarity is above 0 and 1 at most, miss is between 0 and 1")
+        least = Fraction(str(similarity))
+        self.num, self.den = least.numerator, least.denominator
+        s = float(least)
+        self.side = 1
+        while 1 - (1 - (1 - s**ROWS) ** self.side) ** 2 > miss:
+            self.side += 1
+        self.half = self.side * ROWS
+        self.hashes = n = 2 * self.half
+        self.least_equal, below = 0, (1 - s) ** n
+        while self.least_equal < n and below <= miss / 10:
+            self.least_equal += 1
+            k = self.least_equal
+            below += math.comb(n, k) * s**k * (1 - s) ** (n - k)
+        self.multipliers = common.mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def similar(self, both, union):
+        """Is the intersection (of numbers or columns) large enough for the union?"""
+        return both * self.den >= union * self.num
 
 
 @functools.cache
@@ -100,29 +128,29 @@ def shingle_sets(offsets: np.ndarray, raw: np.ndarray) -> list[np.ndarray]:
     return sets
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], scheme: Scheme) -> np.ndarray:
     """The minhashes (32 bits, as signed integers) of each set; those of empty sets mean nothing."""
     sizes = np.array([len(x) for x in sets])
-    out = np.zeros((len(sets), HASHES), np.int32)
+    out = np.zeros((len(sets), scheme.hashes), np.int32)
     full = np.flatnonzero(sizes)
     if len(full):
         flat = np.concatenate([sets[i] for i in full])
         at = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
         with np.errstate(over="ignore"):
-            for k, a in enumerate(_MULTIPLIERS):
+            for k, a in enumerate(scheme.multipliers):
                 out[full, k] = np.minimum.reduceat((flat * a) >> np.uint64(32), at).astype(np.uint32).view(np.int32)
     return out
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
     """id, n (set size), set_id (digest of the whole set), sig (minhashes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             sets = shingle_sets(*common.text_buffers(batch.column("text")))
-            sig = signatures(sets)
+            sig = signatures(sets, scheme)
             digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-            lists = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, HASHES, dtype=np.int32), pa.array(sig.ravel()))
+            lists = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, scheme.hashes, dtype=np.int32), pa.array(sig.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), lists], ["id", "n", "set_id", "sig"])
 
     rows = common.own_columns(docs, id=id_col, text=text_col)
@@ -146,26 +174,21 @@ def _agreeing(left: str, right: str):
     return F.aggregate(F.zip_with(left, right, lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
 
 
-def _may_link(x, y):
-    """Can sets of sizes x and y be linked at all?"""
-    return F.least(x, y) * 100 >= F.greatest(x, y) * 85
-
-
-def _keys(nodes: DataFrame) -> DataFrame:
-    """id, n, table, key: a row for each of the SIDE * SIDE tables."""
-    half = SIDE * ROWS
+def _keys(nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """id, n, table, key: a row for each of the side * side tables."""
+    side, half = scheme.side, scheme.half
     t = F.col("table")
-    parts = [F.col("sig")[(F.floor(t / SIDE) * ROWS + k).cast("int")] for k in range(ROWS)]
-    parts += [F.col("sig")[(t % SIDE * ROWS + half + k).cast("int")] for k in range(ROWS)]
-    tables = nodes.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1))))
+    parts = [F.col("sig")[(F.floor(t / side) * ROWS + k).cast("int")] for k in range(ROWS)]
+    parts += [F.col("sig")[(t % side * ROWS + half + k).cast("int")] for k in range(ROWS)]
+    tables = nodes.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
     return tables.select("id", "n", "table", F.xxhash64(t, *parts).alias("key"))
 
 
-def _first_shared(x: str, y: str):
+def _first_shared(x: str, y: str, scheme: Scheme):
     """Is the row's table the first one that its two documents share? So each pair is met once."""
-    half, clauses = SIDE * ROWS, []
-    for band in range(SIDE - 1):
-        for first, own in ((0, F.floor(F.col(f"{x}.table") / SIDE)), (half, F.col(f"{x}.table") % SIDE)):
+    side, half, clauses = scheme.side, scheme.half, [F.lit(True)]
+    for band in range(side - 1):
+        for first, own in ((0, F.floor(F.col(f"{x}.table") / side)), (half, F.col(f"{x}.table") % side)):
             same = [F.col(f"{x}.sig")[first + band * ROWS + k] == F.col(f"{y}.sig")[first + band * ROWS + k] for k in range(ROWS)]
             clause = own > band
             for s in same:
@@ -180,8 +203,8 @@ def _all(clauses: list):
     return clauses[0]
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (x, y) with 100 * intersection >= 85 * union of their full sets."""
+def confirm(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+    """The pairs (x, y) whose full sets have the least similarity, by exact sizes of intersection and union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +213,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (left, right))
                 both = np.sort(np.concatenate([a, b]))
                 common_size = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common_size >= 85 * (len(both) - common_size))
+                keep.append(scheme.similar(common_size, len(both) - common_size))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("id").alias("x"), F.col("items").alias("left_items")), "x")
@@ -219,15 +242,16 @@ def components(links: DataFrame) -> DataFrame:
         seen = now
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    scheme = Scheme(similarity, miss)
     rows = common.own_columns(docs, id=id_col, text=text_col)
-    sketched = common.cut(sketches(docs, id_col, text_col))
+    sketched = common.cut(sketches(docs, id_col, text_col, scheme))
     full = sketched.where("n > 0")
     groups = full.groupBy("set_id").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
     members = common.cut(common.join_groups(full.select("id", "n", "set_id"), groups, "set_id", "copies").select("id", "n", "node"))
     nodes = common.cut(full.select("id", "n", "sig").join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    keys = _keys(nodes)
+    keys = _keys(nodes, scheme)
     shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("center")).where("c > 1").drop("c")
     buckets = common.cut(keys.join(shared, "key"))
     candidates = buckets.select("id").distinct()
@@ -237,8 +261,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     stars = buckets.where("id <> center").select(F.col("id").alias("x"), F.col("center").alias("y")).distinct()
     stars = stars.join(side.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("sig").alias("sig_x")), "x")
     stars = stars.join(side.select(F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("sig").alias("sig_y")), "y")
-    stars = stars.where(_may_link(F.col("n_x"), F.col("n_y"))).where(_agreeing("sig_x", "sig_y") >= LEAST_EQUAL)
-    links = common.cut(confirm(stars.select("x", "y"), sets))
+    stars = stars.where(scheme.similar(F.least("n_x", "n_y"), F.greatest("n_x", "n_y"))).where(_agreeing("sig_x", "sig_y") >= scheme.least_equal)
+    links = common.cut(confirm(stars.select("x", "y"), sets, scheme))
     # second round: keys whose members lie in several components, across these
     label = F.coalesce("component", "id")
     labelled = buckets.join(components(links), "id", "left").select("key", "table", "id", "n", label.alias("component"))
@@ -256,11 +280,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.id") > F.col("y.id"))
         & (F.col("x.component") != F.col("y.component"))
-        & (most * 100 >= (F.col("x.n") + F.col("y.n") - most) * 85)
-        & _first_shared("x", "y")
-        & (_agreeing("x.sig", "y.sig") >= LEAST_EQUAL),
+        & scheme.similar(most, F.col("x.n") + F.col("y.n") - most)
+        & _first_shared("x", "y", scheme)
+        & (_agreeing("x.sig", "y.sig") >= scheme.least_equal),
     )
-    more = common.cut(confirm(across.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), sets))
+    more = common.cut(confirm(across.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), sets, scheme))
     found = components(links.unionByName(more))
     sized = found.groupBy("component").agg(F.count("*").alias("size"))
     placed = members.join(found.select(F.col("id").alias("node"), "component"), "node", "left") if not sized.isEmpty() else members.withColumn("component", F.lit(None))
@@ -284,7 +308,7 @@ def _shingles(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, f"shingle long, id {sets.schema['id'].dataType.simpleString()}")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
     """One row of each component stays, with all its columns: the one with the smallest id."""
-    kept = link(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id"))
+    kept = link(docs, id_col, text_col, similarity, miss).where("kept").select(F.col(id_col).alias("_kept_id"))
     return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -47,7 +47,7 @@ def op7_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.link(_table(spark, sf_dir, "documents"))
+    return near.link(_table(spark, sf_dir, "documents"), similarity=0.85)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siltstone.llm import common, dedup, near, shard
 
 SCHEMA = "doc_id long, text string, digest string, n long"
@@ -93,6 +94,24 @@ def test_near_against_brute_force(spark, seed):
     assert {r.doc_id for r in near.deduplicate(frame(spark, rows)).collect()} == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_bands_follow_the_similarity():
+    at = lambda *a: (near.Scheme(*a).side, near.Scheme(*a).least_equal)
+    assert at() == (8, 17) and at(0.8, 1e-5) == (12, 24)
+    assert near.Scheme(0.8).similar(80, 100) and not near.Scheme(0.8).similar(79, 100)
+
+
+def test_near_at_another_similarity(spark):
+    words = lambda base, n: " ".join(f"b{base}w{k}" for k in range(n))
+    shared, rows = {0: 84, 1: 80, 2: 82, 3: 79}, []
+    for base, n in shared.items():
+        # 100 shingles, of which the copy has the first n
+        rows += [(10 * base, words(base, 104)), (10 * base + 1, words(base, n + 4))]
+    stage = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()}
+    assert stage == {0, 10, 20, 30, 31}
+    linked_at = lambda s: {r.doc_id for r in near.link(frame(spark, rows), similarity=s).where("not kept").collect()}
+    assert linked_at(0.79) == {1, 11, 21, 31} and linked_at(0.82) == {1, 21} and linked_at(0.85) == set()
+
+
 def test_near_of_nothing_and_of_empty_texts(spark):
     assert near.link(frame(spark, [])).count() == 0
     assert all(r.kept and r.n_shingles == 0 for r in near.link(frame(spark, [(1, None), (2, " ")])).collect())
