@@ -3,13 +3,14 @@
 A passage within e edits of an item of m characters shares at least m - q + 1 - q * e of its q-grams with it, and they lie
 on neighbouring diagonals (document position minus item position). Shared q-grams are counted in overlapping bands
 of diagonals; bands that reach the bound are aligned, with free ends in the document, within the band only.
-An item's edit budget is `rate` of its length, less for short items, so that the bound stays at 1 at least.
+An item's edit budget is `rate` of its length, less for short items, so that the bound stays at 1 at least. Items of less
+than q characters have no q-gram and a budget of no edit: they are looked up whole, by a hash for each of their lengths.
 
 Texts are compared in lower case with runs of white space as one blank. The benchmark is the query set: it is taken in
 blocks of a bounded number of characters, and each block is sent to all tasks and held against all rows.
 
-Defined results: null or empty texts match nothing; items of less than q characters match nothing; repeated rows are
-each reported; an empty benchmark or document table gives no rows.
+Defined results: null or empty texts match nothing, nor do items of white space only; an item without identifier is
+reported with a null item_id, each such item for itself; repeated rows are each reported; an empty benchmark or document table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,8 +64,8 @@ def grams(code: np.ndarray, owner: np.ndarray, q: int) -> tuple[np.ndarray, np.n
 class Items:
     """The q-gram index of a block of benchmark items."""
 
-    def __init__(self, ids: list[int], texts: list[str], q: int = 10, rate: float = 0.08):
-        self.q, self.ids = q, np.array(ids, np.int64)
+    def __init__(self, ids: list[int | None], texts: list[str], q: int = 10, rate: float = 0.08):
+        self.q, self.ids = q, ids
         code, _, owner = normalise(*common.text_buffers(pa.array(texts, pa.string())))
         self.first = np.searchsorted(owner, np.arange(len(ids) + 1))
         self.code, self.size = code, np.diff(self.first)
@@ -75,6 +76,16 @@ class Items:
         self.hash, self.item, self.at = h[order], owner[at[order]], at[order] - self.first[owner[at[order]]]
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.hash >> np.uint64(42)] = True
+        blank = np.add.reduceat(np.append(code != 0x20, 0), self.first[:-1]) == 0 if len(ids) else np.zeros(0, bool)
+        self.short = {}
+        for size in np.unique(self.size[(self.size > 0) & (self.size < q) & ~blank]):
+            which = np.flatnonzero((self.size == size) & ~blank)
+            whole = np.stack([code[self.first[which] + k] for k in range(size)], 1)
+            whole, group = np.unique(whole, axis=0, return_inverse=True)
+            h = grams(whole.ravel(), np.repeat(np.arange(len(whole)), size), int(size))[1]
+            order = np.argsort(h, kind="stable")
+            group = np.argsort(order)[group.ravel()]
+            self.short[int(size)] = (h[order], whole[order], [which[group == k] for k in range(len(h))])
 
     def hits(self, code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document position, item number, item position) of all shared q-grams."""
@@ -86,9 +97,26 @@ class Items:
         each = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
         return np.repeat(at, n), self.item[each], self.at[each]
 
-    def find(self, offsets: np.ndarray, raw: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    def find_short(self, code: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text number, item number, position) of the first place of each item of less than q characters."""
+        for size, (hashes, whole, items) in self.short.items():
+            at, h = grams(code, owner, size)
+            low = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            same = hashes[low] == h
+            at, low = at[same], low[same]
+            for k in range(size):
+                same = code[at + k] == whole[low, k]
+                at, low = at[same], low[same]
+            _, first = np.unique(owner[at].astype(np.int64) * len(hashes) + low, return_index=True)
+            for a, k in zip(at[first], low[first], strict=True):
+                for item in items[k]:
+                    yield int(owner[a]), int(item), int(a)
+
+    def find(self, offsets: np.ndarray, raw: np.ndarray) -> Iterator[tuple[int, int | None, int, int, int]]:
         """(text number, item id, edits, first and last character) of all passages; the best one of a text and item."""
         code, place, owner = normalise(offsets, raw)
+        for d, i, first in self.find_short(code, owner):
+            yield d, self.ids[i], 0, int(place[first]), int(place[first + self.size[i] - 1])
         at, item, pos = self.hits(code, owner)
         if not len(at):
             return
@@ -114,7 +142,7 @@ class Items:
                 if (d, i) not in best or found < best[d, i]:
                     best[d, i] = found
         for (d, i), (edits, first, last) in best.items():
-            yield d, int(self.ids[i]), edits, first, last
+            yield d, self.ids[i], edits, first, last
 
     def align(self, code: np.ndarray, bounds: np.ndarray, doc: np.ndarray, item: np.ndarray, band: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, end position) of the bands whose best alignment keeps the budget; all bands in step."""

@@ -79,6 +79,18 @@ def test_leaks_against_brute_force(spark):
     assert {r.doc_id for r in decontam.remove_leaked(docs_df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_short_items_and_items_without_identifier(spark):
+    items = [(1, "Yes, it is"), (2, "No. 7"), (3, "no.  7"), (4, "é"), (5, " \n "), (None, "ab c"), (None, "a passage that has many more letters than q"), (8, "")]
+    docs = [(1, "well,\tNO.\n7 and no. 7"), (2, "no.7"), (3, None), (4, "x ab"), (5, "c"), (6, "cAB C A passage that has many more letters than q"), (7, "É"), (8, "c yes, it  is")]
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted([(1, 2, 0, 6, 10), (1, 3, 0, 6, 10), (6, -1, 0, 1, 4), (6, -1, 0, 6, 48), (7, 4, 0, 0, 0), (8, 1, 0, 2, 12)])
+    for chars in (4_000_000, 20):
+        got = decontam.find_leaks(docs_df, bench, block_chars=chars).collect()
+        assert sorted((r.doc_id, -1 if r.item_id is None else r.item_id, *r[2:]) for r in got) == want
+        assert sorted(r.doc_id for r in decontam.remove_leaked(docs_df, bench, block_chars=chars).collect()) == [2, 3, 4, 5]
+
+
 def test_template_language():
     t = "{% for x in xs %}{% if x.n == 1 and not false %}one{% elif x.n == 2 %}{{ 'a' + 'b' | upper }}{% else %}{% generation %}{{ x.t | trim }}{% endgeneration %}{% endif %};{% endfor %}{{ missing }}"
     text, spans = chat.render(t, {"xs": [{"n": 1}, {"n": 2}, {"n": 3, "t": " deep "}]})
