@@ -5,7 +5,8 @@ document's evidence, the probability of good quality. Evidence is summed by path
 spread of the hosts' means around the global mean, less what sampling explains, gives the strength of the global prior
 by the method of moments, and likewise of the paths around their hosts. A host's posterior mean is shrunk toward the
 global one, a path's toward its host's; sparse sites stay near their prior. The score moves the document's log-odds by
-those of its path against the global ones.
+those of its path against the global ones. Unless told otherwise the columns `source` and `lang` stand in for host and path,
+since `documents` has no URL.
 
 Defined results: null and empty texts have no make-up (all zeros) and are scored like others; null hosts or paths form
 one site; without labels of both kinds the evidence is 0.5; an empty table gives no rows.

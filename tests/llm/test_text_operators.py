@@ -167,6 +167,22 @@ def test_sparse_sites_stay_near_their_prior(spark):
     assert quality.score(docs.where("false"), None).count() == 0
 
 
+def test_hosts_and_paths_of_urls(spark):
+    good, bad = "A calm and whole sentence stands here, with words of some length.", "BUY!!! $$$ ### 777 @@@ NOW!!!"
+    sites = [("https://a.example/good/x", good, 120), ("https://a.example/bad/x", bad, 40), ("http://a.example/lone", bad, 1), ("https://b.example/good/x?q=1", good, 90), ("https://c.example/bad/x", bad, 90)]
+    rows = [(url, text) for url, text, n in sites for _ in range(n)]
+    docs = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)] + [(900, None, good)], "doc_id long, url string, text string")
+    labels = docs.select("doc_id", (F.col("text") == good).cast("int").alias("quality"))
+    url = F.col("url")
+    scored = quality.score(docs, quality.train(docs, labels), host=F.parse_url(url, F.lit("HOST")), path=F.parse_url(url, F.lit("PATH")))
+    out = {r.url: r for r in scored.join(docs.select("doc_id", "url"), "doc_id").collect()}
+    assert scored.count() == docs.count()
+    at = [out[site[0]] for site in sites]
+    assert len({round(r.host_posterior, 9) for r in at[:3]}) == 1 and at[4].host_posterior < at[0].host_posterior < at[3].host_posterior
+    # the lone page and the dense path have the same evidence; the lone one stays nearer to its host
+    assert at[1].path_posterior < at[2].path_posterior < at[2].host_posterior < at[0].path_posterior
+
+
 def test_pipeline_keeps_what_it_should(spark):
     folder = "/root/testdata/sf0.001"
     docs = before = spark.read.parquet(f"{folder}/documents.parquet")
