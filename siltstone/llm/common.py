@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +30,46 @@ def discard(spark: SparkSession, path: str) -> None:
 cut = storage.cut
 
 
+class Workspace:
+    """Intermediate tables in a folder of the shared storage, which goes when the work is done.
+
+    Unlike checkpoints they are columnar and compressed, and their true sizes are known to the optimizer.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.made = spark, scratch(spark, name), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(self.spark, self.folder)
+
+
 def own_columns(df: DataFrame, **wanted: str) -> DataFrame:
     """Select only the columns an operator works on, under its own names; extra columns cannot clash."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in wanted.items()])
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """Inner join of rows to one row per key, safe when a few keys hold much of the rows.
 
-    `groups` carries each key's row count in column `size`. Keys above 1/HOT_SHARE of all rows number at most
-    HOT_SHARE, so their group rows are broadcast; all others are joined by a shuffle in which no key is hot.
+    `groups` carries each key's row count in column `size`; `total` is their sum or more, if known. Keys above 1/HOT_SHARE
+    of all rows number at most HOT_SHARE, so their group rows are broadcast; all others are joined by a shuffle in
+    which no key is hot. `keep` stores the groups.
     """
-    groups = cut(groups)
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    groups = keep(groups)
+    if total is None:
+        total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     hot = F.col(size) * HOT_SHARE > F.lit(total)
     hot_groups = groups.where(hot)
-    if hot_groups.isEmpty():
+    if total <= HOT_SHARE or hot_groups.isEmpty():
         return rows.join(groups, key)
     marked = rows.join(F.broadcast(hot_groups.select(F.col(key).alias("_hot_key"))), F.col(key) == F.col("_hot_key"), "left")
     big = marked.where(F.col("_hot_key").isNotNull()).drop("_hot_key").join(F.broadcast(hot_groups), key)
@@ -53,6 +77,44 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> Data
     return big.unionByName(rest)
 
 
+def deal(rows: DataFrame, wide: DataFrame, key: str, part: int = 256, keep: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows and wide content (one row per key) with a part number, and the columns to join them on.
+
+    No more than about `part` rows of a key have the same number; the key's content is repeated for each of its numbers.
+    """
+    number = f"{key}_part"
+    sizes = keep(rows.groupBy(key).agg(F.count("*").alias("_size")).withColumn("_parts", F.ceil(F.col("_size") / part)))
+    dealt = join_groups(rows, sizes, key, "_size", keep=lambda df: df).withColumn(number, F.pmod(F.xxhash64(*rows.columns), F.col("_parts"))).drop("_size", "_parts")
+    copies = wide.join(sizes, key).withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_size", "_parts")
+    return dealt, copies, [key, number]
+
+
+def mark(text: str) -> Column:
+    """A hash of the text that, beside the identifier, tells rows apart."""
+    return F.xxhash64(text_or_empty(text), F.col(text).isNull())
+
+
+def take_rows(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay, with all their columns; `rows` has id, mark(text) and stays of every row.
+
+    Rows with the same identifier (or none) and the same text can't be told apart: one of them stays if any does.
+    """
+    whole = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col(f"`{id_col}`").alias("id"), mark(f"`{text_col}`").alias("mark")
+    )
+    kept = cut(rows.groupBy("id", "mark").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("stays"))
+
+    def pick(which: DataFrame) -> DataFrame:
+        other = which.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"))
+        return whole.join(other, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
+
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return pick(kept).select("whole.*")
+    once = pick(repeated).groupBy("id", "mark").agg(F.any_value("whole").alias("whole"))
+    return pick(kept.where("n = 1")).select("whole.*").unionByName(once.select("whole.*"))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -6,16 +6,23 @@ need only 2 * side * ROWS minhashes. The least similarity s of a link and the pr
 table are parameters, from which `Scheme` derives the number of bands (two independent collections miss with
 (1 - s**ROWS)**side each): 8 a side at 0.85 and 1e-4, 12 a side at 0.8 and 1e-5.
 
-Documents with equal sets are one node. Candidates of a table key are compared in rounds. First every member is compared
-with the key's smallest one; then, for keys whose members still lie in several components, with growing random
-parts of the members, in the end with all of them. Only members of different components are compared, so a key that is
-connected costs no more, and no link between components is lost. A candidate pair whose minhashes agree in less than
-`least_equal` places is dropped (a true link has so few with probability of a tenth of `miss` at most: 17 of 32 places at
-0.85 and 1e-4, 24 of 48 at 0.8 and 1e-5); all others are confirmed by the exact sizes of intersection and union.
+Documents with equal sets are one node. Candidates are compared in two rounds.
+
+1. Every member of a key is compared with the key's smallest one. A code of two bits a minhash travels with the pair, and
+   pairs whose codes agree in less than `least_equal` places are dropped (a true link has so few with a probability of a
+   tenth of `miss` at most); the others are confirmed by the exact sizes of intersection and union.
+2. Keys whose other members lie in several components are open, and their members are searched for further links by an exact
+   prefix filter. The shingles of a set are ordered by how many of these members have them, rarest first. Two sets that share
+   enough have their first common shingle at ranks that leave room for the intersection they need, on both sides. An inverted
+   index of shingles meets only such ranks, and only members of different components: of a shingle's members, those
+   outside its largest component are held against all. Entries with many members are dealt over tasks.
+   No link of these members is lost, and members that are linked with nothing cost next to nothing, as the
+   shingles that no other has come first.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
-fewer than five words has one shingle, the whole sequence; repeated rows are in one component. A row with a null identifier
-is in the component of equal sets that have one, else in a component without identifier, and stays then.
+fewer than five words has one shingle, the whole sequence; repeated rows, and rows that share an identifier but not the
+text, are rows of their own, each with its own set. A row with a null identifier is in the component of its links that has
+an identifier, else in a component without identifier. Very long texts are taken whole; their sets are held one at a time.
 """
 
 from __future__ import annotations
@@ -23,12 +30,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -37,6 +44,11 @@ SHINGLE = 5
 ROWS = 2
 #: What a link is unless told otherwise: the least similarity, and how often a pair at it may share no table.
 SIMILARITY, MISS = 0.85, 1e-4
+#: So many members of one shingle meet in one task at most; a code holds the lowest bits of so many minhashes a number.
+DEALT, PLACES = 256, 32
+
+#: Stores an intermediate table and reads it again.
+Keep = Callable[[DataFrame], DataFrame]
 
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
@@ -56,17 +68,33 @@ class Scheme:
             self.side += 1
         self.half = self.side * ROWS
         self.hashes = n = 2 * self.half
-        self.least_equal, below = 0, (1 - s) ** n
+        self.words = -(-n // PLACES)
+        # two bits of different minhashes agree by chance in a quarter of the cases
+        agree = s + (1 - s) / 4
+        self.least_equal, below = 0, (1 - agree) ** n
         while self.least_equal < n and below <= miss / 10:
             self.least_equal += 1
             k = self.least_equal
-            below += math.comb(n, k) * s**k * (1 - s) ** (n - k)
+            below += math.comb(n, k) * agree**k * (1 - agree) ** (n - k)
         self.multipliers = common.mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
     def similar(self, both, union):
         """Is the intersection (of numbers or columns) large enough for the union?"""
         return both * self.den >= union * self.num
 
+    def room(self, n, rank):
+        """The largest size of a set that can be linked with one of n shingles whose first common one has this rank (from 0)."""
+        return F.floor((n - rank) * (self.num + self.den) / self.num) - n
+
+    def codes_agree(self, x: str, y: str) -> Column:
+        """Do the codes of two documents agree in enough places?"""
+        differ = F.lit(0)
+        for k in range(self.words):
+            odd = F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}"))
+            pairs = odd.bitwiseOR(F.shiftrightunsigned(odd, 1)).bitwiseAND(F.lit(0x5555555555555555))
+            differ = differ + F.bit_count(pairs)
+        return differ <= self.hashes - self.least_equal
+
 
 @functools.cache
 def _powers(base: int, n: int) -> np.ndarray:
@@ -142,173 +170,171 @@ def signatures(sets: list[np.ndarray], scheme: Scheme) -> np.ndarray:
     return out
 
 
+def codes(sig: np.ndarray, scheme: Scheme) -> list[np.ndarray]:
+    """The lowest two bits of all minhashes, PLACES of them in each number."""
+    low = (sig & 3).astype(np.uint64)
+    out = []
+    for k in range(scheme.words):
+        part = low[:, k * PLACES : (k + 1) * PLACES]
+        shifts = np.arange(part.shape[1], dtype=np.uint64) * np.uint64(2)
+        out.append((part << shifts).sum(1, dtype=np.uint64).view(np.int64))
+    return out
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
-    """id, n (set size), set_id (digest of the whole set), sig (minhashes) of every row."""
+    """id, mark (hash of the text), n (set size), set_id (digest of the set), sig (minhashes), codes, items (the set) of every row."""
+    names = ["id", "mark", "n", "set_id", "sig", *(f"code{k}" for k in range(scheme.words)), "items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             sets = shingle_sets(*common.text_buffers(batch.column("text")))
             sig = signatures(sets, scheme)
             digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
+            size = np.array([len(x) for x in sets], np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, scheme.hashes, dtype=np.int32), pa.array(sig.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(digest, pa.binary()), lists], ["id", "n", "set_id", "sig"])
-
-    rows = common.own_columns(docs, id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, set_id binary, sig array<int>")
-
-
-def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, items (the sorted hashes of the whole set, 8 bytes each) of every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            sets = shingle_sets(*common.text_buffers(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "items"])
-
-    rows = common.own_columns(docs, id=id_col, text=text_col)
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, items binary")
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            items = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+            columns = [batch.column("id"), batch.column("mark"), pa.array(size), pa.array(digest, pa.binary()), lists, *map(pa.array, codes(sig, scheme)), items]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-
-def _agreeing(left: str, right: str):
-    """How many minhashes of two signatures are equal."""
-    return F.aggregate(F.zip_with(left, right, lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
+    rows = common.own_columns(docs, id=id_col, text=text_col).select("id", common.mark("text").alias("mark"), "text")
+    kind = rows.schema["id"].dataType.simpleString()
+    kinds = [kind, "long", "long", "binary", "array<int>", *["long"] * scheme.words, "array<long>"]
+    return rows.mapInArrow(run, ", ".join(f"{name} {k}" for name, k in zip(names, kinds, strict=True)))
 
 
 def _keys(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """id, n, table, key: a row for each of the side * side tables."""
+    """node, key: a row for each of the side * side tables."""
     side, half = scheme.side, scheme.half
     t = F.col("table")
     parts = [F.col("sig")[(F.floor(t / side) * ROWS + k).cast("int")] for k in range(ROWS)]
     parts += [F.col("sig")[(t % side * ROWS + half + k).cast("int")] for k in range(ROWS)]
-    tables = nodes.withColumn("table", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))))
-    return tables.select("id", "n", "table", F.xxhash64(t, *parts).alias("key"))
-
-
-def _first_shared(x: str, y: str, scheme: Scheme):
-    """Is the row's table the first one that its two documents share? So each pair is met once."""
-    side, half, clauses = scheme.side, scheme.half, [F.lit(True)]
-    for band in range(side - 1):
-        for first, own in ((0, F.floor(F.col(f"{x}.table") / side)), (half, F.col(f"{x}.table") % side)):
-            same = [F.col(f"{x}.sig")[first + band * ROWS + k] == F.col(f"{y}.sig")[first + band * ROWS + k] for k in range(ROWS)]
-            clause = own > band
-            for s in same:
-                clause = clause & s
-            clauses.append(~clause)
-    return _all(clauses)
-
+    tables = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1))).alias("table"))
+    return tables.select("node", F.xxhash64(t, *parts).alias("key"))
 
-def _all(clauses: list):
-    while len(clauses) > 1:
-        clauses = [a & b for a, b in zip(clauses[::2], clauses[1::2], strict=False)] + clauses[len(clauses) // 2 * 2 :]
-    return clauses[0]
 
-
-def confirm(pairs: DataFrame, sets: DataFrame, scheme: Scheme) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, scheme: Scheme, keep: Keep) -> DataFrame:
     """The pairs (x, y) whose full sets have the least similarity, by exact sizes of intersection and union."""
+    left = sets.select(F.col("node").alias("x"), F.col("items").alias("left_items"))
+    right = sets.select(F.col("node").alias("y"), F.col("items").alias("right_items"))
+    dealt, left, x_key = common.deal(keep(pairs), left, "x", keep=keep)
+    dealt, right, y_key = common.deal(keep(dealt), right, "y", keep=keep)
+    joined = dealt.join(left, x_key).join(right, y_key)
+    both = F.size(F.array_intersect("left_items", "right_items")).cast("long")
+    return joined.where(scheme.similar(both, F.size("left_items") + F.size("right_items") - both)).select("x", "y")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for left, right in zip(batch.column("left_items"), batch.column("right_items"), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (left, right))
-                both = np.sort(np.concatenate([a, b]))
-                common_size = int((both[1:] == both[:-1]).sum())
-                keep.append(scheme.similar(common_size, len(both) - common_size))
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(sets.select(F.col("id").alias("x"), F.col("items").alias("left_items")), "x")
-    joined = joined.join(sets.select(F.col("id").alias("y"), F.col("items").alias("right_items")), "y")
-    kind = pairs.schema["x"].dataType.simpleString()
-    return joined.select("x", "y", "left_items", "right_items").mapInArrow(run, f"x {kind}, y {kind}")
-
-
-def components(links: DataFrame) -> DataFrame:
+
+def components(links: DataFrame, keep: Keep = common.cut) -> DataFrame:
     """id, component (the smallest id reachable) of all ids in the links (x, y), by alternating star contraction."""
-    edges = common.cut(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
-    seen = None
-    while True:
+    edges = keep(links.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).where("u <> v").distinct())
+    count, seen = edges.count(), None
+    while count:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("size"))
         # larger neighbours move to the smallest one
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        moved = common.join_groups(both.where("v > u"), least, "u", "size", 2 * count, keep)
+        large = keep(moved.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         # smaller neighbours and the node itself move to the smallest one
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = common.cut(small.distinct())
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+        moved = common.join_groups(large, lowest, "u", "size", 2 * count, keep)
+        small = moved.select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = keep(small.distinct())
         # a star forest comes back unchanged: the same number of edges with the same sums
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == seen:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        seen = now
+            break
+        seen, count = now, now[0]
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of nodes with their component; a node without links is its own."""
+    other = found.select(F.col("id").alias("node"), "component")
+    return rows.join(other, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _open_members(buckets: DataFrame, found: DataFrame, keep: Keep) -> DataFrame:
+    """node: the members of keys whose members, the smallest one left aside, lie in several components."""
+    rest = _labelled(buckets.where("node <> center").select("key", "node"), found)
+    keys = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size"))
+    keys = keys.where("a <> b").select("key", "size")
+    return common.join_groups(rest.select("key", "node"), keys, "key", "size", keep=keep).select("node").distinct()
+
+
+def prefix_pairs(members: DataFrame, scheme: Scheme, keep: Keep) -> DataFrame:
+    """(x, y) of members (node, component, n, items) in different components that a prefix filter can't tell from links."""
+    shingles = members.select("node", "component", "n", F.explode("items").alias("shingle"))
+    often = shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    known = common.join_groups(shingles, often, "shingle", "often", keep=keep)
+    # shingles of one member only come first in the order and are not in the index; the least partner of a set of n has s * n
+    whole = Window.partitionBy("node")
+    alone = F.col("n") - F.count("*").over(whole)
+    ranked = known.withColumn("rank", alone + F.row_number().over(whole.orderBy("often", "shingle")) - 1)
+    ranked = ranked.withColumn("room", scheme.room(F.col("n"), F.col("rank")))
+    index = keep(ranked.where(F.col("room") * scheme.den >= F.col("n") * scheme.num).select("shingle", "node", "component", "n", "room"))
+    shares = index.groupBy("shingle", "component").agg(F.count("*").alias("size"), F.min("n").alias("least"))
+    entries = shares.groupBy("shingle").agg(
+        F.sum("size").alias("size"), F.count("*").alias("kinds"), F.min("least").alias("least"), F.max(F.struct("size", "component")).alias("main")
+    )
+    entries = entries.where("kinds > 1").select("shingle", "size", "least", F.col("main.component").alias("main"))
+    held = common.join_groups(index, entries, "shingle", "size", keep=keep).where("room >= least")
+    parts = F.ceil(F.col("size") / DEALT)
+    side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("node", "component", "n", "room")]
+    few = held.where("component <> main").select("shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *side("x"))
+    many = held.select("shingle", F.pmod(F.xxhash64("node"), parts).alias("part"), *side("y"))
+    met = few.join(many, ["shingle", "part"]).where("x_component <> y_component and x_room >= y_n and y_room >= x_n")
+    return met.select(F.greatest("x_node", "y_node").alias("x"), F.least("x_node", "y_node").alias("y")).distinct()
+
+
+def _link(docs: DataFrame, id_col: str, text_col: str, similarity: float, miss: float) -> DataFrame:
+    """id, mark, n, component, stays (is it the one row of its component that does) of every row, cut from its lineage."""
+    scheme = Scheme(similarity, miss)
+    with common.Workspace(docs.sparkSession, "near") as space:
+        return common.cut(_placed(docs, id_col, text_col, scheme, space.keep))
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
-    scheme = Scheme(similarity, miss)
-    rows = common.own_columns(docs, id=id_col, text=text_col)
-    sketched = common.cut(sketches(docs, id_col, text_col, scheme))
+def _placed(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, keep: Keep) -> DataFrame:
+    sketched = keep(sketches(docs, id_col, text_col, scheme).withColumn("row", F.monotonically_increasing_id()))
     full = sketched.where("n > 0")
-    groups = full.groupBy("set_id").agg(F.min("id").alias("node"), F.count("*").alias("copies"))
-    members = common.cut(common.join_groups(full.select("id", "n", "set_id"), groups, "set_id", "copies").select("id", "n", "node"))
-    nodes = common.cut(full.select("id", "n", "sig").join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi").dropDuplicates(["id"]))
+    # a node is a set; its number is the row that its content is read from
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    groups = keep(full.groupBy("set_id").agg(first, F.count("*").alias("copies")).withColumn("node", F.col("first.row")))
+    code = [f"code{k}" for k in range(scheme.words)]
+    nodes = full.select(F.col("row").alias("node"), "n", "sig", *code, "items").join(groups.select("node"), "node", "left_semi")
     keys = _keys(nodes, scheme)
-    shared = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("center")).where("c > 1").drop("c")
-    buckets = common.cut(keys.join(shared, "key"))
-    candidates = buckets.select("id").distinct()
-    sets = common.cut(full_sets(rows.join(candidates, "id", "left_semi").dropDuplicates(["id"]), "id", "text"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
+    buckets = keep(common.join_groups(keys, shared, "key", "size", keep=keep).select("key", "node", "center"))
     # first round: every member of a key against its smallest one
-    side = nodes.join(candidates, "id", "left_semi")
-    stars = buckets.where("id <> center").select(F.col("id").alias("x"), F.col("center").alias("y")).distinct()
-    stars = stars.join(side.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("sig").alias("sig_x")), "x")
-    stars = stars.join(side.select(F.col("id").alias("y"), F.col("n").alias("n_y"), F.col("sig").alias("sig_y")), "y")
-    stars = stars.where(scheme.similar(F.least("n_x", "n_y"), F.greatest("n_x", "n_y"))).where(_agreeing("sig_x", "sig_y") >= scheme.least_equal)
-    links = common.cut(confirm(stars.select("x", "y"), sets, scheme))
-    # second round: keys whose members lie in several components, across these
-    label = F.coalesce("component", "id")
-    labelled = buckets.join(components(links), "id", "left").select("key", "table", "id", "n", label.alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    active = common.cut(labelled.join(open_keys, "key", "left_semi"))
-    active_ids = active.select("id").distinct()
-    # a shingle that no other active document has is in no intersection
-    unique = _shingles(sets.join(active_ids, "id", "left_semi")).groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    unique = unique.groupBy("id").agg(F.count("*").alias("unique"))
-    facts = common.cut(side.select("id", "sig").join(active_ids, "id", "left_semi").join(unique, "id", "left"))
-    wide = active.join(facts, "id").withColumn("common", F.col("n") - F.coalesce("unique", F.lit(0))).drop("unique")
-    most = F.least("x.common", "y.common")
-    across = wide.alias("x").join(
-        wide.alias("y"),
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.id") > F.col("y.id"))
-        & (F.col("x.component") != F.col("y.component"))
-        & scheme.similar(most, F.col("x.n") + F.col("y.n") - most)
-        & _first_shared("x", "y", scheme)
-        & (_agreeing("x.sig", "y.sig") >= scheme.least_equal),
-    )
-    more = common.cut(confirm(across.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), sets, scheme))
-    found = components(links.unionByName(more))
-    sized = found.groupBy("component").agg(F.count("*").alias("size"))
-    placed = members.join(found.select(F.col("id").alias("node"), "component"), "node", "left") if not sized.isEmpty() else members.withColumn("component", F.lit(None))
-    done = placed.select("id", "n", F.coalesce("component", "node").alias("component"))
-    empty = sketched.where("n = 0").select("id", "n", F.col("id").alias("component"))
-    return done.unionByName(empty).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
-    )
-
+    stars = keep(buckets.where("node <> center").select(F.col("node").alias("x"), F.col("center").alias("y")).distinct())
+    brief = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), *(F.col(k).alias(f"{c}_{k}") for k in code))
+    centers = stars.groupBy("y").agg(F.count("*").alias("size")).join(brief("y"), "y")
+    near = common.join_groups(stars.join(brief("x"), "x"), centers, "y", "size", keep=keep)
+    near = near.where(scheme.similar(F.least("n_x", "n_y"), F.greatest("n_x", "n_y"))).where(scheme.codes_agree("x_code", "y_code"))
+    links = keep(confirm(near.select("x", "y"), nodes, scheme, keep))
+    # second round: members of open keys, across components
+    found = components(links, keep)
+    members = _labelled(nodes.select("node", "n", "items").join(_open_members(buckets, found, keep), "node", "left_semi"), found)
+    more = keep(confirm(prefix_pairs(members, scheme, keep), nodes, scheme, keep))
+    if not more.isEmpty():
+        # what is linked already is in stars
+        stars = found.select(F.col("id").alias("x"), F.col("component").alias("y"))
+        found = components(stars.unionByName(more), keep)
+    placed = _labelled(groups, found)
+    firsts = placed.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("size"))
+    placed = common.join_groups(placed.drop("first"), firsts, "component", "size", keep=keep).select("set_id", "copies", "first")
+    named = common.join_groups(full.select("id", "mark", "row", "n", "set_id"), placed, "set_id", "copies", keep=keep)
+    named = named.select("id", "mark", "n", F.col("first.id").alias("component"), (F.col("row") == F.col("first.row")).alias("stays"))
+    empty = sketched.where("n = 0").select("id", "mark", "n", F.col("id").alias("component"), F.lit(True).alias("stays"))
+    return named.unionByName(empty)
 
-def _shingles(sets: DataFrame) -> DataFrame:
-    """A row (shingle, id) for each element of the sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id")
-            for k, items in enumerate(batch.column("items")):
-                found = np.frombuffer(items.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([ids[k].as_py()] * len(found), ids.type)], ["shingle", "id"])
 
-    return sets.mapInArrow(run, f"shingle long, id {sets.schema['id'].dataType.simpleString()}")
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return _link(docs, id_col, text_col, similarity, miss).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
+    )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, miss: float = MISS) -> DataFrame:
-    """One row of each component stays, with all its columns: the one with the smallest id."""
-    kept = link(docs, id_col, text_col, similarity, miss).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One row of each component stays, with all its columns: the one with the smallest id, of several such rows any one."""
+    return common.take_rows(docs, _link(docs, id_col, text_col, similarity, miss), id_col, text_col)

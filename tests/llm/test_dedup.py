@@ -96,7 +96,7 @@ def test_near_against_brute_force(spark, seed):
 
 def test_bands_follow_the_similarity():
     at = lambda *a: (near.Scheme(*a).side, near.Scheme(*a).least_equal)
-    assert at() == (8, 17) and at(0.8, 1e-5) == (12, 24)
+    assert at() == (8, 19) and at(0.8, 1e-5) == (12, 27)
     assert near.Scheme(0.8).similar(80, 100) and not near.Scheme(0.8).similar(79, 100)
 
 
