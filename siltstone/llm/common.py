@@ -27,6 +27,12 @@ def discard(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there such a path in the shared storage?"""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+
+
 cut = storage.cut
 
 

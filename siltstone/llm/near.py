@@ -46,6 +46,8 @@ ROWS = 2
 SIMILARITY, MISS = 0.85, 1e-4
 #: So many members of one shingle meet in one task at most; a code holds the lowest bits of so many minhashes a number.
 DEALT, PLACES = 256, 32
+#: So many rows of three numbers are broadcast at most.
+SHORT_LIST = 500_000
 
 #: Stores an intermediate table and reads it again.
 Keep = Callable[[DataFrame], DataFrame]
@@ -182,8 +184,8 @@ def codes(sig: np.ndarray, scheme: Scheme) -> list[np.ndarray]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> DataFrame:
-    """id, mark (hash of the text), n (set size), set_id (digest of the set), sig (minhashes), codes, items (the set) of every row."""
-    names = ["id", "mark", "n", "set_id", "sig", *(f"code{k}" for k in range(scheme.words)), "items"]
+    """id, mark (hash of the text), n (set size), set_id (digest of the set), sig (minhashes), codes of every row."""
+    names = ["id", "mark", "n", "set_id", "sig", *(f"code{k}" for k in range(scheme.words))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -192,15 +194,31 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme) -> Dat
             digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
             size = np.array([len(x) for x in sets], np.int64)
             lists = pa.ListArray.from_arrays(np.arange(0, sig.size + 1, scheme.hashes, dtype=np.int32), pa.array(sig.ravel()))
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            items = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
-            columns = [batch.column("id"), batch.column("mark"), pa.array(size), pa.array(digest, pa.binary()), lists, *map(pa.array, codes(sig, scheme)), items]
+            columns = [batch.column("id"), batch.column("mark"), pa.array(size), pa.array(digest, pa.binary()), lists, *map(pa.array, codes(sig, scheme))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = common.own_columns(docs, id=id_col, text=text_col).select("id", common.mark("text").alias("mark"), "text")
-    kind = rows.schema["id"].dataType.simpleString()
-    kinds = [kind, "long", "long", "binary", "array<int>", *["long"] * scheme.words, "array<long>"]
-    return rows.mapInArrow(run, ", ".join(f"{name} {k}" for name, k in zip(names, kinds, strict=True)))
+    kinds = [rows.schema["id"].dataType.simpleString(), "long", "long", "binary", "array<int>", *["long"] * scheme.words]
+    return rows.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in zip(names, kinds, strict=True)))
+
+
+def full_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, keep: Keep) -> DataFrame:
+    """node, items (the whole set) of the wanted nodes (node, id and mark of the row to read); a short list is broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            sets = shingle_sets(*common.text_buffers(batch.column("text")))
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            items = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), items], ["node", "items"])
+
+    wanted = keep(wanted.select("node", F.col("id").alias("_id"), F.col("mark").alias("_mark")))
+    n = wanted.count()
+    rows = common.own_columns(docs, id=id_col, text=text_col).withColumn("mark", common.mark("text"))
+    rows = rows.join(F.broadcast(wanted) if n <= SHORT_LIST else wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    sets = keep(rows.select("node", "text").mapInArrow(run, "node long, items array<long>"))
+    # repeated rows give a node's set more than once
+    return sets if sets.count() == n else keep(sets.groupBy("node").agg(F.any_value("items").alias("items")))
 
 
 def _keys(nodes: DataFrame, scheme: Scheme) -> DataFrame:
@@ -297,10 +315,11 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, keep: K
     sketched = keep(sketches(docs, id_col, text_col, scheme).withColumn("row", F.monotonically_increasing_id()))
     full = sketched.where("n > 0")
     # a node is a set; its number is the row that its content is read from
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "mark")).alias("first")
     groups = keep(full.groupBy("set_id").agg(first, F.count("*").alias("copies")).withColumn("node", F.col("first.row")))
+    content = groups.select("node", F.col("first.id").alias("id"), F.col("first.mark").alias("mark"))
     code = [f"code{k}" for k in range(scheme.words)]
-    nodes = full.select(F.col("row").alias("node"), "n", "sig", *code, "items").join(groups.select("node"), "node", "left_semi")
+    nodes = full.select(F.col("row").alias("node"), "n", "sig", *code).join(groups.select("node"), "node", "left_semi")
     keys = _keys(nodes, scheme)
     shared = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
     buckets = keep(common.join_groups(keys, shared, "key", "size", keep=keep).select("key", "node", "center"))
@@ -310,11 +329,15 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, keep: K
     centers = stars.groupBy("y").agg(F.count("*").alias("size")).join(brief("y"), "y")
     near = common.join_groups(stars.join(brief("x"), "x"), centers, "y", "size", keep=keep)
     near = near.where(scheme.similar(F.least("n_x", "n_y"), F.greatest("n_x", "n_y"))).where(scheme.codes_agree("x_code", "y_code"))
-    links = keep(confirm(near.select("x", "y"), nodes, scheme, keep))
+    near = keep(near.select("x", "y"))
+    ends = near.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    links = keep(confirm(near, full_sets(docs, id_col, text_col, content.join(ends, "node", "left_semi"), keep), scheme, keep))
     # second round: members of open keys, across components
     found = components(links, keep)
-    members = _labelled(nodes.select("node", "n", "items").join(_open_members(buckets, found, keep), "node", "left_semi"), found)
-    more = keep(confirm(prefix_pairs(members, scheme, keep), nodes, scheme, keep))
+    open_members = keep(_open_members(buckets, found, keep))
+    sets = full_sets(docs, id_col, text_col, content.join(open_members, "node", "left_semi"), keep)
+    members = _labelled(sets.withColumn("n", F.size("items").cast("long")), found)
+    more = keep(confirm(prefix_pairs(members, scheme, keep), sets, scheme, keep))
     if not more.isEmpty():
         # what is linked already is in stars
         stars = found.select(F.col("id").alias("x"), F.col("component").alias("y"))
