@@ -1,19 +1,22 @@
 """Exact deduplication by a stateful stream.
 
-Every text becomes a narrow fingerprint row: digest, stable identifier, length and content locator. The rows are
-written to the shared folder and read as a stream. Its keyed state (one entry a digest, in RocksDB on disk, checkpointed,
-never expiring) retains digest, the identifier that stays, its locator and the number of rows. Later runs on the same
-state folder go on from there, so a corpus can arrive in pieces.
+Every text becomes a narrow fingerprint row: digest, stable identifier, length and locator. The rows of a run are written
+to the shared folder and read as a stream. Its keyed state (one entry a digest, in RocksDB on disk, checkpointed, never
+expiring) retains digest, identifier and content locator of the row that stays, and the number of rows. Later runs on the
+same state folder go on from there, so a corpus can arrive in pieces; a run returns the decisions about its own rows.
 
-A hit is a row whose digest the state has already met. The full normalised bytes of every hit are then compared with
-those of the row that stays, found by its locator; rows that differ (a digest collision) are grouped by their bytes.
+The full normalised bytes are compared by digest: the least and the greatest bytes of a digest are aggregated, combined
+before the shuffle, so a digest with very many rows meets in no single task, and rows are never joined by identifier. With a
+kept folder the content of every digest is stored once, by the run that met it first, and takes part in later checks.
+Texts that differ under one digest (a collision) are grouped by their bytes.
 
 Texts are equal when identical after deleting blanks and the characters U+0009 to U+000D. Of equal texts the row with
-the most code points stays, then the smallest identifier.
+the most code points stays, then the smallest identifier, then the earliest run and any one row of it.
 
-Defined results: a null text counts as empty, and all empty texts are equal; an empty table gives no rows. Identifiers
-are integers; a null one stays only where its group has no other. Rows that repeat an identifier with equal text stay
-or go together; rows without an identifier can't be told apart, so `deduplicate` keeps all of them if one stays.
+Defined results: a null text counts as empty, and all empty texts are equal; an empty table gives no rows. Identifiers are
+integers; a null one stays only where its group has no other. Rows that share an identifier are rows of their own, each with
+its own text's group; of repeated rows, with an identifier or without, one stays. Very long texts are hashed and
+compared whole. Extra columns are kept and can't clash.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ARRIVED = "id long, mark long, digest string, chars long, row long, run int"
+CHANGES = "digest string, keep_id long, keep_run int, keep_row long, n long, batch int"
 
 
 def normalised(text: Column) -> Column:
@@ -32,44 +37,49 @@ def normalised(text: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, digest, chars, locator of every row. The locator is the identifier itself, by which the content is found."""
+    """id, mark (hash of the text as it is), digest, chars, bytes (normalised) of every row."""
     rows = common.own_columns(docs, id=id_col, text=text_col)
     return rows.select(
-        "id",
+        F.col("id").cast("long").alias("id"),
+        common.mark("text").alias("mark"),
         F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"),
         F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("chars"),
+        normalised(F.col("text")).alias("bytes"),
     )
 
 
+def _best(*more: str) -> Column:
+    """Of the rows, the one that stays: most characters, smallest identifier (null last), then the least of what follows."""
+    return F.max(F.struct("chars", (-F.col("id")).alias("order"), *((-F.col(c)).alias(c) for c in more), F.col("id").alias("id"))).alias("best")
+
+
 class Deduplicator:
     """The keyed state under one folder of the shared storage; `add` takes more rows, `groups` reads the state."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark, self.folder = spark, folder or common.scratch(spark, "dedup")
 
-    def add(self, prints: DataFrame, files_a_batch: int = 10_000) -> None:
-        """Run the stream over rows of fingerprints() (id, digest, chars) that were not added before."""
-        prints.write.mode("append").parquet(f"{self.folder}/arrived")
+    def add(self, prints: DataFrame, files_a_batch: int = 10_000) -> int:
+        """Run the stream over rows of fingerprints(); returns the number of the run."""
+        run = 0
+        while common.exists(self.spark, f"{self.folder}/arrived/run={run}"):
+            run += 1
+        numbered = prints.select("id", "mark", "digest", "chars", F.monotonically_increasing_id().alias("row"))
+        numbered.write.parquet(f"{self.folder}/arrived/run={run}")
         session = self.spark.newSession()
         session.conf.set("spark.sql.shuffle.partitions", self.spark.conf.get("spark.sql.shuffle.partitions"))
         session.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
         # many small stores: don't reserve some MB of disk for the logs of each
         session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
-        arrived = (
-            session.readStream.schema(prints.schema)
-            .option("maxFilesPerTrigger", files_a_batch)
-            .parquet(f"{self.folder}/arrived")
-        )
-        # no watermark: the state of a digest is kept for good
-        best = F.max(F.struct(F.col("chars"), F.col("order").alias("order"), F.col("id").alias("id"))).alias("best")
-        state = arrived.withColumn("order", -F.col("id")).groupBy("digest").agg(best, F.count("*").alias("n"))
+        arrived = session.readStream.schema(ARRIVED).option("maxFilesPerTrigger", files_a_batch).parquet(f"{self.folder}/arrived")
+        # no watermark: the state of a digest is kept for good; run and row are the locator of the content
+        state = arrived.groupBy("digest").agg(_best("run", "row"), F.count("*").alias("n"))
         changes = f"{self.folder}/changes"
 
         def keep(rows: DataFrame, batch: int) -> None:
             # a batch that is run again after a failure writes the same folder again
-            rows.select("digest", F.col("best.chars").alias("chars"), F.col("best.id").alias("keep_id"), "n").write.mode(
-                "overwrite"
-            ).parquet(f"{changes}/batch={batch}")
+            located = rows.select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.run")).alias("keep_run"), (-F.col("best.row")).alias("keep_row"), "n")
+            located.write.mode("overwrite").parquet(f"{changes}/batch={batch}")
 
         query = (
             state.writeStream.outputMode("update")
@@ -79,53 +89,86 @@ class Deduplicator:
             .start()
         )
         query.awaitTermination()
+        return run
 
-    def groups(self) -> DataFrame:
-        """digest, keep_id, n: the newest state of every digest."""
-        changes = self.spark.read.schema("digest string, chars long, keep_id long, n long, batch int").parquet(f"{self.folder}/changes")
-        newest = F.max_by(F.struct("keep_id", "n"), "batch").alias("newest")
-        return changes.groupBy("digest").agg(newest).select("digest", "newest.keep_id", "newest.n")
-
+    def arrived(self) -> DataFrame:
+        """The fingerprints of all runs."""
+        return self.spark.read.schema(ARRIVED).parquet(f"{self.folder}/arrived")
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    spark = docs.sparkSession
-    rows = common.own_columns(docs, id=id_col, text=text_col)
+    def groups(self) -> DataFrame:
+        """digest, keep_id, keep_run, keep_row, n: the newest state of every digest."""
+        changes = self.spark.read.schema(CHANGES).parquet(f"{self.folder}/changes")
+        newest = F.max_by(F.struct("keep_id", "keep_run", "keep_row", "n"), "batch").alias("newest")
+        return changes.groupBy("digest").agg(newest).select("digest", "newest.*")
+
+    def contents(self) -> DataFrame | None:
+        """digest, bytes that earlier runs have stored; None before the first."""
+        path = f"{self.folder}/content"
+        return self.spark.read.schema("digest string, bytes string, run int").parquet(path).drop("run") if common.exists(self.spark, path) else None
+
+    def store(self, prints: DataFrame, run: int) -> None:
+        """Store the content of the digests that no run before has met."""
+        new = prints.groupBy("digest").agg(F.min("bytes").alias("bytes"))
+        known = self.contents()
+        new = new if known is None else new.join(known.select("digest"), "digest", "left_anti")
+        new.write.parquet(f"{self.folder}/content/run={run}")
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, folder: str | None) -> DataFrame:
+    """id, mark, keep_id, n, stays, digest of every row of docs, cut from its lineage."""
+    tool = Deduplicator(docs.sparkSession, folder)
     prints = fingerprints(docs, id_col, text_col)
-    tool = Deduplicator(spark, folder)
-    tool.add(prints)
-    stored = spark.read.parquet(f"{tool.folder}/arrived")
-    grouped = common.cut(common.join_groups(stored, tool.groups(), "digest", "n"))
+    run = tool.add(prints)
+    rows = tool.arrived().where(F.col("run") == run)
+    groups = tool.groups()
+    if run:
+        groups = groups.join(rows.select("digest").distinct(), "digest", "left_semi")
+    stays = (F.col("run") == F.col("keep_run")) & (F.col("row") == F.col("keep_row"))
+    plain = common.cut(common.join_groups(rows, groups, "digest", "n").select("id", "mark", "keep_id", "n", stays.alias("stays"), "digest"))
+    odd = common.cut(_collisions(prints, tool.contents()))
+    if not odd.isEmpty():
+        plain = plain.join(odd, "digest", "left_anti").unionByName(_by_bytes(prints, tool, odd, run))
+        plain = common.cut(plain)
     if folder is None:
-        common.discard(spark, tool.folder)
-    odd = _collisions(rows, grouped)
-    plain = grouped.select(
-        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), (F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256")
-    )
-    if odd.isEmpty():
-        return plain
-    # two texts share a digest: those digests are grouped by their full bytes
-    bad = rows.join(grouped.join(odd, "digest").select("id", "digest"), "id").withColumn("bytes", normalised(F.col("text")))
-    best = F.max(F.struct(F.char_length("text").alias("chars"), (-F.col("id")).alias("order"), F.col("id").alias("id"))).alias("best")
-    regrouped = bad.groupBy("digest", "bytes").agg(best, F.count("*").alias("n"))
-    fixed = bad.join(regrouped, ["digest", "bytes"]).select(
-        F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("id") == F.col("best.id")).alias("kept"), F.col("digest").alias("text_sha256")
-    )
-    return plain.join(odd.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left_anti").unionByName(fixed)
+        common.discard(tool.spark, tool.folder)
+    else:
+        tool.store(prints, run)
+    return plain
+
+
+def _collisions(prints: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Digests of which the rows' full normalised bytes, those stored by earlier runs included, are not all the same."""
+    ends = prints.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
+    if stored is not None:
+        before = stored.groupBy("digest").agg(F.min("bytes").alias("before"))
+        ends = ends.join(before, "digest", "left")
+        ends = ends.withColumn("least", F.least("least", "before")).withColumn("most", F.greatest("most", "before"))
+    return ends.where("least <> most").select("digest")
 
 
-def _collisions(rows: DataFrame, grouped: DataFrame) -> DataFrame:
-    """Digests of which the rows' full normalised bytes are not all the same.
+def _by_bytes(prints: DataFrame, tool: Deduplicator, odd: DataFrame, run: int) -> DataFrame:
+    """The rows of this run whose digest is that of several texts, grouped by their bytes.
 
-    The content of hits and of the rows that stay is found by the locator. Whether all bytes of a digest are equal is
-    an aggregate, combined before the shuffle, so a digest with very many rows meets in no single task.
+    Rows of earlier runs count to the content that was stored for their digest.
     """
-    hits = grouped.where("n > 1").select("id", "digest")
-    texts = rows.join(hits, "id").select("digest", normalised(F.col("text")).alias("bytes"))
-    return texts.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where("least <> most").select("digest")
+    bad = prints.join(odd, "digest", "left_semi").select("id", "mark", "digest", "chars", "bytes", F.lit(-run).alias("run"))
+    met, stored = bad, tool.contents()
+    if stored is not None:
+        before = tool.arrived().where(F.col("run") < run).join(odd, "digest", "left_semi").join(stored, "digest")
+        met = bad.unionByName(before.select("id", "mark", "digest", "chars", "bytes", -F.col("run").alias("run")))
+    best = F.max(F.struct("chars", (-F.col("id")).alias("order"), "run", "mark", "id")).alias("best")
+    regrouped = met.groupBy("digest", "bytes").agg(best, F.count("*").alias("n"))
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark")) & (F.col("run") == F.col("best.run"))
+    return bad.join(regrouped, ["digest", "bytes"]).select("id", "mark", F.col("best.id").alias("keep_id"), "n", stays.alias("stays"), "digest")
+
+
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row; with a kept folder, groups count the rows of earlier runs too."""
+    return _decided(docs, id_col, text_col, folder).select(
+        F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("stays").alias("kept"), F.col("digest").alias("text_sha256")
+    )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """The rows that stay, with all their columns."""
-    kept = classify(docs, id_col, text_col, folder).where("kept").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[f"`{id_col}`"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return common.take_rows(docs, _decided(docs, id_col, text_col, folder), id_col, text_col)

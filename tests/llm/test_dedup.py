@@ -175,3 +175,40 @@ def test_placing(spark):
         assert sorted(part.slot) == list(range(len(part)))
     assert (out[out.text_crc32 == 0]["size"] == 8).all()
     assert shard.place(frame(spark, []), 5).count() == 0
+
+
+def test_repeated_identifiers_are_rows_of_their_own(spark):
+    rows = [(1, "a"), (1, "b"), (2, "a"), (3, "b b"), (3, "b b"), (None, "a"), (None, "q"), (None, "q")]
+    got = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size, r.kept) for r in dedup.classify(frame(spark, rows)).collect())
+    assert got == [(0, 0, 2, False), (0, 0, 2, True), (0, 1, 3, False), (1, 1, 1, True), (1, 1, 3, True), (2, 1, 3, False), (3, 3, 2, False), (3, 3, 2, True)]
+    kept = sorted((r.doc_id or 0, r.text) for r in dedup.deduplicate(frame(spark, rows)).collect())
+    assert kept == [(0, "q"), (1, "a"), (1, "b"), (3, "b b")]
+
+
+def test_two_runs_on_one_folder(spark, monkeypatch):
+    folder = common.scratch(spark, "test")
+    dedup.classify(frame(spark, [(5, "a"), (7, "b"), (9, "a b")]), folder=folder).collect()
+    second = dedup.classify(frame(spark, [(3, "a"), (11, "ab"), (1, "c"), (12, " b")]), folder=folder)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in second.collect()) == [(1, 1, 1, True), (3, 3, 2, True), (11, 9, 2, False), (12, 12, 2, True)]
+    # a text that only shares the digest of a stored one
+    real = dedup.fingerprints
+    monkeypatch.setattr(dedup, "fingerprints", lambda *a: real(*a).withColumn("digest", F.sha2(F.lit("c"), 256)))
+    third = dedup.classify(frame(spark, [(20, "other"), (21, "c")]), folder=folder)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in third.collect()) == [(20, 20, 1, True), (21, 1, 2, False)]
+
+
+def test_near_keeps_the_texts_of_one_identifier_apart(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    rows = [(1, text(1)), (1, text(2)), (2, text(1) + " more"), (3, text(2) + " more"), (4, text(3)), (4, text(3))]
+    got = sorted((r.doc_id, r.component_id) for r in near.link(frame(spark, rows)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+    assert sorted(r.text[:2] for r in near.deduplicate(frame(spark, rows)).collect()) == ["t1", "t2", "t3"]
+
+
+def test_near_copies_of_one_text_that_are_not_linked(spark):
+    rng = random.Random(7)
+    words = [f"u{k}" for k in range(60)]
+    rows = [(k, mutated(rng, words, 0.04)) for k in range(400)]
+    rows += [(1000 + k, " ".join([*words[:50], f"z{k % 20}", *(f"y{k // 20}v{j}" for j in range(6))])) for k in range(300)]
+    got = {r.doc_id: r.component_id for r in near.link(frame(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in linked(rows).items()}
