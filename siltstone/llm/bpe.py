@@ -3,10 +3,12 @@
 Encoding: an Aho-Corasick automaton reports every token that occurs in a pre-token. From each position the longest
 token is taken that is compatible with the token before it; a dead end marks its position and steps back to a shorter
 token. Every position is left for good at most once, so the work is linear. A pair is compatible when BPE of its joined
-bytes gives the pair again, which makes the result equal to merging by rank.
+bytes gives the pair again, which makes the result equal to merging by rank. Pre-tokens of a buffer take their steps together;
+one of more than LONG bytes is walked on its own.
 
 Defined results: a null text encodes as the empty text, which has no tokens; special strings inside a text become their
-special token, as in the public library's default.
+special token, as in the public library's default; repeated rows are each encoded; an empty table gives no rows; texts are
+encoded whole, however long; extra columns play no part. The encoding is unique, so there are no ties.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from pyspark.sql import DataFrame
 from . import automaton, common, vocabulary
 
 
+#: Pre-tokens of more bytes are walked one by one: steps of many machines at once don't pay for a single one.
+LONG = 1024
+
+
 class Encoder:
     """Encodes buffers of texts; all pre-tokens of a buffer take their steps together."""
 
@@ -37,6 +43,7 @@ class Encoder:
                 if (found_id := self.vocabulary.ids.get(piece[:k])) is not None:
                     self.shorter[i] = found_id
                     break
+        self.sizes, self.shorters = self.size.tolist(), self.shorter.tolist()
 
     def longest(self, raw: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """The longest token from each byte that stays within its pre-token (`stops`: where these end)."""
@@ -49,7 +56,10 @@ class Encoder:
         untried = self.longest(raw, stops).copy()  # by position; the longest comes first
         arrived = np.full(n + 1, -1, np.int64)  # by position, the token that ends there on the path
         dead = np.zeros(n + 1, bool)
-        at, begin, stop = starts.copy(), starts, stops
+        long = stops - starts > LONG
+        for first, last in zip(starts[long].tolist(), stops[long].tolist(), strict=True):
+            arrived[first + 1 : last + 1] = self._walk(untried[first:last].tolist())
+        at, begin, stop = starts[~long], starts[~long], stops[~long]
         prev = np.full(len(at), -1, np.int64)
         ends_at, tokens = [], []
         while len(at):
@@ -77,6 +87,27 @@ class Encoder:
         ends = np.flatnonzero(arrived >= 0)
         return ends, arrived[ends]
 
+    def _walk(self, untried: list[int]) -> list[int]:
+        """For each position of one pre-token but the first, the token that ends there, or -1; `untried` has the longest tokens."""
+        n = len(untried)
+        size, shorter, compatible = self.sizes, self.shorters, self.vocabulary.compatible
+        arrived, dead = [-1] * (n + 1), bytearray(n + 1)
+        at, prev = 0, -1
+        while at < n:
+            token = untried[at]
+            if token < 0:
+                dead[at] = 1
+                arrived[at] = -1
+                at -= size[prev]
+                prev = arrived[at] if at else -1
+                continue
+            untried[at] = shorter[token]
+            to = at + size[token]
+            if not dead[to] and (prev < 0 or compatible(prev, token)):
+                arrived[to] = prev = token
+                at = to
+        return arrived[1:]
+
     def texts(self, offsets: np.ndarray, raw: np.ndarray) -> list[np.ndarray]:
         """Token ids of each text of a buffer."""
         if not len(raw):
@@ -85,9 +116,16 @@ class Encoder:
         parts = np.array([p for a, b, _ in spans for p in (a, b)], np.int64)
         segments = np.unique(np.concatenate([offsets[:-1], parts]))
         ends, ids = self.encode(raw, vocabulary.pretoken_starts(raw, segments[segments < len(raw)]))
-        for a, b, i in spans:
-            first, last = np.searchsorted(ends, [a + 1, b + 1])
-            ends, ids = (np.concatenate([x[:first], [new], x[last:]]) for x, new in ((ends, b), (ids, i)))
+        if spans:
+            first, last, special = np.array(spans, np.int64).T
+            # what was found within the spans goes, all in one pass
+            change = np.zeros(len(ends) + 1, np.int64)
+            np.add.at(change, np.searchsorted(ends, first + 1), 1)
+            np.add.at(change, np.searchsorted(ends, last + 1), -1)
+            outside = np.cumsum(change)[:-1] == 0
+            ends, ids = np.concatenate([ends[outside], last]), np.concatenate([ids[outside], special])
+            order = np.argsort(ends, kind="stable")
+            ends, ids = ends[order], ids[order]
         cuts = np.searchsorted(ends, offsets, "right")
         return [ids[first:last] for first, last in zip(cuts, cuts[1:], strict=False)]
 

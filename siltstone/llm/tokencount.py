@@ -5,12 +5,15 @@ grow into a token, and for each place in it the last token and the count of the
 annotated with the change of the token count. States are made on first use and kept in flat tables, so a step is a
 table look-up. A new pre-token resets the machine.
 
-Texts are laid out as equal chunks that all run at once. A chunk's state map is constant after its first reset, so it
-consists of its head (the bytes before that reset, which need the state that enters) and of a fixed exit state.
-The maps compose from left to right: chunks whose entry is known run their heads together; a chunk without a
-reset passes its exit on to the next, in a segmented scan.
-
-Defined results: a null text counts as the empty text, which has no tokens.
+Texts are laid out as equal chunks that all run at once, each from the state of a pre-token's start. A chunk's state map is
+kept as the path of states from one entry: any other entry leads to the same path from where the two meet, at the
+first reset at the latest. Maps of neighbouring blocks compose by a parallel prefix scan: in each round all blocks of twice
+the length are formed at once, and the right half is replayed from the left half's exit until it meets its path. After
+as many rounds as the number of chunks has binary digits, all paths hang together from the first byte on.
+
+Defined results: a null text counts as the empty text, which has no tokens; repeated rows are each counted; an empty table gives
+no rows; a text is counted whole, however long, in spans that hand their state on; extra columns play no part. The tokens of
+a text are unique, so there are no ties.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from . import common, vocabulary
 #: Histories are packed integers: (token + 1) << 12 | count + 2048, with 0 as the token at a pre-token's start; -1: no use.
 ZERO = 2048
 ORIGIN = np.array([ZERO], np.int64).tobytes()
+#: Bytes of a chunk, and of a span, between which states can be made anew.
+CHUNK, SPAN = 512, 1 << 18
 
 
 class Transducer:
@@ -78,11 +83,15 @@ class Transducer:
         if to is None:
             to = self.number[made] = len(self.states)
             self.states.append(made)
-            if to >= len(self.to):
-                self.to = np.concatenate([self.to, np.full_like(self.to[: 1 << 15], -1)])
-                self.emits = np.concatenate([self.emits, np.zeros_like(self.emits[: 1 << 15])])
+            self._widen(to)
         self.to[state, kind], self.emits[state, kind] = to, change
 
+    def _widen(self, state: int) -> None:
+        if state >= len(self.to):
+            more = len(self.to)
+            self.to = np.concatenate([self.to, np.full((more, self.to.shape[1]), -1, np.int32)])
+            self.emits = np.concatenate([self.emits, np.zeros((more, self.emits.shape[1]), np.int8)])
+
     def classes(self, raw: np.ndarray) -> np.ndarray:
         """The bytes by their numbers; unseen ones get the next number."""
         for byte in np.flatnonzero((np.bincount(raw, minlength=256) > 0) & (self.kinds < 0)).tolist():
@@ -105,45 +114,64 @@ class Transducer:
             to = self.to.ravel()[at]
         return to, self.emits.ravel()[at]
 
-    def changes(self, raw: np.ndarray, starts: np.ndarray, chunk: int = 512) -> np.ndarray:
+    def enter(self, state: tuple[bytes, bytes]) -> int:
+        """The number of a state, which may be from before a reset."""
+        number = self.number.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+            self._widen(number)
+        return number
+
+    def changes(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The count's change at every byte, given where pre-tokens start."""
-        if len(self.states) > self.most:
-            self.reset()
+        out = np.zeros(len(raw), np.int16)
+        carry = self.states[0]
+        for first in range(0, len(raw), SPAN):
+            if len(self.states) > self.most:
+                self.reset()
+            low, high = np.searchsorted(starts, [first, first + SPAN])
+            out[first : first + SPAN], carry = self._span(raw[first : first + SPAN], starts[low:high] - first, carry)
+        return out
+
+    def _span(self, raw: np.ndarray, starts: np.ndarray, carry: tuple[bytes, bytes]) -> tuple[np.ndarray, tuple[bytes, bytes]]:
+        """The changes of a span that is entered in state `carry`, and the state that it ends in."""
         n = len(raw)
-        lanes = -(-n // chunk)
-        fresh = np.zeros(lanes * chunk, bool)
+        lanes = -(-n // CHUNK)
+        fresh = np.zeros(lanes * CHUNK, bool)
         fresh[starts] = True
         fresh[n:] = True  # padding: each byte is a pre-token of its own
-        padded = np.zeros(lanes * chunk, np.uint8)
+        padded = np.zeros(lanes * CHUNK, np.uint8)
         padded[:n] = self.classes(raw)
-        fresh, byte = (np.ascontiguousarray(x.reshape(lanes, chunk).T) for x in (fresh, padded))
-        out = np.zeros((chunk, lanes), np.int16)
-        head = np.where(fresh.any(0), fresh.argmax(0), chunk)  # the entry-dependent part of each chunk's map
-        state = np.zeros(lanes, np.int32)
-        synced = np.zeros(lanes, bool)
-        for t in range(chunk):
-            synced |= fresh[t]
-            state[fresh[t]] = 0
-            if synced.all():
-                state, out[t] = self.advance(state, byte[t])
-            else:
-                who = np.flatnonzero(synced)
-                state[who], out[t, who] = self.advance(state[who], byte[t, who])
-        # compose the maps: an entry is known once the chunk before has its exit
-        ready = head < chunk
-        todo = np.flatnonzero(head > 0)
-        todo = todo[todo > 0]
-        while len(todo):
-            now = todo[ready[todo - 1]]
-            entry = state[now - 1].copy()
-            for t in range(int(head[now].max())):
-                on = np.flatnonzero(head[now] > t)
-                entry[on], out[t, now[on]] = self.advance(entry[on], byte[t, now[on]])
-            through = head[now] == chunk
-            state[now[through]] = entry[through]
-            ready[now] = True
-            todo = np.setdiff1d(todo, now, assume_unique=True)
-        return out.T.ravel()[:n]
+        fresh, byte = (np.ascontiguousarray(x.reshape(lanes, CHUNK).T) for x in (fresh, padded))
+        out, path = np.zeros((CHUNK, lanes), np.int16), np.zeros((CHUNK + 1, lanes), np.int32)
+        for t in range(CHUNK):
+            path[t, fresh[t]] = 0
+            path[t + 1], out[t] = self.advance(path[t], byte[t])
+        width = 1
+        while width < lanes:
+            right = np.arange(width, lanes, 2 * width)
+            self._replay(right, np.minimum(right + width, lanes), path[CHUNK, right - 1], fresh, byte, out, path)
+            width *= 2
+        self._replay(np.zeros(1, np.int64), np.array([lanes]), np.array([self.enter(carry)]), fresh, byte, out, path)
+        # the padding comes after the last byte
+        last = path[(n - 1) % CHUNK + 1, lanes - 1]
+        return out.T.ravel()[:n], self.states[last]
+
+    def _replay(self, now: np.ndarray, stop: np.ndarray, entry: np.ndarray, fresh: np.ndarray, byte: np.ndarray, out: np.ndarray, path: np.ndarray) -> None:
+        """Run blocks, which begin with chunk `now`, from the states `entry` until they meet the paths that are known; all in step."""
+        state = entry.astype(np.int32)
+        while len(now):
+            who = np.arange(len(now))
+            for t in range(CHUNK):
+                who = who[~fresh[t, now[who]] & (state[who] != path[t, now[who]])]
+                if not len(who):
+                    break
+                path[t, now[who]] = state[who]
+                state[who], out[t, now[who]] = self.advance(state[who], byte[t, now[who]])
+            who = who[state[who] != path[CHUNK, now[who]]]
+            path[CHUNK, now[who]] = state[who]
+            who = who[now[who] + 1 < stop[who]]
+            now, stop, state = now[who] + 1, stop[who], state[who]
 
     def counts(self, offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
         """Tokens of each text of a buffer; special strings count as one token."""
@@ -153,11 +181,13 @@ class Transducer:
         spans = self.vocabulary.special_spans(raw.tobytes(), offsets)
         parts = np.array([p for a, b, _ in spans for p in (a, b)], np.int64)
         segments = np.unique(np.concatenate([offsets[:-1], parts]))
-        change = self.changes(raw, vocabulary.pretoken_starts(raw, segments[segments < len(raw)])).astype(np.int64)
+        change = self.changes(raw, vocabulary.pretoken_starts(raw, segments[segments < len(raw)]))
         for a, b, _ in spans:
             change[a:b] = 0
             change[a] = 1
-        return np.diff(np.concatenate([[0], np.cumsum(change)])[offsets])
+        out, full = np.zeros(n, np.int64), np.flatnonzero(np.diff(offsets))
+        out[full] = np.add.reduceat(change, offsets[full], dtype=np.int64)
+        return out
 
 
 @functools.lru_cache(2)
