@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,68 @@ def test_pipeline_keeps_what_it_should(spark):
     model = toxicity.train(before, spark.read.parquet(f"{folder}/labels.parquet"))
     gone = {r.doc_id for r in toxicity.score(before, model).where("predicted = 1").collect()}
     assert not gone & kept
+
+
+def edits_of(item, text):
+    """The fewest edits of the item anywhere in the text, and the first end of such a place; plain dynamic programming."""
+    row = [0] * (len(text) + 1)
+    for k, c in enumerate(item, 1):
+        new = [k]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != d), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_passages_of_repetitive_and_long_texts():
+    import tracemalloc
+
+    from siltstone.llm import common
+
+    rng = random.Random(5)
+    long_item = "".join(rng.choice("abcdefghij klmnop") for _ in range(50_000)).strip()
+    changed = list(long_item)
+    for k in range(0, len(changed), 100):
+        changed[k] = "#"
+    items = ["-" * 200, long_item, "ab" * 150]
+    index = decontam.Items(items)
+    tracemalloc.start()
+    texts = ["-" * 1_000_000, "before " + "".join(changed) + " after", "x" + "ab" * 149 + "b" * 2 + "yy"]
+    found = {}
+    for k, text in enumerate(texts):
+        for _, i, edits, first, last in index.find(*common.text_buffers(pa.array([text]))):
+            found[k, i] = (edits, first, last)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert found[0, 0] == (0, 0, 199) and found[1, 1][0] == 500
+    assert found[2, 2][0] == edits_of(items[2], texts[2])
+
+
+def test_alignment_equals_plain_dynamic_programming():
+    from siltstone.llm import common
+
+    rng = random.Random(6)
+    items = ["".join(rng.choice("ab c") for _ in range(rng.choice([60, 120]))).strip() for _ in range(6)]
+    items = [" ".join(x.split()) for x in items]
+    index = decontam.Items(items)
+    for _ in range(60):
+        i = rng.randrange(6)
+        text = list(items[i])
+        for _ in range(rng.randrange(9)):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice([[], ["q"], [text[at], "z"]])
+        text = " ".join(("k" * rng.randrange(30) + "".join(text) + "m" * rng.randrange(30)).split())
+        found = {i: e for _, i, e, _, _ in index.find(*common.text_buffers(pa.array([text])))}
+        for j, item in enumerate(items):
+            edits = edits_of(item, text)
+            assert (edits <= index.budget[j]) == (j in found)
+            if j in found:
+                assert found[j] == edits
+
+
+def test_item_identifiers_of_any_type(spark):
+    docs = spark.createDataFrame([(1, "so this is a passage of the benchmark here"), (2, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a-1", "this is a passage of the benchmark"), (None, "is a passage of the bench")], "item_id string, text string")
+    got = decontam.find_leaks(docs, bench)
+    assert got.schema["item_id"].dataType.simpleString() == "string"
+    assert sorted((r.doc_id, r.item_id or "") for r in got.collect()) == [(1, ""), (1, "a-1")]
