@@ -2,6 +2,10 @@
 
 Toxic documents go, of equal texts one row stays, of near duplicates one row stays, documents that hold a benchmark
 passage go, and what is left is encoded. All stages but the last return the columns of `documents`.
+
+Defined results: an empty table gives no rows; null texts count as empty, and one empty text stays; without labels of both
+kinds no document is toxic; rows without an identifier are rows like others; of fully repeated rows one stays; very long
+texts pass whole; extra columns go along up to the last stage, which returns those of its operator.
 """
 
 from __future__ import annotations
@@ -45,11 +49,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is written to the shared folder and read again."""
+    """All stages over the documents; each result is written to the shared folder and read again, and goes once the next is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = common.scratch(spark, "pipeline")
+    folder, before = common.scratch(spark, "pipeline"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            common.discard(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -671,6 +671,61 @@ def hull_2d(spark, d):
     return rounded(thermo.hull_distance(_binary(spark, d), "p_brand", "p_partkey", ["a", "b"], "energy"))
 
 
+def _alloys(spark, d, n):
+    """Entries of n components with small whole shares; a tenth of them are pure."""
+    most = (4, 3, 3) if n == 3 else (3, 2, 2, 2)
+    numbers = [F.col("p_partkey"), F.col("p_size"), F.floor(F.col("p_partkey") / 7), F.floor(F.col("p_partkey") / 11)]
+    parts = [x % m for x, m in zip(numbers, most, strict=False)]
+    pure = F.col("p_partkey") % 10 == 0
+    which = F.floor(F.col("p_partkey") / 10) % n
+    shares = [F.when(pure, (which == k).cast("int")).otherwise(x + (1 if k == 0 else 0)).cast("double").alias(f"x{k}") for k, x in enumerate(parts)]
+    return load(spark, d, "part").select("p_mfgr", "p_partkey", *shares, (-(F.col("p_partkey") * 7 % 97) / 50.0).alias("energy"))
+
+
+def _alloys_sql(n: int) -> str:
+    """Interpolated energies of all simplices of compositions that hold one, by Cramer's rule; the least is the hull's."""
+    most = (4, 3, 3) if n == 3 else (3, 2, 2, 2)
+    parts = [f"{x} % {m}" for x, m in zip(("p_partkey", "p_size", "p_partkey // 7", "p_partkey // 11"), most, strict=False)]
+    parts[0] += " + 1"
+    shares = ", ".join(f"(CASE WHEN p_partkey % 10 = 0 THEN (p_partkey // 10 % {n} = {k})::INT ELSE {x} END)::DOUBLE AS x{k}" for k, x in enumerate(parts))
+    total = " + ".join(f"x{k}" for k in range(n))
+    names = [f"x{k}" for k in range(n)]
+
+    def det(rows: list[str]) -> str:
+        if len(rows) == 1:
+            return f"{rows[0]}.{names[0]}"
+        # along the last column
+        k = len(rows) - 1
+        return "(" + " ".join(f"{'+' if (i + k) % 2 == 0 else '-'} {r}.{names[k]} * {det(rows[:i] + rows[i + 1 :])}" for i, r in enumerate(rows)) + ")"
+
+    corners = [f"c{k}" for k in range(n)]
+    joins = "".join(f" JOIN l c{k} ON c{k}.p_mfgr = c0.p_mfgr AND c{k}.i > c{k - 1}.i" for k in range(1, n))
+    # the same sums of products, with one corner replaced by the composition
+    weights = [det([*corners[:k], "t", *corners[k + 1 :]]) for k in range(n)]
+    return f"""
+        WITH r AS (SELECT p_mfgr, p_partkey, -(p_partkey * 7 % 97) / 50.0 AS energy, {shares} FROM part),
+        e AS (SELECT p_mfgr, p_partkey, energy::DOUBLE AS energy, {", ".join(f"x{k} / ({total}) AS x{k}" for k in range(n))} FROM r),
+        k AS (SELECT p_mfgr, {", ".join(names)}, min(energy) AS m FROM e GROUP BY ALL),
+        l AS (SELECT *, row_number() OVER (PARTITION BY p_mfgr ORDER BY {", ".join(names)}) AS i FROM k),
+        s AS (SELECT c0.p_mfgr, {", ".join(f"c{k}.i AS i{k}" for k in range(n))}, {det(corners)} AS det FROM l c0{joins}),
+        w AS (SELECT t.p_mfgr, t.i, ({" + ".join(f"{w} * c{k}.m" for k, w in enumerate(weights))}) / s.det AS hull, least({", ".join(f"{w} / s.det" for w in weights)}) AS least
+            FROM s {" ".join(f"JOIN l c{k} ON c{k}.p_mfgr = s.p_mfgr AND c{k}.i = s.i{k}" for k in range(n))} JOIN l t ON t.p_mfgr = s.p_mfgr WHERE abs(s.det) > 1e-9),
+        h AS (SELECT p_mfgr, i, min(hull) AS hull FROM w WHERE least > -1e-9 GROUP BY ALL)
+        SELECT e.p_mfgr, p_partkey, round(greatest(energy - hull, 0), 6) AS e_above_hull
+        FROM e JOIN l USING (p_mfgr, {", ".join(names)}) JOIN h ON h.p_mfgr = l.p_mfgr AND h.i = l.i
+    """
+
+
+@query(_alloys_sql(3))
+def hull_ternary(spark, d):
+    return rounded(thermo.hull_distance(_alloys(spark, d, 3), "p_mfgr", "p_partkey", ["x0", "x1", "x2"], "energy"))
+
+
+@query(_alloys_sql(4))
+def hull_quaternary(spark, d):
+    return rounded(thermo.hull_distance(_alloys(spark, d, 4), "p_mfgr", "p_partkey", ["x0", "x1", "x2", "x3"], "energy"))
+
+
 @query("""
     WITH e AS (SELECT user_id, epoch(ts) / 3600.0 AS t, avg(value) AS v FROM events GROUP BY 1, 2),
     m AS (SELECT (min(t) + max(t)) / 2 AS mid FROM e),
@@ -721,40 +776,64 @@ def strip_html(spark, d):
 
 
 @query("""
-    SELECT cell, number::DOUBLE AS number FROM (VALUES ('1.5', 1.5), ('<b>2</b>', 2.0), ('3.25 ± 0.5', 3.25), ('4(2)', 4.0), ('−7', -7.0), ('1e3', 1000.0), ('12 kg', NULL), ('', NULL), ('NaN', NULL), ('5 +- 1', 5.0), ('1d', NULL)) t(cell, number)
+    SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN NULL WHEN 1 THEN -p_size ELSE p_size END::DOUBLE AS number FROM part
 """)
 def parse_numeric_text(spark, d):
-    cells = ["1.5", "<b>2</b>", "3.25 ± 0.5", "4(2)", "−7", "1e3", "12 kg", "", "NaN", "5 +- 1", "1d"]
-    return spark.createDataFrame([(x,) for x in cells], "cell string").withColumn("number", text.parse_numeric(F.col("cell")))
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    cell = F.when(kind == 0, F.concat(F.lit("<b>"), size, F.lit("</b>"))).when(kind == 1, F.concat(F.lit("−"), size)).when(kind == 2, F.concat(size, F.lit(" ± 0.5")))
+    cell = cell.when(kind == 3, F.concat(size, F.lit(" kg"))).otherwise(F.concat(size, F.lit("(2)")))
+    return load(spark, d, "part").select("p_partkey", text.parse_numeric(cell).alias("number"))
 
 
-@query("""
-    SELECT * FROM (VALUES ('H2O', 'H2O', 'H-O'), ('Fe4O6', 'Fe2O3', 'Fe-O'), ('Ca(OH)2', 'CaH2O2', 'Ca-H-O'), ('CuSO4·5H2O', 'CuH10O9S', 'Cu-H-O-S'), ('[Fe(CN)6]4-', 'C6FeN6', 'C-Fe-N'),
-        ('Li0.5CoO2', 'Co2LiO4', 'Co-Li-O'), ('Xx2', NULL, NULL), ('Na+', 'Na', 'Na'), ('C₂H₆', 'CH3', 'C-H')) t(formula, reduced, system)
+_FORMULAS = """
+    SELECT p_partkey, p_partkey % 3 AS kind, 1 + p_size % 6 AS a, 1 + p_partkey % 4 AS b, gcd(1 + p_size % 6, 1 + p_partkey % 4) AS g FROM part
+"""
+_FORMULA_OF = "CASE kind WHEN 0 THEN 'Fe' || a || 'O' || b WHEN 1 THEN 'Li' || a || '(PO4)' || b WHEN 2 THEN 'Xx' || a END"
+
+
+def _formulas(spark, d):
+    """p_partkey and a formula: iron oxides, lithium phosphates, and texts that are none."""
+    a, b = (1 + F.col("p_size") % 6).cast("string"), (1 + F.col("p_partkey") % 4).cast("string")
+    kind = F.col("p_partkey") % 3
+    made = F.when(kind == 0, F.concat(F.lit("Fe"), a, F.lit("O"), b)).when(kind == 1, F.concat(F.lit("Li"), a, F.lit("(PO4)"), b)).otherwise(F.concat(F.lit("Xx"), a))
+    return load(spark, d, "part").select("p_partkey", made.alias("formula"))
+
+
+def _times(n: str) -> str:
+    return f"CASE WHEN {n} = 1 THEN '' ELSE ({n})::BIGINT::VARCHAR END"
+
+
+@query(f"""
+    SELECT p_partkey, {_FORMULA_OF} AS formula,
+        CASE kind WHEN 0 THEN 'Fe' || {_times("a / g")} || 'O' || {_times("b / g")}
+            WHEN 1 THEN 'Li' || {_times("a / g")} || 'O' || {_times("4 * b / g")} || 'P' || {_times("b / g")} END AS reduced,
+        CASE kind WHEN 0 THEN 'Fe-O' WHEN 1 THEN 'Li-O-P' END AS system FROM ({_FORMULAS})
 """)
 def formula_reduction(spark, d):
-    rows = ["H2O", "Fe4O6", "Ca(OH)2", "CuSO4·5H2O", "[Fe(CN)6]4-", "Li0.5CoO2", "Xx2", "Na+", "C₂H₆"]
-    out = spark.createDataFrame([(x,) for x in rows], "formula string")
-    return out.withColumn("reduced", formula.reduced_formula("formula")).withColumn("system", formula.chemical_system("formula"))
+    return _formulas(spark, d).withColumn("reduced", formula.reduced_formula("formula")).withColumn("system", formula.chemical_system("formula"))
 
 
-@query("SELECT * FROM (VALUES ('Fe-O', 2), ('Li', 1), ('O', 1)) t(system, count)")
+@query(f"SELECT CASE kind WHEN 0 THEN 'Fe-O' WHEN 1 THEN 'Li-O-P' END AS system, count(*)::INTEGER AS count FROM ({_FORMULAS}) GROUP BY 1")
 def chem_sys_counts(spark, d):
-    rows = spark.createDataFrame([("Fe2O3",), ("FeO",), ("Li",), ("O2",)], "formula string")
-    return rows.groupBy(formula.chemical_system("formula").alias("system")).agg(F.count("*").cast("int").alias("count"))
+    return _formulas(spark, d).groupBy(formula.chemical_system("formula").alias("system")).agg(F.count("*").cast("int").alias("count"))
 
 
-@query("SELECT formula, element, fraction::DOUBLE AS fraction FROM (VALUES ('Fe2O3', 'Fe', 0.4), ('Fe2O3', 'O', 0.6), ('LiFePO4', 'Fe', 0.142857), ('LiFePO4', 'Li', 0.142857), ('LiFePO4', 'O', 0.571429), ('LiFePO4', 'P', 0.142857)) t(formula, element, fraction)")
+@query(f"""
+    WITH f AS (SELECT * FROM ({_FORMULAS}))
+    SELECT p_partkey, 'Fe' AS element, round(a / (a + b), 6)::DOUBLE AS fraction FROM f WHERE kind = 0
+    UNION ALL SELECT p_partkey, 'O', round(b / (a + b), 6) FROM f WHERE kind = 0
+    UNION ALL SELECT p_partkey, 'Li', round(a / (a + 5 * b), 6) FROM f WHERE kind = 1
+    UNION ALL SELECT p_partkey, 'P', round(b / (a + 5 * b), 6) FROM f WHERE kind = 1
+    UNION ALL SELECT p_partkey, 'O', round(4 * b / (a + 5 * b), 6) FROM f WHERE kind = 1
+""")
 def fractional_composition(spark, d):
-    rows = spark.createDataFrame([("Fe2O3",), ("LiFePO4",)], "formula string")
-    parsed = rows.withColumn("amounts", formula.parse_formula("formula"))
-    return rounded(parsed.select("formula", F.explode(formula.fractions(F.col("amounts"))).alias("element", "fraction")))
+    parsed = _formulas(spark, d).withColumn("amounts", formula.parse_formula("formula"))
+    return rounded(parsed.select("p_partkey", F.explode(formula.fractions(F.col("amounts"))).alias("element", "fraction")))
 
 
-@query("SELECT * FROM (VALUES ('Fe2O3'), ('LiFePO4')) t(formula)")
+@query(f"SELECT p_partkey, {_FORMULA_OF} AS formula FROM ({_FORMULAS}) WHERE kind = 0")
 def formula_filter(spark, d):
-    rows = spark.createDataFrame([("Fe2O3",), ("LiFePO4",), ("CoO",), ("FeS",)], "formula string")
-    return rows.where(formula.matches_elements(formula.parse_formula("formula"), ["Fe", "O"], ["S"])).select("formula")
+    return _formulas(spark, d).where(formula.matches_elements(formula.parse_formula("formula"), ["Fe", "O"], ["S", "P"]))
 
 
 @query("SELECT event_id, round(CASE WHEN round(x, 15) >= 1 THEN 0 ELSE round(x, 15) END, 9) AS fraction FROM (SELECT event_id, value / 7 - floor(value / 7) AS x FROM events)")
@@ -778,4 +857,4 @@ def windowed_events(spark, d):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from . import catalogue_materials  # noqa: E402, F401  registers its queries
+from . import catalogue_files, catalogue_materials  # noqa: E402, F401  register their queries

@@ -268,10 +268,17 @@ def fragments(spark, d):
     return graph.fragments(pairs.radius_pairs(sites, 0.8), sites, "site", "other")
 
 
-@query("SELECT * FROM (VALUES (2), (3), (4)) t(node)")
+@query("""
+    WITH RECURSIVE l AS (SELECT DISTINCT p_partkey % 60 AS s, CASE WHEN p_partkey % 60 IN (20, 44) THEN p_partkey % 60 - 5 ELSE p_partkey % 60 + 1 + p_size % 2 END AS t FROM part),
+    r AS (SELECT s, t FROM l UNION SELECT r.s, l.t FROM r JOIN l ON l.s = r.t),
+    c AS (SELECT DISTINCT s AS n FROM r WHERE s = t)
+    SELECT n AS node FROM c UNION
+    SELECT a.t FROM r a JOIN c ON c.n = a.s JOIN r b ON b.s = a.t JOIN c e ON e.n = b.t
+""")
 def cyclic_nodes(spark, d):
-    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 2), (4, 5), (6, 1)], "source int, target int")
-    return graph.cyclic_nodes(links)
+    s = F.col("p_partkey") % 60
+    t = F.when(s.isin(20, 44), s - 5).otherwise(s + 1 + F.col("p_size") % 2)
+    return graph.cyclic_nodes(load(spark, d, "part").select(s.alias("source"), t.alias("target")))
 
 
 # --- phases ---

@@ -8,45 +8,49 @@ from pyspark.sql import functions as F
 from ..storage import cut
 
 
-def levels(nodes: DataFrame, name: str, parent: str, most: int = 50) -> DataFrame:
+def levels(nodes: DataFrame, name: str, parent: str) -> DataFrame:
     """name, depth, path of every node below a root; a repeated name, an unknown parent or a cycle raises.
 
-    One join a level; `most` bounds the depth, and a deeper tree raises.
+    Each round doubles the stretch of ancestors that a node knows, so the number of rounds grows with the logarithm of the depth.
     """
     if nodes.groupBy(name).count().where("count > 1").limit(1).count():
         raise ValueError("a node is named twice")
-    found = nodes.where(F.col(parent).isNull()).select(name, F.lit(0).alias("depth"), F.col(name).cast("string").alias("path"))
-    level, total = found, nodes.count()
-    for depth in range(1, most + 1):
-        up = level.select(F.col(name).alias(parent), F.col("path").alias("_path"))
-        level = cut(nodes.join(up, parent).select(name, F.lit(depth).alias("depth"), F.concat_ws("/", "_path", F.col(name).cast("string")).alias("path")))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    if found.count() != total:
-        raise ValueError("a node has an unknown parent, or the parents form a cycle or go too deep")
-    return found
-
-
-def cyclic_nodes(links: DataFrame, source: str = "source", target: str = "target", most: int = 100) -> DataFrame:
-    """Nodes that lie on or between cycles: links whose ends have no way in or out are taken off until none is left."""
+    up = F.col(parent)
+    if not nodes.where(up.isNotNull()).join(nodes.select(F.col(name).alias(parent)), parent, "left_anti").isEmpty():
+        raise ValueError("a node has an unknown parent")
+    known = cut(nodes.select(F.col(name).alias("node"), up.alias("up"), up.isNotNull().cast("int").alias("depth"), F.col(name).cast("string").alias("path")))
+    reach, total = 1, nodes.count()
+    while not known.where("up is not null").isEmpty():
+        if reach > total:
+            raise ValueError("the parents form a cycle")
+        above = known.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("path").alias("head"))
+        joined = known.where("up is not null").join(above, "up")
+        longer = joined.select("node", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.concat_ws("/", "head", "path").alias("path"))
+        known, reach = cut(known.where("up is null").unionByName(longer)), 2 * reach
+    return known.select(F.col("node").alias(name), "depth", "path")
+
+
+def cyclic_nodes(links: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+    """Nodes that lie on or between cycles: links whose ends have no way in or out are taken off until none is left.
+
+    A round takes one link off each end of a chain, so the rounds grow with the longest chain that leads into or out of the cycles.
+    """
     edges = links.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct()
     size = edges.count()
-    for _ in range(most):
+    while True:
         edges = edges.join(edges.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(edges.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t")
         edges = cut(edges)
         left = edges.count()
         if left == size:
             return edges.select(F.col("s").alias("node")).distinct()
         size = left
-    raise ValueError("the links are too long a chain")
 
 
-def fragments(bonds: DataFrame, sites: DataFrame, a: str = "a", b: str = "b", site: str = "site", most: int = 60) -> DataFrame:
+def fragments(bonds: DataFrame, sites: DataFrame, a: str = "a", b: str = "b", site: str = "site") -> DataFrame:
     """site, fragment: the smallest site that bonds lead to; labels halve their way each round."""
     labels = sites.select(F.col(site).alias("site"), F.col(site).alias("fragment"))
     both = bonds.select(F.col(a).alias("p"), F.col(b).alias("q")).unionByName(bonds.select(F.col(b).alias("p"), F.col(a).alias("q"))).distinct()
-    for _ in range(most):
+    while True:
         near = both.join(labels.select(F.col("site").alias("q"), "fragment"), "q").groupBy(F.col("p").alias("site")).agg(F.min("fragment").alias("m"))
         new = labels.join(near, "site", "left").select("site", F.least("fragment", F.coalesce("m", "fragment")).alias("fragment"))
         # jump: a label's own label
@@ -56,4 +60,3 @@ def fragments(bonds: DataFrame, sites: DataFrame, a: str = "a", b: str = "b", si
         if new.join(labels.withColumnRenamed("fragment", "old"), "site").where("fragment <> old").isEmpty():
             return new
         labels = new
-    raise ValueError("fragments did not settle")

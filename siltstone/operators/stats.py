@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import joins
 from ..functions import numeric as N
 from . import table
 
@@ -12,21 +13,21 @@ from . import table
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, min, q05, median, mean, q95, max over the finite values; quantiles interpolate linearly.
 
-    One pass: the columns become rows, and all statistics are aggregates by column.
+    The columns become rows, and all statistics are aggregates by column; quantiles come from counts of equal values.
     """
     rows = table.unpivot(df.select(columns), [], columns).withColumn("value", N.finite(F.col("value")))
-    q = F.percentile("value", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = rows.groupBy("key").agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), q.alias("q"))
-    return out.select(F.col("key").alias("column"), "n", "min", F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), "mean", F.col("q")[2].alias("q95"), "max")
+    base = rows.groupBy("key").agg(F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
+    out = base.join(joins.quantiles(rows, "key", "value", [0.05, 0.5, 0.95]), "key", "left")  # one row a column
+    return out.select(F.col("key").alias("column"), "n", "min", F.col("q0").alias("q05"), F.col("q1").alias("median"), "mean", F.col("q2").alias("q95"), "max")
 
 
 def color_domains(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """mode, low, high of the minmax, diverging (symmetric) and quantile domains."""
-    v = N.finite(F.col(column).cast("double"))
-    q = F.percentile(v, F.array(F.lit(low), F.lit(high)))
-    one = df.agg(F.min(v).alias("a"), F.max(v).alias("b"), q.alias("q")).withColumn("m", F.greatest(F.abs("a"), F.abs("b")))
+    """mode, low, high of the minmax, diverging (symmetric) and quantile domains; null without any finite value."""
+    rows = df.select(F.lit(0).alias("all"), N.finite(F.col(column).cast("double")).alias("v"))
+    ends = rows.groupBy("all").agg(F.min("v").alias("a"), F.max("v").alias("b")).withColumn("m", F.greatest(F.abs("a"), F.abs("b")))
+    one = ends.join(joins.quantiles(rows, "all", "v", [low, high]), "all", "left")
     domain = lambda name, a, b: F.struct(F.lit(name).alias("mode"), a.alias("low"), b.alias("high"))
-    modes = F.array(domain("minmax", F.col("a"), F.col("b")), domain("diverging", -F.col("m"), F.col("m")), domain("quantile", F.col("q")[0], F.col("q")[1]))
+    modes = F.array(domain("minmax", F.col("a"), F.col("b")), domain("diverging", -F.col("m"), F.col("m")), domain("quantile", F.col("q0"), F.col("q1")))
     return one.select(F.explode(modes).alias("x")).select("x.*")
 
 
@@ -55,18 +56,17 @@ def box_stats(df: DataFrame, group: str, column: str, mode: str = "tukey", reach
     """group, q1, median, q3, low, high, n_outliers. Whiskers: tukey, minmax, percentile (5 to 95) or std (one sample sd)."""
     v = F.col(column).cast("double")
     rows = df.where(N.finite(v).isNotNull()).select(group, v.alias("v"))
-    q = F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.05, 0.95))))
-    base = rows.groupBy(group).agg(q.alias("q"), F.min("v").alias("a"), F.max("v").alias("b"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
-    q1, q3 = F.col("q")[0], F.col("q")[2]
+    base = rows.groupBy(group).agg(F.count("v").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
+    base = base.join(joins.quantiles(rows, group, "v", [0.25, 0.5, 0.75, 0.05, 0.95]), group)  # one row a group on both sides
+    q1, q3 = F.col("q0"), F.col("q2")
     limits = {
         "tukey": (q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)),
         "minmax": (F.col("a"), F.col("b")),
-        "percentile": (F.col("q")[3], F.col("q")[4]),
+        "percentile": (F.col("q3"), F.col("q4")),
         "std": (F.greatest(F.col("a"), F.col("m") - F.coalesce("s", F.lit(0.0))), F.least(F.col("b"), F.col("m") + F.coalesce("s", F.lit(0.0)))),
     }[mode]
-    base = base.select(group, q1.alias("q1"), F.col("q")[1].alias("median"), q3.alias("q3"), limits[0].alias("from"), limits[1].alias("to"))
-    # one row a group on the right: AQE broadcasts it when it is small and splits hot groups otherwise
-    joined = rows.join(base, group)
+    base = base.select(group, "n", q1.alias("q1"), F.col("q1").alias("median"), q3.alias("q3"), limits[0].alias("from"), limits[1].alias("to"))
+    joined = joins.join_groups(rows, base, group, "n")
     inside = F.col("v").between(F.col("from"), F.col("to"))
     low = F.min(F.when(inside, F.col("v"))) if mode == "tukey" else F.first("from")
     high = F.max(F.when(inside, F.col("v"))) if mode == "tukey" else F.first("to")
@@ -76,10 +76,10 @@ def box_stats(df: DataFrame, group: str, column: str, mode: str = "tukey", reach
 def silverman(df: DataFrame, group: str, column: str) -> DataFrame:
     """group, n, low, high, bandwidth = 0.9 min(sd, IQR / 1.34) n^(-1/5); the sd where the IQR is 0, and 1 where both are."""
     v = F.col(column).cast("double")
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
     rows = df.where(N.finite(v).isNotNull()).select(group, v.alias("v"))
-    base = rows.groupBy(group).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_samp("v").alias("s"), q.alias("q"))
-    iqr = (F.col("q")[1] - F.col("q")[0]) / 1.34
+    base = rows.groupBy(group).agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.stddev_samp("v").alias("s"))
+    base = base.join(joins.quantiles(rows, group, "v", [0.25, 0.75]), group)  # one row a group on both sides
+    iqr = (F.col("q1") - F.col("q0")) / 1.34
     spread = F.when(iqr > 0, F.least("s", iqr)).otherwise(F.col("s"))
     width = F.when((F.col("n") < 2) | (spread <= 0), 1.0).otherwise(0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     return base.select(group, "n", "low", "high", width.alias("bandwidth"))
@@ -88,31 +88,34 @@ def silverman(df: DataFrame, group: str, column: str) -> DataFrame:
 def kde(df: DataFrame, group: str, column: str, points: int = 32, cut: float = 3.0) -> DataFrame:
     """group, point, x, density on an even grid that reaches `cut` bandwidths beyond the data.
 
-    Each sample is sent to the grid's `points` places of its own group and summed before the shuffle.
+    Equal values are counted first; each then adds to `points` sums of its group, which are combined before the shuffle.
     """
     base = silverman(df, group, column)
     v = F.col(column).cast("double")
-    rows = df.where(N.finite(v).isNotNull()).select(group, v.alias("v")).join(base, group)
+    rows = df.where(N.finite(v).isNotNull()).groupBy(group, v.alias("v")).agg(F.count("*").alias("times"))
+    rows = joins.join_groups(rows, base, group, "n")
     start, stop = F.col("low") - cut * F.col("bandwidth"), F.col("high") + cut * F.col("bandwidth")
-    x = start + (stop - start) * F.col("point") / (points - 1)
-    spread = rows.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", x)
-    z = (F.col("x") - F.col("v")) / F.col("bandwidth")
+    at = [start + (stop - start) * k / (points - 1) for k in range(points)]
+    z = [(x - F.col("v")) / F.col("bandwidth") for x in at]
     norm = F.col("n") * F.col("bandwidth") * 2.5066282746310002
-    return spread.groupBy(group, "point").agg(F.first("x").alias("x"), F.sum(F.exp(-0.5 * z * z) / norm).alias("density"))
+    sums = [F.sum(F.col("times") * F.exp(-0.5 * k * k) / norm).alias(f"d{i}") for i, k in enumerate(z)]
+    wide = rows.groupBy(group).agg(*[F.first(c).alias(c) for c in ("low", "high", "bandwidth")], *sums)
+    grid = F.array(*[F.struct(F.lit(i).alias("point"), x.alias("x"), F.col(f"d{i}").alias("density")) for i, x in enumerate(at)])
+    return wide.select(group, F.explode(grid).alias("g")).select(group, "g.*")
 
 
 def ecdf(df: DataFrame, group: str, column: str, weight: str | None = None) -> DataFrame:
     """group, value, cumulative: the weighted distribution; negative and non-finite weights are dropped.
 
-    Ties are summed first, so a window holds the distinct values of its group only.
+    Ties are summed first, and the distinct values of a group are dealt over tasks by range.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(group, F.col(column).cast("double").alias("value"), w.alias("w"))
     rows = rows.where(N.finite(F.col("value")).isNotNull() & N.finite(F.col("w")).isNotNull() & (F.col("w") >= 0))
     sums = rows.groupBy(group, "value").agg(F.sum("w").alias("w"))
-    upto = Window.partitionBy(group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(group)
-    return sums.select(group, "value", (F.sum("w").over(upto) / F.sum("w").over(whole)).alias("cumulative"))
+    totals = sums.groupBy(group).agg(F.sum("w").alias("whole"), F.count("*").alias("n"))
+    known = joins.join_groups(joins.below(sums, group, "value", "w"), totals, group, "n")
+    return known.select(group, "value", ((F.col("below") + F.col("w")) / F.col("whole")).alias("cumulative"))
 
 
 def density_2d(df: DataFrame, x: str, y: str, x_range: tuple[float, float], y_range: tuple[float, float], x_bins: int, y_bins: int, first: Column) -> DataFrame:
@@ -165,7 +168,9 @@ def plottable(df: DataFrame, columns: list[str], least: float = 1e-6) -> DataFra
 
 
 def normalize_values(df: DataFrame, group: str, x: str, y: str, mode: str = "max") -> DataFrame:
-    """y over the group's largest |y| or its sum."""
-    whole = Window.partitionBy(group)
-    by = F.max(F.abs(y)).over(whole) if mode == "max" else F.sum(y).over(whole)
-    return df.select(group, x, F.when(by != 0, F.col(y) / by).otherwise(F.col(y)).alias("normalized"))
+    """y over the group's largest |y| or its sum; rows without a group are one group."""
+    named = df.select(group, x, y, F.struct(F.col(group)).alias("_group"))
+    by = F.max(F.abs(y)) if mode == "max" else F.sum(y)
+    groups = named.groupBy("_group").agg(by.alias("_by"), F.count("*").alias("_n"))
+    joined = joins.join_groups(named, groups, "_group", "_n")
+    return joined.select(group, x, F.when(F.col("_by") != 0, F.col(y) / F.col("_by")).otherwise(F.col(y)).alias("normalized"))

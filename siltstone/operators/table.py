@@ -109,3 +109,26 @@ def first_wins(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     names = df.columns
     packed = df.groupBy(*key).agg(F.min_by(F.struct(*names), F.struct(*order)).alias("row"))
     return packed.select("row.*")
+
+
+def discover_columns(df: DataFrame, text: str, order: str) -> DataFrame:
+    """column, first, n, n_numeric, kind: the keys of JSON objects in a text column, by their first row, with how their values look.
+
+    All rows are read, whatever their number. The kind is numeric or string where 80 % of the values are, else mixed.
+    """
+    pairs = df.select(F.col(order).alias("_at"), F.explode(F.from_json(text, "map<string, string>")).alias("column", "value"))
+    numeric = T.parse_numeric(F.col("value")).isNotNull()
+    out = pairs.groupBy("column").agg(F.min("_at").alias("first"), F.count("value").alias("n"), F.count_if(numeric).alias("n_numeric"))
+    kind = F.when((F.col("n") > 0) & (F.col("n_numeric") >= 0.8 * F.col("n")), "numeric").when((F.col("n") > 0) & (F.col("n") - F.col("n_numeric") >= 0.8 * F.col("n")), "string").otherwise("mixed")
+    return out.withColumn("kind", kind)
+
+
+def suggest_roles(df: DataFrame, names: dict[str, list[str]]) -> dict[str, str]:
+    """The column for each role: the first whose name is in the role's list, else the first numeric one that no role has yet."""
+    lower, numeric = {c.lower(): c for c in df.columns}, [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint") or t.startswith("decimal")]
+    found = {role: next(lower[n] for n in wanted if n in lower) for role, wanted in names.items() if any(n in lower for n in wanted)}
+    for role in names:
+        free = [c for c in numeric if c not in found.values()]
+        if role not in found and free:
+            found[role] = free[0]
+    return found

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..joins import join_groups
+
 
 def min_entries(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """The first row of each group by a total order."""
@@ -39,47 +41,91 @@ def formation_energy(entries: DataFrame, refs: DataFrame, entry: str = "entry_id
     return sums.select(entry, F.when(~F.col("lacks"), (F.col("energy") - F.col("base")) / F.col("atoms")).alias("e_form_per_atom"))
 
 
-def hull_energies(points: np.ndarray, energies: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
-    """For each point (fractions that sum to 1), the lowest energy of mixtures of points with the same composition.
+def _with_pure(points: np.ndarray, energies: np.ndarray, fill: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """The points, those pure ones that lack at energy `fill`, and how many were there."""
+    d = points.shape[1]
+    lacking = np.eye(d)[[k for k in range(d) if not (points[:, k] > 1 - 1e-9).any()]]
+    return np.vstack([points, lacking]), np.concatenate([energies, np.full(len(lacking), fill)]), len(points)
 
-    The simplex method, with the lowest pure points as the first basis; a pure point that lacks is taken at energy 0.
+
+def hull_facets(points: np.ndarray, energies: np.ndarray, tolerance: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """(prices, vertices) of the facets of the lower hull over fractions that sum to 1; all pure points have to be there.
+
+    A facet's energy is linear, prices @ fractions. The lowest pure points span the first facet. The point farthest below
+    its facet is added until none lies below: facets that it sees go, and new ones join it with the ridges around them.
     """
-    n, d = points.shape
-    lacking = np.eye(d)[[k for k in range(d) if not (points[:, k] > 1 - 1e-9).any()]]
-    points, energies = np.vstack([points, lacking]), np.concatenate([energies, np.zeros(len(lacking))])
-    pure = [np.flatnonzero(points[:, k] > 1 - 1e-9) for k in range(d)]
-    start = [int(x[energies[x].argmin()]) for x in pure]
-    out = np.empty(n)
-    for i in range(n):
-        basis = list(start)
-        for _ in range(50 * d + len(points)):
-            b = points[basis].T
-            prices = np.linalg.solve(points[basis], energies[basis])
-            gain = energies - points @ prices
-            enter = int(gain.argmin())
-            if gain[enter] > -tolerance:
-                break
-            share, rate = np.linalg.solve(b, points[i]), np.linalg.solve(b, points[enter])
-            ratio = np.where(rate > 1e-12, np.maximum(share, 0) / np.where(rate > 1e-12, rate, 1), np.inf)
-            basis[int(ratio.argmin())] = enter
-        out[i] = points[i] @ np.linalg.solve(points[basis], energies[basis])
+    d = points.shape[1]
+    start = [int(x[energies[x].argmin()]) for x in (np.flatnonzero(points[:, k] > 1 - 1e-9) for k in range(d))]
+    faces = np.array([start])
+    prices = np.linalg.solve(points[faces], energies[faces][..., None])[..., 0]
+    owner = np.zeros(len(points), np.int64)
+    left = np.arange(len(points))
+    gap = energies - points @ prices[0]
+    while True:
+        on = gap < -tolerance
+        left, owner, gap = left[on], owner[on], gap[on]
+        if not len(left):
+            return prices, faces
+        low = int(gap.argmin())
+        new = left[low]
+        seen = energies[new] - prices @ points[new] < -tolerance
+        seen[owner[low]] = True
+        ridges = np.sort(np.concatenate([np.delete(faces[seen], k, 1) for k in range(d)]), 1)
+        ridges, often = np.unique(ridges, axis=0, return_counts=True)
+        around = np.hstack([ridges[often == 1], np.full((int((often == 1).sum()), 1), new)])
+        around = around[np.abs(np.linalg.det(points[around])) > 1e-12]  # those within the simplex's border are walls
+        more = np.linalg.solve(points[around], energies[around][..., None])[..., 0]
+        place = np.cumsum(~seen) - 1
+        faces, prices = np.vstack([faces[~seen], around]), np.vstack([prices[~seen], more])
+        moved = seen[owner]
+        owner = place[owner]
+        height = points[left[moved]] @ more.T
+        best = height.argmax(1)
+        owner[moved] = len(faces) - len(more) + best
+        gap[moved] = energies[left[moved]] - height[np.arange(len(best)), best]
+
+
+def hull_energies(points: np.ndarray, energies: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """For each point, the lowest energy of mixtures of points with the same composition; a pure point that lacks is at 0."""
+    prices, _ = hull_facets(*_with_pure(points, energies, 0.0)[:2], tolerance)
+    out = np.empty(len(points))
+    for part in np.array_split(np.arange(len(points)), 1 + len(points) * len(prices) // (1 << 22)):
+        out[part] = (points[part] @ prices.T).max(1)
     return out
 
 
-def hull_distance(df: DataFrame, system: str, entry: str, components: list[str], energy: str) -> DataFrame:
+def hull_distance(df: DataFrame, system: str, entry: str, components: list[str], energy: str, part: int = 20_000) -> DataFrame:
     """system, entry, e_above_hull: energies above the lower convex hull of each chemical system.
 
-    A hull is serial within its system, whose entries are few; systems run in parallel.
+    Of the entries of one composition only the lowest can be on the hull. A system's compositions are dealt over parts of about
+    `part`; the corners of the parts' hulls are few, and the hull of a system is that of its parts' corners. The facets,
+    some numbers a system, then meet the entries in a join that splits large systems, and distances are column expressions.
     """
-    kinds = dict(df.dtypes)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        points = pdf[components].to_numpy(float)
-        points = points / points.sum(1, keepdims=True)
-        e = pdf[energy].to_numpy(float)
-        return pd.DataFrame({system: pdf[system], entry: pdf[entry], "e_above_hull": np.maximum(e - hull_energies(points, e), 0.0)})
-
-    return df.groupBy(system).applyInPandas(run, f"{system} {kinds[system]}, {entry} {kinds[entry]}, e_above_hull double")
+    d = len(components)
+    total = sum((F.col(c).cast("double") for c in components[1:]), F.col(components[0]).cast("double"))
+    rows = df.select(F.col(system).alias("system"), F.col(entry).alias("entry"), F.col(energy).cast("double").alias("e"), F.array(*[F.col(c).cast("double") / total for c in components]).alias("x"))
+    kind = rows.schema["system"].dataType.simpleString()
+    lowest = rows.groupBy("system", "x").agg(F.min("e").alias("e"))
+    sizes = rows.groupBy("system").agg(F.count("*").alias("n"))
+    dealt = join_groups(lowest, sizes, "system", "n").withColumn("part", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / part)))
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        points, e = np.array(pdf["x"].tolist()), pdf["e"].to_numpy(float)
+        # a pure point that other parts may have must hide nothing here
+        _, faces = hull_facets(*_with_pure(points, e, max(e.max(), 0.0) + 1.0)[:2])
+        found = np.unique(faces)
+        return pdf.iloc[found[found < len(points)]][["system", "x", "e"]]
+
+    def facets(pdf: pd.DataFrame) -> pd.DataFrame:
+        points, e, _ = _with_pure(np.array(pdf["x"].tolist()), pdf["e"].to_numpy(float), 0.0)
+        prices, _ = hull_facets(points, e)
+        return pd.DataFrame({"system": [pdf["system"].iloc[0]], "prices": [prices.tolist()]})
+
+    kept = dealt.groupBy("system", "part").applyInPandas(corners, f"system {kind}, x array<double>, e double")
+    planes = kept.groupBy("system").applyInPandas(facets, f"system {kind}, prices array<array<double>>").join(sizes, "system")
+    joined = join_groups(rows, planes, "system", "n")
+    hull = F.array_max(F.transform("prices", lambda p: sum((p[k] * F.col("x")[k] for k in range(1, d)), p[0] * F.col("x")[0])))
+    return joined.select(F.col("system").alias(system), F.col("entry").alias(entry), F.greatest(F.col("e") - hull, F.lit(0.0)).alias("e_above_hull"))
 
 
 def at_temperature(df: DataFrame, entry: str, temperature: str, energy: str, t: float, most_gap: float = 500.0) -> DataFrame:
