@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,20 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..joins import join_groups
 
-#: A key counts as hot when it holds more than 1/HOT_SHARE of all rows, so at most HOT_SHARE keys can be hot.
-HOT_SHARE = 1000
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{storage.shared_dir(spark).rstrip('/')}/siltstone-{name}-{uuid.uuid4().hex}"
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder of our own in the shared storage."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+cut, scratch, discard = storage.cut, storage.scratch, storage.discard
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -33,9 +21,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
 
-cut = storage.cut
-
-
 class Workspace:
     """Intermediate tables in a folder of the shared storage, which goes when the work is done.
 
@@ -63,26 +48,6 @@ def own_columns(df: DataFrame, **wanted: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in wanted.items()])
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
-    """Inner join of rows to one row per key, safe when a few keys hold much of the rows.
-
-    `groups` carries each key's row count in column `size`; `total` is their sum or more, if known. Keys above 1/HOT_SHARE
-    of all rows number at most HOT_SHARE, so their group rows are broadcast; all others are joined by a shuffle in
-    which no key is hot. `keep` stores the groups.
-    """
-    groups = keep(groups)
-    if total is None:
-        total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
-    hot = F.col(size) * HOT_SHARE > F.lit(total)
-    hot_groups = groups.where(hot)
-    if total <= HOT_SHARE or hot_groups.isEmpty():
-        return rows.join(groups, key)
-    marked = rows.join(F.broadcast(hot_groups.select(F.col(key).alias("_hot_key"))), F.col(key) == F.col("_hot_key"), "left")
-    big = marked.where(F.col("_hot_key").isNotNull()).drop("_hot_key").join(F.broadcast(hot_groups), key)
-    rest = marked.where(F.col("_hot_key").isNull()).drop("_hot_key").join(groups.where(~hot), key)
-    return big.unionByName(rest)
-
-
 def deal(rows: DataFrame, wide: DataFrame, key: str, part: int = 256, keep: Callable[[DataFrame], DataFrame] = cut) -> tuple[DataFrame, DataFrame, list[str]]:
     """Rows and wide content (one row per key) with a part number, and the columns to join them on.
 

@@ -14,8 +14,9 @@ Documents with equal sets are one node. Candidates are compared in two rounds.
 2. Keys whose other members lie in several components are open, and their members are searched for further links by an exact
    prefix filter. The shingles of a set are ordered by how many of these members have them, rarest first. Two sets that share
    enough have their first common shingle at ranks that leave room for the intersection they need, on both sides. An inverted
-   index of shingles meets only such ranks, and only members of different components: of a shingle's members, those
-   outside its largest component are held against all. Entries with many members are dealt over tasks.
+   index of shingles meets only such ranks, and only members of different components. First each member of an entry is held
+   against the entry's hub, which has the smallest share of shingles of its own and so is linked with most; then the members
+   outside an entry's largest component against all of it. Entries with many members are dealt over tasks.
    No link of these members is lost, and members that are linked with nothing cost next to nothing, as the
    shingles that no other has come first.
 
@@ -279,17 +280,35 @@ def _open_members(buckets: DataFrame, found: DataFrame, keep: Keep) -> DataFrame
     return common.join_groups(rest.select("key", "node"), keys, "key", "size", keep=keep).select("node").distinct()
 
 
-def prefix_pairs(members: DataFrame, scheme: Scheme, keep: Keep) -> DataFrame:
-    """(x, y) of members (node, component, n, items) in different components that a prefix filter can't tell from links."""
-    shingles = members.select("node", "component", "n", F.explode("items").alias("shingle"))
-    often = shingles.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    known = common.join_groups(shingles, often, "shingle", "often", keep=keep)
-    # shingles of one member only come first in the order and are not in the index; the least partner of a set of n has s * n
-    whole = Window.partitionBy("node")
-    alone = F.col("n") - F.count("*").over(whole)
-    ranked = known.withColumn("rank", alone + F.row_number().over(whole.orderBy("often", "shingle")) - 1)
-    ranked = ranked.withColumn("room", scheme.room(F.col("n"), F.col("rank")))
-    index = keep(ranked.where(F.col("room") * scheme.den >= F.col("n") * scheme.num).select("shingle", "node", "component", "n", "room"))
+def prefix_index(members: DataFrame, scheme: Scheme, keep: Keep) -> DataFrame:
+    """shingle, node, n, room, alone: the shingles of members (node, n, items) that can be the first common one of a link.
+
+    `room` is the largest partner that the shingle's rank leaves, `alone` the number of shingles that no other member has. These
+    come first in the order, so a member with too many of them is linked with nothing and is not in the index.
+    """
+    shingles = lambda rows: rows.select("node", "n", *(["alone"] if "alone" in rows.columns else []), F.explode("items").alias("shingle"))
+    often = keep(shingles(members).groupBy("shingle").agg(F.count("*").alias("often"), F.min("node").alias("node")))
+    alone = often.where("often = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    able = members.join(alone, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    able = keep(able.where((F.col("n") - F.col("alone")) * scheme.den >= F.col("n") * scheme.num))
+    known = common.join_groups(shingles(able), often.where("often > 1").drop("node"), "shingle", "often", keep=keep)
+    order = Window.partitionBy("node").orderBy("often", "shingle")
+    ranked = known.withColumn("room", scheme.room(F.col("n"), F.col("alone") + F.row_number().over(order) - 1))
+    # the least partner of a set of n has s * n
+    return keep(ranked.where(F.col("room") * scheme.den >= F.col("n") * scheme.num).select("shingle", "node", "n", "room", "alone"))
+
+
+def hub_pairs(index: DataFrame, keep: Keep) -> DataFrame:
+    """(x, y) of the members of each entry and its hub, the one with the smallest share of shingles of its own."""
+    hub = F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "node", "component", "n", "room")).alias("hub")
+    entries = index.groupBy("shingle").agg(hub, F.count("*").alias("size")).where("size > 1")
+    held = common.join_groups(index, entries, "shingle", "size", keep=keep)
+    met = held.where("component <> hub.component and room >= hub.n and hub.room >= n")
+    return met.select(F.greatest("node", "hub.node").alias("x"), F.least("node", "hub.node").alias("y")).distinct()
+
+
+def prefix_pairs(index: DataFrame, keep: Keep) -> DataFrame:
+    """(x, y) of members in different components that the prefix filter can't tell from links."""
     shares = index.groupBy("shingle", "component").agg(F.count("*").alias("size"), F.min("n").alias("least"))
     entries = shares.groupBy("shingle").agg(
         F.sum("size").alias("size"), F.count("*").alias("kinds"), F.min("least").alias("least"), F.max(F.struct("size", "component")).alias("main")
@@ -298,12 +317,19 @@ def prefix_pairs(members: DataFrame, scheme: Scheme, keep: Keep) -> DataFrame:
     held = common.join_groups(index, entries, "shingle", "size", keep=keep).where("room >= least")
     parts = F.ceil(F.col("size") / DEALT)
     side = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("node", "component", "n", "room")]
-    few = held.where("component <> main").select("shingle", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *side("x"))
+    few = held.where("component <> main").select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), *side("x"))
     many = held.select("shingle", F.pmod(F.xxhash64("node"), parts).alias("part"), *side("y"))
     met = few.join(many, ["shingle", "part"]).where("x_component <> y_component and x_room >= y_n and y_room >= x_n")
     return met.select(F.greatest("x_node", "y_node").alias("x"), F.least("x_node", "y_node").alias("y")).distinct()
 
 
+def _joined(found: DataFrame, links: DataFrame, keep: Keep) -> DataFrame:
+    """The components (id, component) with more links."""
+    if links.isEmpty():
+        return found
+    return components(found.select(F.col("id").alias("x"), F.col("component").alias("y")).unionByName(links), keep)
+
+
 def _link(docs: DataFrame, id_col: str, text_col: str, similarity: float, miss: float) -> DataFrame:
     """id, mark, n, component, stays (is it the one row of its component that does) of every row, cut from its lineage."""
     scheme = Scheme(similarity, miss)
@@ -336,12 +362,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, keep: K
     found = components(links, keep)
     open_members = keep(_open_members(buckets, found, keep))
     sets = full_sets(docs, id_col, text_col, content.join(open_members, "node", "left_semi"), keep)
-    members = _labelled(sets.withColumn("n", F.size("items").cast("long")), found)
-    more = keep(confirm(prefix_pairs(members, scheme, keep), sets, scheme, keep))
-    if not more.isEmpty():
-        # what is linked already is in stars
-        stars = found.select(F.col("id").alias("x"), F.col("component").alias("y"))
-        found = components(stars.unionByName(more), keep)
+    index = prefix_index(sets.withColumn("n", F.size("items").cast("long")), scheme, keep)
+    for pairs in (hub_pairs, prefix_pairs):
+        more = keep(confirm(pairs(_labelled(index, found), keep), sets, scheme, keep))
+        found = _joined(found, more, keep)
     placed = _labelled(groups, found)
     firsts = placed.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("size"))
     placed = common.join_groups(placed.drop("first"), firsts, "component", "size", keep=keep).select("set_id", "copies", "first")
