@@ -3,10 +3,13 @@
 A template's words are searched in a text: positions of its telling words (those that are no stop words) are grouped into
 regions, and each region is aligned with the template. The alignment anchors on words that occur once in both parts,
 keeps the longest increasing subsequence of the anchors, and aligns the gaps between them the same way; where a gap has no
-anchor, equal words are matched from its two ends. Coverage is the share of the template's words that are matched.
+anchor, equal words are matched from its two ends. Coverage is the share of the template's words that are matched; in
+short templates one word may be missing that is not of the licence's own name. An automaton over all telling words finds in
+one pass which templates a text can hold at all.
 
 Defined results: null and empty texts hold no licence; templates without words match nothing; repeated rows are each
-reported; of several places of one licence in a text the best covered, then the first one is reported.
+reported; an empty table gives no rows. All places of a licence in a text are reported that don't overlap, the best covered
+first, of equal ones the earlier. Texts are scanned whole, however long; extra columns play no part.
 """
 
 from __future__ import annotations
@@ -16,13 +19,20 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
 
-#: Licence notices to look for.
+#: Licence texts and notices to look for; the part of a name before a blank is the licence.
 TEMPLATES = {
+    "AGPL-3.0 name": "GNU Affero General Public License version 3",
+    "AGPL-3.0 notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+        "later version."
+    ),
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": (
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
@@ -30,10 +40,52 @@ TEMPLATES = {
         "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
         "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
     ),
+    "BSD-2-Clause text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+        "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+        "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+        "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+        "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "BSD-3-Clause clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission."
+    ),
+    "BSD-3-Clause name": "Released under the BSD 3-Clause License.",
+    "BSL-1.0 name": "Distributed under the Boost Software License, Version 1.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
+    "CC-BY-4.0 name": "Creative Commons Attribution 4.0 International License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-SA-4.0 name": "Creative Commons Attribution-ShareAlike 4.0 International License",
+    "CC0-1.0 name": "CC0 1.0 Universal",
+    "GPL-2.0 name": "GNU General Public License version 2",
+    "GPL-2.0 notice": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+        "version."
+    ),
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0 name": "GNU General Public License v3",
+    "GPL-3.0 notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later "
+        "version."
+    ),
+    "ISC text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "
+        "\"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS."
+    ),
+    "LGPL-2.1 name": "GNU Lesser General Public License version 2.1",
+    "LGPL-3.0 name": "GNU Lesser General Public License version 3",
     "MIT": "Released under the MIT License.",
     "MIT permission": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -42,10 +94,26 @@ TEMPLATES = {
         "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
         "notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
+    "MPL-2.0 notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "Unlicense text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, "
+        "compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, "
+        "commercial or non-commercial, and by any means."
+    ),
+    "all rights reserved": "All rights reserved.",
 }
 
 #: Words that do not start a region.
-STOP_WORDS = set("a all an and any at be by in is may not of on or the this to under with without you".split())
+STOP_WORDS = set("a an and any at be by in is may not of on or the this to under with without you".split())
+
+#: Words that short notices can lack.
+LOOSE_WORDS = {"the", "this", "work", "is", "under", "licensed", "released", "distributed", "license"}
+
+#: Templates of so many words at most are short.
+SHORT = 12
 
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -103,8 +171,54 @@ class Scanner:
         self.least = least
         self.templates = [(name, [w for w, _, _ in words(text)]) for name, text in templates.items()]
         self.telling = [set(t) - STOP_WORDS for _, t in self.templates]
+        self.automaton = ahocorasick.Automaton()
+        for word in set().union(*self.telling):
+            self.automaton.add_word(word, word)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def covers(self, template: list[str], matched: list[tuple[int, int]]) -> bool:
+        """Are enough of the template's words matched?"""
+        if len(matched) >= self.least * len(template):
+            return True
+        missing = set(range(len(template))) - {k for _, k in matched}
+        return len(template) <= SHORT and len(missing) == 1 and template[missing.pop()] in LOOSE_WORDS and len(template) > 2
 
     def scan(self, text: str) -> Iterator[tuple[str, float, int, int]]:
+        """(licence, coverage, first and last character) of the licences in a text."""
+        lower = text.lower()
+        there = {w for _, w in self.automaton.iter_long(lower)} if len(self.automaton) else set()
+        there |= {w for w in set().union(*self.telling) - there if w in lower} if there else set()
+        found = None
+        for (name, template), telling in zip(self.templates, self.telling, strict=True):
+            # matched words are counted below; without enough telling words the coverage can't be reached
+            missing = sum(w in telling and w not in there for w in template)
+            if not template or missing > max((1 - self.least) * len(template), len(template) <= SHORT):
+                continue
+            found = found or words(text)
+            places = []
+            for first, last in self._regions(found, telling, len(template)):
+                matched = align([w for w, _, _ in found[first:last]], template)
+                if matched and self.covers(template, matched):
+                    places.append((-len(matched) / len(template), first + matched[0][0], first + matched[-1][0]))
+            taken: list[tuple[int, int]] = []
+            for share, first, last in sorted(set(places)):
+                if all(last < a or first > b for a, b in taken):
+                    taken.append((first, last))
+                    yield name, -share, found[first][1], found[last][2]
+
+    @staticmethod
+    def _regions(found: list[tuple[str, int, int]], telling: set[str], size: int) -> Iterator[tuple[int, int]]:
+        """Overlapping stretches of about twice the template's length around its telling words."""
+        at = [k for k, (w, _, _) in enumerate(found) if w in telling]
+        done = -1
+        for k in at:
+            if k > done:
+                yield max(0, k - size // 2 - 2), min(len(found), k + size + size // 2 + 2)
+                done = k + size // 2 if size > 16 else k
+
+
+def scan(self, text: str) -> Iterator[tuple[str, float, int, int]]:
         """(licence, coverage, first and last character) of the licences in a text."""
         lower = text.lower()
         there = {w for w in set().union(*self.telling) if w in lower}

@@ -9,7 +9,8 @@ those of its path against the global ones. Unless told otherwise the columns `so
 since `documents` has no URL.
 
 Defined results: null and empty texts have no make-up (all zeros) and are scored like others; null hosts or paths form
-one site; without labels of both kinds the evidence is 0.5; an empty table gives no rows.
+one site; without labels of both kinds the evidence is 0.5; an empty table gives no rows; repeated rows are each scored and
+counted; texts are taken whole, however long, some at a time; extra columns can't clash.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ Features are lower-case words and their first 4 to 6 letters. Their document cou
 Spark, and the `features` most telling ones are kept.
 
 Defined results: a null or empty text has no features and gets the score of the bias alone; without any positive or
-unlabelled example all scores are 0. Documents with several label rows count as toxic if any says so.
+unlabelled example all scores are 0. Documents with several label rows count as toxic if any says so; repeated rows are each
+scored; an empty table gives no rows; texts are scored whole, however long, some at a time; extra columns play no part in
+a score, and `filter_clean` keeps them.
 """
 
 from __future__ import annotations
@@ -64,6 +66,18 @@ class Model:
             return 1 / (1 + np.exp(-out))
 
 
+def risk(f: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the risk under the logistic loss, that of positives and the corrected one of negatives, and their slopes by f."""
+    n_pos, n_unl = max(1, positive.sum()), max(1, (~positive).sum())
+    sigma = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    loss_neg = np.logaddexp(0, f)
+    on_positive = prior * np.logaddexp(0, -f)[positive].sum() / n_pos
+    on_negative = loss_neg[~positive].sum() / n_unl - prior * loss_neg[positive].sum() / n_pos
+    by_positive = np.where(positive, prior * (sigma - 1) / n_pos, 0.0)
+    by_negative = np.where(positive, -prior * sigma / n_pos, sigma / n_unl)
+    return float(on_positive), float(on_negative), by_positive, by_negative
+
+
 def fit(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, steps: int = 600, rate: float = 0.05, sparsity: float = 0.02) -> tuple[np.ndarray, float]:
     """(weights, bias) of the linear model by non-negative PU learning with the logistic loss and Adam; `sparsity` shrinks the weights.
 
@@ -72,17 +86,12 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, s
     flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     w, b = np.zeros(size), np.log(prior / (1 - prior))
-    n_pos, n_unl = max(1, positive.sum()), max(1, (~positive).sum())
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, steps + 1):
         f = np.bincount(owner, w[flat], len(rows)) + b
-        sigma = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        loss_neg = np.logaddexp(0, f)
-        negative_risk = loss_neg[~positive].sum() / n_unl - prior * loss_neg[positive].sum() / n_pos
-        # derivatives of the two parts of the risk by f
-        towards = np.where(positive, prior * (sigma - 1) / n_pos, 0.0)
-        away = np.where(positive, -prior * sigma / n_pos, sigma / n_unl)
-        by_f = towards + away if negative_risk >= 0 else -away
+        _, negative_part, by_positive, by_negative = risk(f, positive, prior)
+        # where the negatives' risk is below zero, the step goes against it
+        by_f = by_positive + by_negative if negative_part >= 0 else -by_negative
         grad = np.append(np.bincount(flat, by_f[owner], size), by_f.sum())
         first = 0.9 * first + 0.1 * grad
         second = 0.999 * second + 0.001 * grad**2
@@ -153,7 +162,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sent.value.score(batch.column("text").to_pylist()))], ["id", "score"])
 
     rows = common.own_columns(docs, id=id_col, text=text_col)
@@ -167,7 +176,7 @@ def filter_clean(docs: DataFrame, model: Model, text_col: str = "text", threshol
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, text_col):
             keep = sent.value.score(batch.column(text_col).to_pylist()) < threshold
             yield batch.filter(pa.array(keep))
 

@@ -261,3 +261,89 @@ def test_item_identifiers_of_any_type(spark):
     got = decontam.find_leaks(docs, bench)
     assert got.schema["item_id"].dataType.simpleString() == "string"
     assert sorted((r.doc_id, r.item_id or "") for r in got.collect()) == [(1, ""), (1, "a-1")]
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] + 1 if x == y else max(row[j], new[j - 1]))
+        row = new
+    return row[-1]
+
+
+def test_licence_coverage_against_plain_alignment():
+    rng = random.Random(11)
+    tool = license.Scanner(license.TEMPLATES, 0.9)
+    for name, template in tool.templates:
+        for _ in range(4):
+            share = rng.choice([0, 0.03, 0.06, 0.2])
+            text = []
+            for k, w in enumerate(template):
+                text += [] if rng.random() < share else [w]
+                text += [f"filler{k}"] if rng.random() < share else []
+            best = longest_common(text, template) / len(template)
+            found = {n: c for n, c, _, _ in tool.scan("some words before it . " + " ".join(text) + " . and some after it")}
+            assert found.get(name, 0) <= best + 1e-9
+            # the alignment may lose a few of the words that a text repeats
+            if best >= 0.94:
+                assert found[name] >= best - 0.04
+
+
+def test_licence_names_with_a_word_missing_and_all_places():
+    tool = license.Scanner(license.TEMPLATES, 0.9)
+    names = lambda text: {n for n, _, _, _ in tool.scan(text)}
+    assert "MIT" in names("Code: Released under MIT License, 2020")
+    assert "GPL-3.0 name" in names("see the GNU General Public License v3 for more")
+    assert "all rights reserved" in names("(c) 2011. All rights reserved.")
+    assert not names("the license of this work is under review, all of it") and not names("")
+    twice = [x for x in tool.scan("Released under the MIT License. " + "and then " * 40 + "Released under the MIT License.") if x[0] == "MIT"]
+    assert len(twice) == 2 and twice[0][2] == 0
+
+
+def test_slopes_of_the_risk_by_finite_differences():
+    rng = np.random.default_rng(3)
+    f, positive, prior = rng.normal(size=40), np.arange(40) < 15, 0.3
+    on_positive, on_negative, by_positive, by_negative = toxicity.risk(f, positive, prior)
+    sigma = lambda x: 1 / (1 + np.exp(-x))
+    assert on_positive == pytest.approx(prior * np.mean(-np.log(sigma(f[positive]))))
+    assert on_negative == pytest.approx(np.mean(-np.log(1 - sigma(f[~positive]))) - prior * np.mean(-np.log(1 - sigma(f[positive]))))
+    for k in range(0, 40, 3):
+        step = np.zeros(40)
+        step[k] = 1e-5
+        up, down = toxicity.risk(f + step, positive, prior), toxicity.risk(f - step, positive, prior)
+        assert by_positive[k] == pytest.approx((up[0] - down[0]) / 2e-5, abs=1e-7)
+        assert by_negative[k] == pytest.approx((up[1] - down[1]) / 2e-5, abs=1e-7)
+
+
+def test_posteriors_against_plain_sums(spark):
+    rng = random.Random(4)
+    rows = [(k, f"text {rng.random()} " * rng.randrange(1, 40), rng.choice(["a", "b", "c", None]), rng.choice(["x", "y"])) for k in range(300)] + [(900, "alone", "d", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    x = quality.features(*__import__("siltstone.llm.common", fromlist=["x"]).text_buffers(pa.array([r[1] for r in rows])))
+    model = quality.fit(x, (np.arange(len(rows)) % 3 == 0).astype(float))
+    p = quality.predict(model, x)
+    sums: dict = {}
+    for (_, _, host, path), value in zip(rows, p, strict=True):
+        for key in ((host or "",), (host or "", path)):
+            s, n = sums.get(key, (0.0, 0))
+            sums[key] = (s + value, n + 1)
+    hosts, paths = {k[0]: v for k, v in sums.items() if len(k) == 1}, {k: v for k, v in sums.items() if len(k) == 2}
+    mean = p.mean()
+
+    def strength(sites, center):
+        between = np.mean([(s / n - center(k)) ** 2 for k, (s, n) in sites.items()]) - np.mean([center(k) * (1 - center(k)) / n for k, (s, n) in sites.items()])
+        within = np.mean([center(k) * (1 - center(k)) for k in sites])
+        return within / max(between, within * 1e-3)
+
+    w = strength(hosts, lambda k: mean)
+    by_host = {k: (s + mean * w) / (n + w) for k, (s, n) in hosts.items()}
+    w = strength(paths, lambda k: by_host[k[0]])
+    by_path = {k: (s + by_host[k[0]] * w) / (n + w) for k, (s, n) in paths.items()}
+    logit = lambda v: np.log(v / (1 - v))
+    got = {r.doc_id: r for r in quality.score(docs, model).collect()}
+    for (i, _, host, path), value in zip(rows, p, strict=True):
+        key = (host or "", path)
+        assert got[i].host_posterior == pytest.approx(by_host[key[0]], rel=1e-9) and got[i].path_posterior == pytest.approx(by_path[key], rel=1e-9)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(logit(value) + logit(by_path[key]) - logit(mean)))), rel=1e-6)
