@@ -187,8 +187,7 @@ class Scanner:
     def scan(self, text: str) -> Iterator[tuple[str, float, int, int]]:
         """(licence, coverage, first and last character) of the licences in a text."""
         lower = text.lower()
-        there = {w for _, w in self.automaton.iter_long(lower)} if len(self.automaton) else set()
-        there |= {w for w in set().union(*self.telling) - there if w in lower} if there else set()
+        there = {w for _, w in self.automaton.iter(lower)} if len(self.automaton) else set()
         found = None
         for (name, template), telling in zip(self.templates, self.telling, strict=True):
             # matched words are counted below; without enough telling words the coverage can't be reached
@@ -218,38 +217,6 @@ class Scanner:
                 done = k + size // 2 if size > 16 else k
 
 
-def scan(self, text: str) -> Iterator[tuple[str, float, int, int]]:
-        """(licence, coverage, first and last character) of the licences in a text."""
-        lower = text.lower()
-        there = {w for w in set().union(*self.telling) if w in lower}
-        found = None
-        for (name, template), telling in zip(self.templates, self.telling, strict=True):
-            # matched words are counted below; without enough telling words the coverage can't be reached
-            missing = sum(w in telling and w not in there for w in template)
-            if not template or len(template) - missing < self.least * len(template):
-                continue
-            found = found or words(text)
-            best = None
-            for first, last in self._regions(found, telling, len(template)):
-                part = [w for w, _, _ in found[first:last]]
-                matched = align(part, template)
-                coverage = len(matched) / len(template)
-                if coverage >= self.least and (best is None or coverage > best[0]):
-                    best = (coverage, found[first + matched[0][0]][1], found[first + matched[-1][0]][2])
-            if best:
-                yield name, *best
-
-    @staticmethod
-    def _regions(found: list[tuple[str, int, int]], telling: set[str], size: int) -> Iterator[tuple[int, int]]:
-        """Overlapping stretches of about twice the template's length around its telling words."""
-        at = [k for k, (w, _, _) in enumerate(found) if w in telling]
-        done = -1
-        for k in at:
-            if k > done:
-                yield max(0, k - size // 2 - 2), min(len(found), k + size + size // 2 + 2)
-                done = k + size // 2 if size > 16 else k
-
-
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, least: float = 0.9) -> DataFrame:
     """doc_id, license, coverage, first_char, last_char of every licence whose template is covered by `least`."""
 
