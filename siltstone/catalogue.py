@@ -673,18 +673,18 @@ def hull_2d(spark, d):
 
 def _alloys(spark, d, n):
     """Entries of n components with small whole shares; a tenth of them are pure."""
-    most = (4, 3, 3) if n == 3 else (3, 2, 2, 2)
+    most = (4, 3, 3) if n == 3 else (2, 2, 2, 2)
     numbers = [F.col("p_partkey"), F.col("p_size"), F.floor(F.col("p_partkey") / 7), F.floor(F.col("p_partkey") / 11)]
     parts = [x % m for x, m in zip(numbers, most, strict=False)]
     pure = F.col("p_partkey") % 10 == 0
     which = F.floor(F.col("p_partkey") / 10) % n
     shares = [F.when(pure, (which == k).cast("int")).otherwise(x + (1 if k == 0 else 0)).cast("double").alias(f"x{k}") for k, x in enumerate(parts)]
-    return load(spark, d, "part").select("p_mfgr", "p_partkey", *shares, (-(F.col("p_partkey") * 7 % 97) / 50.0).alias("energy"))
+    return load(spark, d, "part").select("p_brand", "p_partkey", *shares, (-(F.col("p_partkey") * 7 % 97) / 50.0).alias("energy"))
 
 
 def _alloys_sql(n: int) -> str:
     """Interpolated energies of all simplices of compositions that hold one, by Cramer's rule; the least is the hull's."""
-    most = (4, 3, 3) if n == 3 else (3, 2, 2, 2)
+    most = (4, 3, 3) if n == 3 else (2, 2, 2, 2)
     parts = [f"{x} % {m}" for x, m in zip(("p_partkey", "p_size", "p_partkey // 7", "p_partkey // 11"), most, strict=False)]
     parts[0] += " + 1"
     shares = ", ".join(f"(CASE WHEN p_partkey % 10 = 0 THEN (p_partkey // 10 % {n} = {k})::INT ELSE {x} END)::DOUBLE AS x{k}" for k, x in enumerate(parts))
@@ -698,32 +698,35 @@ def _alloys_sql(n: int) -> str:
         k = len(rows) - 1
         return "(" + " ".join(f"{'+' if (i + k) % 2 == 0 else '-'} {r}.{names[k]} * {det(rows[:i] + rows[i + 1 :])}" for i, r in enumerate(rows)) + ")"
 
+    pure = ", ".join("(" + ", ".join(f"{float(i == k)}::DOUBLE" for i in range(n)) + ")" for k in range(n))
     corners = [f"c{k}" for k in range(n)]
-    joins = "".join(f" JOIN l c{k} ON c{k}.p_mfgr = c0.p_mfgr AND c{k}.i > c{k - 1}.i" for k in range(1, n))
+    joins = "".join(f" JOIN l c{k} ON c{k}.p_brand = c0.p_brand AND c{k}.i > c{k - 1}.i" for k in range(1, n))
     # the same sums of products, with one corner replaced by the composition
     weights = [det([*corners[:k], "t", *corners[k + 1 :]]) for k in range(n)]
     return f"""
-        WITH r AS (SELECT p_mfgr, p_partkey, -(p_partkey * 7 % 97) / 50.0 AS energy, {shares} FROM part),
-        e AS (SELECT p_mfgr, p_partkey, energy::DOUBLE AS energy, {", ".join(f"x{k} / ({total}) AS x{k}" for k in range(n))} FROM r),
-        k AS (SELECT p_mfgr, {", ".join(names)}, min(energy) AS m FROM e GROUP BY ALL),
-        l AS (SELECT *, row_number() OVER (PARTITION BY p_mfgr ORDER BY {", ".join(names)}) AS i FROM k),
-        s AS (SELECT c0.p_mfgr, {", ".join(f"c{k}.i AS i{k}" for k in range(n))}, {det(corners)} AS det FROM l c0{joins}),
-        w AS (SELECT t.p_mfgr, t.i, ({" + ".join(f"{w} * c{k}.m" for k, w in enumerate(weights))}) / s.det AS hull, least({", ".join(f"{w} / s.det" for w in weights)}) AS least
-            FROM s {" ".join(f"JOIN l c{k} ON c{k}.p_mfgr = s.p_mfgr AND c{k}.i = s.i{k}" for k in range(n))} JOIN l t ON t.p_mfgr = s.p_mfgr WHERE abs(s.det) > 1e-9),
-        h AS (SELECT p_mfgr, i, min(hull) AS hull FROM w WHERE least > -1e-9 GROUP BY ALL)
-        SELECT e.p_mfgr, p_partkey, round(greatest(energy - hull, 0), 6) AS e_above_hull
-        FROM e JOIN l USING (p_mfgr, {", ".join(names)}) JOIN h ON h.p_mfgr = l.p_mfgr AND h.i = l.i
+        WITH r AS (SELECT p_brand, p_partkey, -(p_partkey * 7 % 97) / 50.0 AS energy, {shares} FROM part),
+        e AS (SELECT p_brand, p_partkey, energy::DOUBLE AS energy, {", ".join(f"x{k} / ({total}) AS x{k}" for k in range(n))} FROM r),
+        k AS (SELECT p_brand, {", ".join(names)}, min(energy) AS m FROM e GROUP BY ALL UNION ALL
+            SELECT p_brand, {", ".join(f"v.{x}" for x in names)}, 0.0 FROM (SELECT DISTINCT p_brand FROM e), (VALUES {pure}) v({", ".join(names)})
+            WHERE (p_brand, {", ".join(f"v.{x}" for x in names)}) NOT IN (SELECT (p_brand, {", ".join(names)}) FROM e)),
+        l AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY {", ".join(names)}) AS i FROM k),
+        s AS (SELECT c0.p_brand, {", ".join(f"c{k}.i AS i{k}" for k in range(n))}, {det(corners)} AS det FROM l c0{joins}),
+        w AS (SELECT t.p_brand, t.i, ({" + ".join(f"{w} * c{k}.m" for k, w in enumerate(weights))}) / s.det AS hull, least({", ".join(f"{w} / s.det" for w in weights)}) AS least
+            FROM s {" ".join(f"JOIN l c{k} ON c{k}.p_brand = s.p_brand AND c{k}.i = s.i{k}" for k in range(n))} JOIN l t ON t.p_brand = s.p_brand WHERE abs(s.det) > 1e-9),
+        h AS (SELECT p_brand, i, min(hull) AS hull FROM w WHERE least > -1e-9 GROUP BY ALL)
+        SELECT e.p_brand, p_partkey, round(greatest(energy - hull, 0), 6) AS e_above_hull
+        FROM e JOIN l USING (p_brand, {", ".join(names)}) JOIN h ON h.p_brand = l.p_brand AND h.i = l.i
     """
 
 
 @query(_alloys_sql(3))
 def hull_ternary(spark, d):
-    return rounded(thermo.hull_distance(_alloys(spark, d, 3), "p_mfgr", "p_partkey", ["x0", "x1", "x2"], "energy"))
+    return rounded(thermo.hull_distance(_alloys(spark, d, 3), "p_brand", "p_partkey", ["x0", "x1", "x2"], "energy"))
 
 
 @query(_alloys_sql(4))
 def hull_quaternary(spark, d):
-    return rounded(thermo.hull_distance(_alloys(spark, d, 4), "p_mfgr", "p_partkey", ["x0", "x1", "x2", "x3"], "energy"))
+    return rounded(thermo.hull_distance(_alloys(spark, d, 4), "p_brand", "p_partkey", ["x0", "x1", "x2", "x3"], "energy"))
 
 
 @query("""
@@ -857,4 +860,4 @@ def windowed_events(spark, d):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from . import catalogue_files, catalogue_materials  # noqa: E402, F401  register their queries
+from . import catalogue_files, catalogue_materials, catalogue_more  # noqa: E402, F401  register their queries
