@@ -17,19 +17,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """Inner join of rows to one row per key; `groups` has each key's row count in column `size`.
 
     The group rows of hot keys, HOT_SHARE at most, are broadcast; all others are joined by a shuffle in which no key is hot.
-    `total` is the sum of the sizes or more, if known; `keep` stores the groups.
+    Keys are of a plain type, null ones match nothing. `total` is the sum of the sizes or more, if known; `keep` stores the groups.
     """
     groups = keep(groups)
     if total is None:
         total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     hot = F.col(size) * HOT_SHARE > F.lit(total)
-    hot_groups = groups.where(hot)
-    if total <= HOT_SHARE or hot_groups.isEmpty():
+    hot_keys = [] if total <= HOT_SHARE else [r[0] for r in groups.where(hot).select(key).collect()]
+    if not hot_keys:
         return rows.join(groups, key)
-    marked = rows.join(F.broadcast(hot_groups.select(F.col(key).alias("_hot_key"))), F.col(key) == F.col("_hot_key"), "left")
-    big = marked.where(F.col("_hot_key").isNotNull()).drop("_hot_key").join(F.broadcast(hot_groups), key)
-    rest = marked.where(F.col("_hot_key").isNull()).drop("_hot_key").join(groups.where(~hot), key)
-    return big.unionByName(rest)
+    is_hot = F.col(key).isin(hot_keys)
+    return rows.where(is_hot).join(F.broadcast(groups.where(hot)), key).unionByName(rows.where(~is_hot).join(groups.where(~hot), key))
 
 
 def below(counts: DataFrame, group: str, value: str, n: str) -> DataFrame:

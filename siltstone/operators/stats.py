@@ -169,7 +169,7 @@ def plottable(df: DataFrame, columns: list[str], least: float = 1e-6) -> DataFra
 
 def normalize_values(df: DataFrame, group: str, x: str, y: str, mode: str = "max") -> DataFrame:
     """y over the group's largest |y| or its sum; rows without a group are one group."""
-    named = df.select(group, x, y, F.struct(F.col(group)).alias("_group"))
+    named = df.select(group, x, y, F.to_json(F.struct(F.col(group))).alias("_group"))
     by = F.max(F.abs(y)) if mode == "max" else F.sum(y)
     groups = named.groupBy("_group").agg(by.alias("_by"), F.count("*").alias("_n"))
     joined = joins.join_groups(named, groups, "_group", "_n")

@@ -104,3 +104,10 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         storage.shared_dir(Session())
+
+
+@pytest.mark.parametrize("kind", ["string", "binary"])
+def test_hot_keys_of_other_types(spark, kind):
+    df = spark.range(4000).selectExpr(f"cast(if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('k', id))) as {kind}) as key", "id")
+    groups = df.groupBy("key").count()
+    assert joins.join_groups(df, groups, "key", "count").count() == df.where("key is not null").count()
