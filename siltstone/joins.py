@@ -19,7 +19,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     The group rows of hot keys, HOT_SHARE at most, are broadcast; all others are joined by a shuffle in which no key is hot.
     Keys are of a plain type, null ones match nothing. `total` is the sum of the sizes or more, if known; `keep` stores the groups.
     """
-    groups = keep(groups)
+    groups = keep(groups).where(F.col(key).isNotNull())
     if total is None:
         total = groups.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     hot = F.col(size) * HOT_SHARE > F.lit(total)
