@@ -212,3 +212,18 @@ def test_near_copies_of_one_text_that_are_not_linked(spark):
     rows += [(1000 + k, " ".join([*words[:50], f"z{k % 20}", *(f"y{k // 20}v{j}" for j in range(6))])) for k in range(300)]
     got = {r.doc_id: r.component_id for r in near.link(frame(spark, rows)).collect()}
     assert got == {i: c for i, (_, c) in linked(rows).items()}
+
+
+def test_stages_on_odd_rows(spark):
+    copy = " ".join(f"c{k}" for k in range(40))
+    rows = [(1, copy), (2, copy + " "), (None, copy + " end"), (3, None), (4, ""), (5, "x " * 60_000), (5, "x " * 60_000), (6, "alone here")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or ""), 7, "clash", "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, id int, mark string, digest string")
+    for table in (docs, docs.where("false")):
+        now = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.cut(stage(spark, now, "/root/testdata/sf0.001"))
+            assert now.columns == docs.columns
+        left = sorted((r.doc_id or 0, (r.text or "")[:5]) for r in now.collect())
+        # of equal texts the longest one stays
+        assert left == ([(2, "c0 c1"), (3, ""), (5, "x x x"), (6, "alone")] if table is docs else [])
+        assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() == len(left)

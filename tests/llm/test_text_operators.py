@@ -347,3 +347,11 @@ def test_posteriors_against_plain_sums(spark):
         key = (host or "", path)
         assert got[i].host_posterior == pytest.approx(by_host[key[0]], rel=1e-9) and got[i].path_posterior == pytest.approx(by_path[key], rel=1e-9)
         assert got[i].score == pytest.approx(1 / (1 + np.exp(-(logit(value) + logit(by_path[key]) - logit(mean)))), rel=1e-6)
+
+
+def test_quality_of_long_texts_and_clashing_names(spark):
+    rows = [(k, "word " * (300_000 if k == 0 else k), "h", "p", -1, "c") for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, id int, host string").withColumn("p", F.lit("clash")).withColumn("site", F.lit(1))
+    got = quality.score(docs, None).collect()
+    assert len(got) == 12 and {r.evidence for r in got} == {0.5}
+    assert toxicity.score(docs, toxicity.Model()).where("score = 0").count() == 12
