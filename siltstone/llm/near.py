@@ -347,7 +347,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, keep: K
     code = [f"code{k}" for k in range(scheme.words)]
     nodes = full.select(F.col("row").alias("node"), "n", "sig", *code).join(groups.select("node"), "node", "left_semi")
     # a node makes side * side keys, so the nodes are dealt over as many tasks as the keys need
-    keys = _keys(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node"), scheme)
+    keys = _keys(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), scheme)
     shared = keys.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("size")).where("size > 1")
     buckets = keep(common.join_groups(keys, shared, "key", "size", keep=keep).select("key", "node", "center"))
     # first round: every member of a key against its smallest one
