@@ -65,7 +65,7 @@ def polygons(corners: DataFrame, group: str, order: str, x: str, y: str) -> Data
         (F.sum(cross) / 2).alias("_a"), F.sum((F.col("_x") + F.col("_nx")) * cross).alias("_mx"), F.sum((F.col("_y") + F.col("_ny")) * cross).alias("_my"),
         F.avg("_x").alias("_ax"), F.avg("_y").alias("_ay"), F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1"),
     )
-    center = lambda m, a: F.when(F.abs("_a") > 1e-12, F.col(m) / (6 * F.col("_a"))).otherwise(F.col(a))
+    center = lambda m, a: F.when(F.abs("_a") > 1e-9, F.col(m) / (6 * F.col("_a"))).otherwise(F.col(a))
     return out.select(group, F.abs("_a").alias("area"), center("_mx", "_ax").alias("cx"), center("_my", "_ay").alias("cy"), "x0", "x1", "y0", "y1")
 
 
