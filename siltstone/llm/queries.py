@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, dedup, license, near, quality, shard, tokencount, toxicity
+from . import bpe, chat, decontam, dedup, license, near, quality, repair, shard, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out("doc_id"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, gone: conversations damaged row by row, as a hash of identifier and turn decides; nulls are one space."""
+    held = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(held["conv_id"], F.lit(":"), held["turn"])) % 20
+    made = rows.select("conv_id", "turn", held["role"].alias("role"), held["text"].alias("text"), kind.alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.when(F.col("kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    return made.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.col("kind") == 0).alias("gone"), F.explode(times).alias("_copy")).drop("_copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(damaged(_table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -73,9 +88,79 @@ QUERIES = {
         op8_near_dedup,
         op9_bpe,
         op10_toxicity,
+        op11_conversation_repair,
     )
 }
 
+def _state(*offers: str) -> str:
+    """The least of the offered states, NULL where none can be reached."""
+    return f"least({', '.join(offers)})" if len(offers) > 1 else offers[0]
+
+
+def _edit(state: str, cost: str, letter: str, turn: str, when: str = "true") -> str:
+    """A state is cost (9 digits), audit, chr(1), turns; this one comes from `state` by one edit."""
+    told = f"|| CASE WHEN substr({state}, strpos({state}, chr(1)) + 1) = '' THEN '' ELSE chr(10) END || {turn}" if turn else ""
+    return (
+        f"CASE WHEN {when} AND {state} IS NOT NULL THEN printf('%09d', substr({state}, 1, 9)::INTEGER + {cost}) || substr({state}, 10, strpos({state}, chr(1)) - 10) || '{letter}'"
+        f" || substr({state}, strpos({state}, chr(1))) {told} END"
+    )
+
+
+_KEPT = {2: [("q0", "u"), ("q1", "u"), ("q3", "u")], 3: [("q2", "a")], 1: [("q0", "s")]}
+_MUST = "fault NOT IN ('blank', 'duplicate')"
+_MORE = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+_NEW = {
+    k: _state(
+        _edit(f"q{k}", "2", "D", ""),
+        *(_edit(q, _MORE, "K", "role || ':' || text", f"{_MUST} AND left(role, 1) = '{i}'") for q, i in _KEPT.get(k, [])),
+        *(_edit(q, f"1 + {_MORE}", "R", f"'{'assistant' if k == 3 else 'user'}:' || text", f"{_MUST} AND left(role, 1) <> '{i}'") for q, i in _KEPT.get(k, []) if i != "s"),
+    )
+    for k in range(4)
+}
+_INSERTS = {2: ("r0", "r1", "r3"), 3: ("r2",)}
+
+
+def _closed(source: str) -> str:
+    """SELECT of a layer after one round of inserts."""
+    made = {k: _state(f"r{k}", *(_edit(q, "5", "I", f"'{'assistant' if k == 3 else 'user'}:'") for q in _INSERTS.get(k, ()))) for k in range(4)}
+    return f"SELECT * REPLACE ({', '.join(f'{made[k]} AS r{k}' for k in (2, 3))}) FROM {source}"
+
+
+#: CRC-32 bit by bit over the bytes of an ASCII string.
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length({0}) * 8), lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr({0}, (i // 8 + 1)::BIGINT, 1))::BIGINT ELSE 0 END)), "
+    "lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END))"
+)
+
+_REPAIR_SQL = f"""
+    WITH RECURSIVE k AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+    ), h AS (SELECT *, {_CRC.format('key')} % 20 AS kind FROM k), d AS (
+        SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+            CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+        FROM (SELECT *, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) FROM h) WHERE kind <> 0
+    ), o AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+            right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS ends,
+            lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) || left(role, 1) AS pair
+        FROM d
+    ), f AS (
+        SELECT *, CASE WHEN ends = '' THEN 'blank' WHEN n > min(n) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN ends NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o
+    ), w AS (
+        SELECT c.conv_id, 0 AS n, '000000000' || chr(1) AS q0, NULL::VARCHAR AS q1, '000000005I' || chr(1) || 'user:' AS q2, '000000010II' || chr(1) || 'user:' || chr(10) || 'assistant:' AS q3 FROM (SELECT DISTINCT conv_id FROM k) c
+        UNION ALL
+        SELECT conv_id, n, r0, r1, r2, r3 FROM ({_closed(f'({_closed("(SELECT w.conv_id, w.n + 1 AS n, " + ", ".join(f"{_NEW[x]} AS r{x}" for x in range(4)) + " FROM w JOIN f ON f.conv_id = w.conv_id AND f.n = w.n + 1)")})')})
+    ), z AS (
+        SELECT conv_id, arg_max(least(q0, q3), n) AS best FROM w GROUP BY 1
+    ), t AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1
+    )
+    SELECT z.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        substr(best, 1, 9)::BIGINT AS cost, substr(best, 10, strpos(best, chr(1)) - 10) AS audit, sha256(substr(best, strpos(best, chr(1)) + 1)) AS repaired_sha256
+    FROM z LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM z.conv_id
+"""
+
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
         WITH n AS (
@@ -106,4 +191,5 @@ ORACLE_SQL = {
             sum(chars)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_conversation_repair": _REPAIR_SQL,
 }
