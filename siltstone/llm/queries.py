@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, dedup, license, near, quality, repair, shard, tokencount, toxicity
+from . import bpe, chat, decontam, dedup, license, mix, near, quality, repair, shard, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audit(damaged(_table(spark, sf_dir, "conversations")), gone=F.col("gone"))
 
 
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.account(_table(spark, sf_dir, "documents"), mix.in_turn(3, 1, 2)).drop("source")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,6 +93,7 @@ QUERIES = {
         op9_bpe,
         op10_toxicity,
         op11_conversation_repair,
+        op13_mix,
     )
 }
 
@@ -192,4 +197,25 @@ ORACLE_SQL = {
         FROM e GROUP BY conv_id
     """,
     "op11_conversation_repair": _REPAIR_SQL,
+    "op13_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+        ), p AS (SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || size) AS place FROM d),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 2.0::DOUBLE * sum(size)::BIGINT AS cap,
+                ([3.0, 1.0, 2.0]::DOUBLE[])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS weight
+            FROM p GROUP BY 1
+        ), r AS (
+            SELECT *, sum(source_size) OVER ()::BIGINT * 1.5::DOUBLE AS budget, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+                sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM s
+        ), f AS (SELECT *, cap / weight <= (budget - capped) / free AS topped FROM r),
+        t AS (
+            SELECT source, source_size, CASE WHEN topped THEN cap ELSE (budget - coalesce(sum(cap) FILTER (topped) OVER (), 0)) * weight / sum(weight) FILTER (NOT topped) OVER () END AS target FROM f
+        ), l AS (
+            SELECT p.*, source_size, target, floor(target)::BIGINT AS e,
+                coalesce(sum(size) OVER (PARTITION BY p.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a
+            FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target, greatest(0, least(a + size, e) - a) + greatest(0, least(source_size + a + size, e) - source_size - a) AS taken FROM l
+    """,
 }
