@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, dedup, license, mix, near, quality, repair, shard, tokencount, toxicity
+from . import bpe, chat, decontam, dedup, divergence, license, mix, near, quality, repair, shard, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.audit(damaged(_table(spark, sf_dir, "conversations")), gone=F.col("gone"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.account(_table(spark, sf_dir, "documents"), mix.in_turn(3, 1, 2)).drop("source")
 
@@ -93,6 +97,7 @@ QUERIES = {
         op9_bpe,
         op10_toxicity,
         op11_conversation_repair,
+        op12_source_divergence,
         op13_mix,
     )
 }
@@ -197,6 +202,33 @@ ORACLE_SQL = {
         FROM e GROUP BY conv_id
     """,
     "op11_conversation_repair": _REPAIR_SQL,
+    "op12_source_divergence": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), w AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+        k AS (SELECT lang, term, count(*)::HUGEINT AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+        c AS (SELECT w.lang, w.source, w.term, count(*)::HUGEINT AS n FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+        l AS (SELECT lang, sum(total) AS n_lang, count(*)::HUGEINT AS v FROM k GROUP BY 1),
+        s AS (SELECT lang, source, sum(n) AS n_source FROM c GROUP BY 1, 2),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        h AS (SELECT g.lang, g.source, coalesce(n_source, 0)::HUGEINT AS n_source, n_lang::HUGEINT AS n_lang, coalesce(v, 0)::HUGEINT AS v FROM g LEFT JOIN l USING (lang) LEFT JOIN s USING (lang, source)),
+        a AS (
+            SELECT h.lang, h.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (n_source + v) AS p, 1 + (1000000000 * (total + 1)) // (n_lang + v) AS q
+            FROM h JOIN k USING (lang) LEFT JOIN c ON c.lang = h.lang AND c.source = h.source AND c.term = k.term
+        ), t AS (
+            SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM a WHERE n > 0 AND p > q
+        ), b AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+            FROM a x JOIN a y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 4
+        ), z AS (
+            SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(b.value, 0) AS value
+            FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source LEFT JOIN b ON b.lang = x.lang AND b.source = x.source AND b.item = y.source
+        ), u AS (SELECT * FROM t UNION ALL SELECT * FROM z)
+        SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+        FROM u QUALIFY part = 'pair' OR rank <= 200
+    """,
     "op13_mix": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
