@@ -4,8 +4,8 @@ Terms are runs of ASCII letters, lower-cased, and of characters beyond ASCII. Ea
 and source and writes the counts (with document frequencies) to the shared folder. From these count-min sketches are made, one a
 task, and merged; cells stop at the least document frequency that a term needs, and as a cell is never less than the frequency of
 any of its terms, terms that the merged sketch puts below it are impossible and go before the shuffle. The survivors are
-counted exactly, once a language and term, and those that are too rare after all go. The merged sketch has a fixed size (`WIDTH` cells in
-`DEPTH` rows, four cells a byte), so it is broadcast; a sketch too narrow for a corpus lets more rare terms pass, and changes no result.
+counted exactly, once a language and term, and those that are too rare after all go. The merged sketch has a fixed size (`width` cells in
+DEPTH rows, four cells a byte), so it is broadcast; a sketch too narrow for a corpus lets more rare terms pass, and changes no result.
 
 All arithmetic is in whole numbers. With N occurrences of the V kept terms in a group, p = 1 + floor(10**9 (count + 1) / (N + V)), and the
 divergence of p from q is floor((p - q)**2 / q). The sum over all kept terms for each two sources of a language needs no walk
@@ -36,25 +36,24 @@ from . import common
 
 TERM, BETWEEN = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 LEAST_DOCUMENTS = 3
-#: The sketch: cells in a row, rows; cells are merged in pieces of CHUNK.
+#: The sketch: cells in a row (a multiple of CHUNK), rows; cells are merged in pieces of CHUNK.
 WIDTH, DEPTH, CHUNK = 1 << 22, 3, 1 << 16
-#: Counters that a task holds before it writes them out; pairs that are formed at once.
-HELD, PAIRS = 400_000, 1 << 20
-PIECE = 1 << 22
+#: Terms that a task counts before it writes them out; pairs that are formed at once; bytes of text that are split at once.
+HELD, PAIRS, PIECE = 400_000, 1 << 20, 1 << 22
 SCALE = 1_000_000_000
 
 
-def _terms(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text, in pieces of some megabytes."""
+def _terms(text: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
+    """The terms of a text, piece by piece."""
     text, at = text.lower(), 0  # of bytes, this lowers A to Z only
     while at < len(text):
-        cut = BETWEEN.search(text, at + PIECE) if len(text) - at > PIECE else None
+        cut = BETWEEN.search(text, at + piece) if len(text) - at > piece else None
         end = cut.start() if cut else len(text)
         yield TERM.findall(text, at, end)
         at = end
 
 
-def count_terms(docs: DataFrame) -> DataFrame:
+def count_terms(docs: DataFrame, held_terms: int = HELD) -> DataFrame:
     """lang, source, term, n (occurrences), df (documents): the counts of each task; docs has lang, source and text, no nulls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,21 +80,21 @@ def count_terms(docs: DataFrame) -> DataFrame:
                     times.update(terms)
                     distinct.update(terms)
                 docs_with.update(distinct)
-            if sum(len(times) for times, _ in held.values()) > HELD:
+            if sum(len(times) for times, _ in held.values()) > held_terms:
                 yield from told()
         yield from told()
 
     return docs.mapInArrow(run, "lang string, source string, term string, n long, df long")
 
 
-def _cells(hashes: np.ndarray) -> list[np.ndarray]:
+def _cells(hashes: np.ndarray, width: int) -> list[np.ndarray]:
     """The cell in each row of the sketch, from one 64-bit hash."""
     h = hashes.view(np.uint64)
     low, high = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return [((low + np.uint64(k) * high) % np.uint64(WIDTH)).astype(np.int64) for k in range(DEPTH)]
+    return [((low + np.uint64(k) * high) % np.uint64(width)).astype(np.int64) for k in range(DEPTH)]
 
 
-def sketch(counts: DataFrame) -> np.ndarray:
+def sketch(counts: DataFrame, width: int = WIDTH) -> np.ndarray:
     """The merged count-min sketch of document frequencies by language and term, four cells a byte; cells stop at LEAST_DOCUMENTS."""
     most = LEAST_DOCUMENTS
     hashed = counts.select(F.xxhash64("lang", "term").alias("h"), F.least("df", F.lit(most)).alias("df"))
@@ -105,12 +104,12 @@ def sketch(counts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "cells": pa.array([held.tobytes()], pa.binary())})
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = np.zeros((DEPTH, WIDTH), np.uint16)
+        made = np.zeros((DEPTH, width), np.uint16)
         for batch in batches:
             for at in range(0, batch.num_rows, 10_000):  # so many additions can't overflow a cell
                 part = batch.slice(at, 10_000)
                 df = part.column("df").to_numpy(zero_copy_only=False).astype(np.uint16)
-                for k, cell in enumerate(_cells(part.column("h").to_numpy(zero_copy_only=False))):
+                for k, cell in enumerate(_cells(part.column("h").to_numpy(zero_copy_only=False), width)):
                     np.add.at(made[k], cell, df)
                     made[k][cell] = np.minimum(made[k][cell], most)
         chunks = made.astype(np.uint8).reshape(-1, CHUNK)
@@ -125,20 +124,20 @@ def sketch(counts: DataFrame) -> np.ndarray:
         yield from rows({chunk: sum(cells[k::4] << (2 * k) for k in range(4)) for chunk, cells in met.items()})
 
     form = "chunk long, cells binary"
-    merged = np.zeros((DEPTH * WIDTH // CHUNK, CHUNK // 4), np.uint8)
+    merged = np.zeros((DEPTH * width // CHUNK, CHUNK // 4), np.uint8)
     for row in hashed.mapInArrow(fill, form).repartition("chunk").mapInArrow(merge, form).collect():
         merged[row.chunk] = np.frombuffer(row.cells, np.uint8)
-    return merged.reshape(DEPTH, WIDTH // 4)
+    return merged.reshape(DEPTH, width // 4)
 
 
 def possible(counts: DataFrame, merged: np.ndarray) -> DataFrame:
     """The counts of terms that the sketch puts at LEAST_DOCUMENTS; no term with as many documents is lost."""
-    known = counts.sparkSession.sparkContext.broadcast(merged)
+    known, width = counts.sparkSession.sparkContext.broadcast(merged), merged.shape[1] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stays = np.ones(batch.num_rows, bool)
-            for k, cell in enumerate(_cells(batch.column("h").to_numpy(zero_copy_only=False))):
+            for k, cell in enumerate(_cells(batch.column("h").to_numpy(zero_copy_only=False), width)):
                 stays &= (known.value[k][cell >> 2] >> ((cell & 3) * 2).astype(np.uint8)) & 3 >= LEAST_DOCUMENTS
             yield batch.drop_columns(["h"]).filter(pa.array(stays))
 
@@ -155,7 +154,7 @@ def _f(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _in_both(terms: DataFrame) -> DataFrame:
+def _in_both(terms: DataFrame, at_once: int) -> DataFrame:
     """lang, source, item, value: what terms that two sources have add beyond what they add by being in one of them.
 
     `terms` has lang and entries (source, p, p0) of each term.
@@ -185,8 +184,8 @@ def _in_both(terms: DataFrame) -> DataFrame:
                 starts = np.cumsum(rows) - rows
                 for k in np.unique(rows):
                     at = starts[rows == k][:, None] + np.arange(k)
-                    wide = max(1, min(k, PAIRS // k))  # sources that are held against all k of a term at once
-                    tall = max(1, PAIRS // (k * wide))
+                    wide = max(1, min(k, at_once // k))  # sources that are held against all k of a term at once
+                    tall = max(1, at_once // (k * wide))
                     for top in range(0, len(at), tall):
                         h = at[top : top + tall, None, :]
                         for left in range(0, k, wide):
@@ -200,17 +199,18 @@ def _in_both(terms: DataFrame) -> DataFrame:
     return terms.mapInArrow(run, "lang string, source string, item string, value long")
 
 
-def audit(docs: DataFrame, top: int = 200, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
+def audit(docs: DataFrame, top: int = 200, width: int = WIDTH, held_terms: int = HELD, at_once: int = PAIRS, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """lang, source, part, item, value, rank.
 
     Part `pair`: the divergence of a source from each other source of its language, over all kept terms. Part `term`: the `top`
-    terms in which a source exceeds its language most.
+    terms in which a source exceeds its language most. `width` is that of the sketch, `held_terms` and `at_once` bound what a
+    task holds; none of them changes a result.
     """
     spark = docs.sparkSession
     own = common.own_columns(docs, lang=lang, source=source, text=text).select(*(common.text_or_empty(c).cast("string").alias(c) for c in ("lang", "source", "text")))
     with common.Workspace(spark, "divergence") as work:
-        counts = work.keep(count_terms(own))
-        survivors = possible(counts, sketch(counts))
+        counts = work.keep(count_terms(own, held_terms))
+        survivors = possible(counts, sketch(counts, width))
         exact = survivors.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
         kept = exact.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("df").alias("df"), F.collect_list(F.struct("source", "n")).alias("entries"))
         kept = work.keep(kept.where(F.col("df") >= LEAST_DOCUMENTS).drop("df"))
@@ -221,7 +221,7 @@ def audit(docs: DataFrame, top: int = 200, lang: str = "lang", source: str = "so
         place = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
         terms = rows.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _f(F.col("p"), F.col("q")).cast("long").alias("value"))
         terms = terms.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
-        pairs = _pairs(rows, groups, work).withColumn("rank", F.row_number().over(place))
+        pairs = _pairs(rows, groups, work, at_once).withColumn("rank", F.row_number().over(place))
         return common.cut(terms.unionByName(pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")))
 
 
@@ -238,7 +238,7 @@ def _groups(own: DataFrame, kept: DataFrame, entries: DataFrame, work: common.Wo
     return work.keep(found.select(_group_key().alias("group"), "*").withColumn("p0", _p("0", "n_source", "v")))
 
 
-def _pairs(rows: DataFrame, groups: DataFrame, work: common.Workspace) -> DataFrame:
+def _pairs(rows: DataFrame, groups: DataFrame, work: common.Workspace, at_once: int) -> DataFrame:
     """lang, source, item, value for every two sources of a language."""
     peers = work.keep(groups.groupBy("lang").agg(F.collect_list(F.struct(F.col("source").alias("item"), F.col("p0").alias("item_p0"))).alias("peers"), F.sum(F.col("rows") + 1).alias("size")))
     p, p0, other = F.col("p"), F.col("p0"), F.col("item_p0")
@@ -256,6 +256,6 @@ def _pairs(rows: DataFrame, groups: DataFrame, work: common.Workspace) -> DataFr
     ahead = alone.select("lang", "source", "item", F.col("ahead").alias("value"))
     behind = alone.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), F.col("behind").alias("value"))
     terms = rows.repartition("lang", "term").groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "p0")).alias("entries")).where(F.size("entries") > 1)
-    both = _in_both(terms.select("lang", "entries"))
+    both = _in_both(terms.select("lang", "entries"), at_once)
     found = base.unionByName(ahead).unionByName(behind).unionByName(both)
     return found.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

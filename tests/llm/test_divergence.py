@@ -40,30 +40,25 @@ def made(seed, n):
 
 
 @pytest.mark.parametrize(("seed", "width"), [(1, 1 << 16), (2, 1 << 22)])
-def test_against_plain_counting(spark, monkeypatch, seed, width):
-    monkeypatch.setattr(divergence, "WIDTH", width)
-    monkeypatch.setattr(divergence, "HELD", 20)  # so that tasks write their counts out several times
-    monkeypatch.setattr(divergence, "PAIRS", 8)
+def test_against_plain_counting(spark, seed, width):
     rows = made(seed, 150)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("term", F.lit("clash")).withColumn("n", F.lit(7))
-    assert sorted(tuple(r) for r in divergence.audit(df, top=9).collect()) == plain(rows, top=9)
+    assert sorted(tuple(r) for r in divergence.audit(df, top=9, width=width, held_terms=20, at_once=8).collect()) == plain(rows, top=9)
 
 
-def test_the_sketch_never_underestimates(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "WIDTH", 1 << 16)
+def test_the_sketch_never_underestimates(spark):
     rng = random.Random(3)
     counts = [("en", "s", f"t{rng.randrange(30_000)}", 1, 1) for _ in range(60_000)]
     true = Counter(c[2] for c in counts)
     df = spark.createDataFrame(counts, "lang string, source string, term string, n long, df long").repartition(7)
-    stay = Counter(r.term for r in divergence.possible(df, divergence.sketch(df)).collect())
+    stay = Counter(r.term for r in divergence.possible(df, divergence.sketch(df, 1 << 16)).collect())
     assert all(stay[t] == n for t, n in true.items() if n >= 3)
     assert sum(n < 3 for t, n in true.items() if t in stay) < 0.3 * sum(n < 3 for n in true.values())
 
 
-def test_long_texts_are_read_in_pieces(monkeypatch):
-    monkeypatch.setattr(divergence, "PIECE", 10)
+def test_long_texts_are_read_in_pieces():
     text = "one TWO thréé 4 five-six " * 50 + "x" * 100
-    got = [t for part in divergence._terms(text.encode()) for t in part]
+    got = [t for part in divergence._terms(text.encode(), 10) for t in part]
     assert got == [t.encode() for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.replace("TWO", "two"))]
 
 
@@ -74,6 +69,6 @@ def test_nothing(spark):
 
 
 def test_cells_differ_by_row():
-    cells = divergence._cells(np.arange(1000, dtype=np.int64) * 7_777_777_777_777)
-    assert len(cells) == divergence.DEPTH and all(0 <= c.min() and c.max() < divergence.WIDTH for c in cells)
+    cells = divergence._cells(np.arange(1000, dtype=np.int64) * 7_777_777_777_777, 1 << 18)
+    assert len(cells) == divergence.DEPTH and all(0 <= c.min() and c.max() < 1 << 18 for c in cells)
     assert (cells[0] != cells[1]).mean() > 0.9
