@@ -28,7 +28,6 @@ an identifier, else in a component without identifier. Very long texts are taken
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Callable, Iterator
@@ -54,7 +53,6 @@ SHORT_LIST = 500_000
 Keep = Callable[[DataFrame], DataFrame]
 
 _R = np.uint64(0x9E3779B97F4A7C15)
-_R_INVERSE = np.uint64(pow(int(_R), -1, 1 << 64))
 
 
 class Scheme:
@@ -99,25 +97,22 @@ class Scheme:
         return differ <= self.hashes - self.least_equal
 
 
-@functools.cache
-def _powers(base: int, n: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, np.uint64(base))]))
-
-
 def word_hashes(lower: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: int = 1 << 18) -> np.ndarray:
-    """Polynomial hashes of the words, from prefix sums over pieces of whole words."""
+    """Hashes of the words: the sum of one mixed number for each byte and its place in the word, over pieces of whole words.
+
+    Every place and byte has a number of its own, so no pattern of letters cancels, as it does in a polynomial modulo 2**64.
+    """
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
         last = max(first + 1, int(np.searchsorted(ends, starts[first] + piece, "right")))
-        a, b = int(starts[first]), int(ends[last - 1])
-        n = piece if b - a <= piece else b - a
+        size = ends[first:last] - starts[first:last]
+        to = np.cumsum(size)
+        place = np.arange(int(to[-1])) - np.repeat(to - size, size)
+        at = place + np.repeat(starts[first:last], size)
         with np.errstate(over="ignore"):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((lower[a:b].astype(np.uint64) + np.uint64(1)) * _powers(int(_R), n)[: b - a])])
-            out[first:last] = (sums[ends[first:last] - a] - sums[starts[first:last] - a]) * _powers(int(_R_INVERSE), n)[starts[first:last] - a]
-        if n > piece:
-            _powers.cache_clear()
+            mixed = common.mix64(((place.astype(np.uint64) + np.uint64(1)) << np.uint64(8)) + lower[at])
+            out[first:last] = np.add.reduceat(mixed, to - size) + size.astype(np.uint64)
         first = last
     return common.mix64(out)
 
