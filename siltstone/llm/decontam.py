@@ -211,6 +211,7 @@ class Items:
     def _equal(self, code: np.ndarray, total: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many characters are equal from x in the document and y in the items on, `most` at most."""
         out = np.zeros(len(x), np.int64)
+        x0, y0 = x, y
         who = np.flatnonzero(code[x] == self.code[y])
         x, y, low, high = x[who], y[who], np.ones(len(who), np.int64), most[who]
         power = powers(max(len(code), len(self.code)) + 1)[0]
@@ -222,7 +223,23 @@ class Items:
             ready = low >= high
             out[who[ready]] = low[ready]
             who, x, y, low, high = (v[~ready] for v in (who, x, y, low, high))
-        return out
+        return self._confirmed(code, x0, y0, out)
+
+    def _confirmed(self, code: np.ndarray, x: np.ndarray, y: np.ndarray, equal: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
+        """The stretches up to their first character that differs after all: equal sums may, in theory, be those of other texts."""
+        ends = np.cumsum(equal)
+        first = 0
+        while first < len(equal):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + piece, "right")))
+            n = equal[first:last]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            differ = code[np.repeat(x[first:last], n) + step] != self.code[np.repeat(y[first:last], n) + step]
+            if differ.any():
+                owner = np.repeat(np.arange(first, last), n)[differ]
+                rows, where = np.unique(owner, return_index=True)
+                equal[rows] = step[differ][where]
+            first = last
+        return equal
 
 
 def _counted(keys: np.ndarray, table: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
