@@ -21,6 +21,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file in the shared storage."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(there, True).close()
+
+
 class Workspace:
     """Intermediate tables in a folder of the shared storage, which goes when the work is done.
 

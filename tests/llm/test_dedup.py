@@ -5,11 +5,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import common, dedup, near, shard
+from siltstone.llm import common, decontam, dedup, near, shard
 
 SCHEMA = "doc_id long, text string, digest string, n long"
 
@@ -197,6 +198,48 @@ def test_two_runs_on_one_folder(spark, monkeypatch):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in third.collect()) == [(20, 20, 1, True), (21, 1, 2, False)]
 
 
+def test_a_run_that_broke_off_is_repeated_without_counting_twice(spark, monkeypatch):
+    folder = common.scratch(spark, "test")
+    dedup.classify(frame(spark, [(5, "a"), (7, "b")]), folder=folder)
+    real = dedup.Deduplicator.groups
+
+    def broken(self):
+        raise OSError("lost")
+
+    monkeypatch.setattr(dedup.Deduplicator, "groups", broken)
+    with pytest.raises(OSError, match="lost"):  # the rows have arrived, no decision stands
+        dedup.classify(frame(spark, [(3, "a"), (4, "c")]), folder=folder)
+    monkeypatch.setattr(dedup.Deduplicator, "groups", real)
+    with pytest.raises(ValueError, match="did not finish"):
+        dedup.classify(frame(spark, [(9, "other")]), folder=folder)
+    again = dedup.classify(frame(spark, [(3, "a"), (4, "c")]), folder=folder)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in again.collect()) == [(3, 3, 2, True), (4, 4, 1, True)]
+    last = dedup.classify(frame(spark, [(1, "c")]), folder=folder)
+    assert [(r.doc_id, r.keep_id, r.group_size) for r in last.collect()] == [(1, 1, 2)]
+
+
+def test_identifiers_may_be_texts(spark):
+    rows = [("b", "x y"), ("a", "xy"), ("c", "xy "), (None, "x  y"), (None, "z")]
+    got = dedup.classify(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted((r.doc_id or "", r.keep_id or "", r.group_size) for r in got.collect()) == [("", "", 1), ("", "", 4), ("a", "", 4), ("b", "", 4), ("c", "", 4)]
+    got = dedup.classify(spark.createDataFrame(rows[:3], "doc_id string, text string"))
+    assert {r.keep_id for r in got.collect()} == {"b"}  # of the longest the smallest identifier
+
+
+def test_words_of_a_pattern_that_cancels_in_polynomials():
+    """Thue-Morse words: their polynomials agree modulo 2**64 whatever the base."""
+    for n in (1 << 6, 1 << 11, 1 << 13):
+        one = "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+        two = one.translate(str.maketrans("ab", "ba"))
+        sets = near.shingle_sets(*common.text_buffers(pa.array([one, two, one, f"x {one}", f"{one} x"])))
+        assert len({tuple(s) for s in sets}) == 4 and (sets[0] == sets[2]).all()
+        items = decontam.Items([one + " " + "q" * 40])
+        text = two + " " + "q" * 40
+        code, _, owner = decontam.normalise(*common.text_buffers(pa.array([text])))
+        assert items._equal(code, decontam.sums(code), np.array([0, n]), np.array([0, n]), np.array([n, 41])).tolist() == [0, 41]
+        assert items._equal(code, decontam.sums(code), np.array([1]), np.array([n // 2 + 1]), np.array([n // 2])).tolist()[0] in range(n // 2 + 1)
+
+
 def test_near_keeps_the_texts_of_one_identifier_apart(spark):
     text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
     rows = [(1, text(1)), (1, text(2)), (2, text(1) + " more"), (3, text(2) + " more"), (4, text(3)), (4, text(3))]
