@@ -39,7 +39,7 @@ LEAST_DOCUMENTS = 3
 #: The sketch: cells in a row (a multiple of CHUNK), rows; cells are merged in pieces of CHUNK.
 WIDTH, DEPTH, CHUNK = 1 << 22, 3, 1 << 16
 #: Terms that a task counts before it writes them out; pairs that are formed at once; bytes of text that are split at once.
-HELD, PAIRS, PIECE = 400_000, 1 << 20, 1 << 22
+HELD, PAIRS, PIECE = 800_000, 1 << 20, 1 << 22
 SCALE = 1_000_000_000
 
 
@@ -53,38 +53,61 @@ def _terms(text: bytes, piece: int = PIECE) -> Iterator[list[bytes]]:
         at = end
 
 
+COUNTS = "lang string, term string, df long, entries array<struct<source: string, n: long, df: long>>"
+
+
+def _counted(lang: str, docs_with: Counter, sources: dict[str, Counter], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Rows of COUNTS; the document frequency stands in the row and again in its first entry."""
+    terms, names = list(docs_with), list(sources)
+    number = dict(zip(terms, range(len(terms)), strict=True))
+    which = np.concatenate([np.fromiter(map(number.__getitem__, times), np.int64, len(times)) for times in sources.values()])
+    n = np.concatenate([np.fromiter(times.values(), np.int64, len(times)) for times in sources.values()])
+    source = np.repeat(np.arange(len(names)), [len(times) for times in sources.values()])
+    order = np.argsort(which, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=len(terms)))])
+    df = np.fromiter(docs_with.values(), np.int64, len(terms))
+    first = np.zeros(len(which), np.int64)
+    first[starts[:-1]] = df
+    names = pa.array(names, pa.string())
+    for at in range(0, len(terms), rows):
+        to = min(at + rows, len(terms))
+        part = order[starts[at] : starts[to]]
+        entries = pa.StructArray.from_arrays([names.take(pa.array(source[part])), pa.array(n[part]), pa.array(first[starts[at] : starts[to]])], ["source", "n", "df"])
+        lists = pa.ListArray.from_arrays(pa.array((starts[at : to + 1] - starts[at]).astype(np.int32)), entries)
+        texts = pa.array(terms[at:to], pa.binary()).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * (to - at), pa.string()), texts, pa.array(df[at:to]), lists], ["lang", "term", "df", "entries"])
+
+
 def count_terms(docs: DataFrame, held_terms: int = HELD) -> DataFrame:
-    """lang, source, term, n (occurrences), df (documents): the counts of each task; docs has lang, source and text, no nulls."""
+    """COUNTS of each task: a row a language and term with its document frequency, and its occurrences in each source.
+
+    docs has lang, source and text, no nulls.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[str, tuple[Counter, dict[str, Counter]]] = {}
 
         def told():
-            for (lang, source), (times, docs_with) in held.items():
-                terms = list(times)
-                for at in range(0, len(terms), 20_000):
-                    part = terms[at : at + 20_000]
-                    yield pa.RecordBatch.from_pydict({
-                        "lang": pa.array([lang] * len(part), pa.string()), "source": pa.array([source] * len(part), pa.string()),
-                        "term": pa.array(part, pa.binary()).cast(pa.string()),
-                        "n": pa.array([times[t] for t in part], pa.int64()), "df": pa.array([docs_with[t] for t in part], pa.int64()),
-                    })
+            for lang, (docs_with, sources) in held.items():
+                if docs_with:
+                    yield from _counted(lang, docs_with, sources)
             held.clear()
 
         for batch in common.slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), texts, strict=True):
-                times, docs_with = held.setdefault((lang, source), (Counter(), Counter()))
+                docs_with, sources = held.setdefault(lang, (Counter(), {}))
+                times = sources.setdefault(source, Counter())
                 distinct: set[bytes] = set()
                 for terms in _terms(text):
                     times.update(terms)
                     distinct.update(terms)
                 docs_with.update(distinct)
-            if sum(len(times) for times, _ in held.values()) > held_terms:
+            if sum(len(times) for _, sources in held.values() for times in sources.values()) > held_terms:
                 yield from told()
         yield from told()
 
-    return docs.mapInArrow(run, "lang string, source string, term string, n long, df long")
+    return docs.mapInArrow(run, COUNTS)
 
 
 def _cells(hashes: np.ndarray, width: int) -> list[np.ndarray]:
@@ -211,7 +234,8 @@ def audit(docs: DataFrame, top: int = 200, width: int = WIDTH, held_terms: int =
     with common.Workspace(spark, "divergence") as work:
         counts = work.keep(count_terms(own, held_terms))
         survivors = possible(counts, sketch(counts, width))
-        exact = survivors.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+        # the entries are summed one by one: a common term has one for each task and source
+        exact = survivors.repartition("lang", "term").select("lang", "term", F.inline("entries")).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
         kept = exact.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("df").alias("df"), F.collect_list(F.struct("source", "n")).alias("entries"))
         kept = work.keep(kept.where(F.col("df") >= LEAST_DOCUMENTS).drop("df"))
         entries = kept.select("lang", "term", "total", F.explode("entries").alias("e")).select("lang", "term", "total", "e.source", "e.n")

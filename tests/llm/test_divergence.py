@@ -48,9 +48,9 @@ def test_against_plain_counting(spark, seed, width):
 
 def test_the_sketch_never_underestimates(spark):
     rng = random.Random(3)
-    counts = [("en", "s", f"t{rng.randrange(30_000)}", 1, 1) for _ in range(60_000)]
-    true = Counter(c[2] for c in counts)
-    df = spark.createDataFrame(counts, "lang string, source string, term string, n long, df long").repartition(7)
+    counts = [("en", f"t{rng.randrange(30_000)}", 1, [("s", 1, 1)]) for _ in range(60_000)]
+    true = Counter(c[1] for c in counts)
+    df = spark.createDataFrame(counts, divergence.COUNTS).repartition(7)
     stay = Counter(r.term for r in divergence.possible(df, divergence.sketch(df, 1 << 16)).collect())
     assert all(stay[t] == n for t, n in true.items() if n >= 3)
     assert sum(n < 3 for t, n in true.items() if t in stay) < 0.3 * sum(n < 3 for n in true.values())
