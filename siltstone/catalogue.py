@@ -671,7 +671,11 @@ def hull_2d(spark, d):
     return rounded(thermo.hull_distance(_binary(spark, d), "p_brand", "p_partkey", ["a", "b"], "energy"))
 
 
-def _alloys(spark, d, n):
+#: The energies of the alloys; the second ones have no three points in a line.
+_PLAIN, _ODD = "-(p_partkey * 7 % 97) / 50.0", "-(p_partkey * 7 % 97) / 50.0 - (p_partkey * 613 % 1009) / 33333.0"
+
+
+def _alloys(spark, d, n, energy=_PLAIN):
     """Entries of n components with small whole shares; a tenth of them are pure."""
     most = (4, 3, 3) if n == 3 else (2, 2, 2, 2)
     numbers = [F.col("p_partkey"), F.col("p_size"), F.floor(F.col("p_partkey") / 7), F.floor(F.col("p_partkey") / 11)]
@@ -679,10 +683,10 @@ def _alloys(spark, d, n):
     pure = F.col("p_partkey") % 10 == 0
     which = F.floor(F.col("p_partkey") / 10) % n
     shares = [F.when(pure, (which == k).cast("int")).otherwise(x + (1 if k == 0 else 0)).cast("double").alias(f"x{k}") for k, x in enumerate(parts)]
-    return load(spark, d, "part").select("p_brand", "p_partkey", *shares, (-(F.col("p_partkey") * 7 % 97) / 50.0).alias("energy"))
+    return load(spark, d, "part").select("p_brand", "p_partkey", *shares, F.expr(energy).cast("double").alias("energy"))
 
 
-def _alloys_sql(n: int) -> str:
+def _alloys_sql(n: int, energy: str = _PLAIN, tail: str = "", gaps: bool = False) -> str:
     """Interpolated energies of all simplices of compositions that hold one, by Cramer's rule; the least is the hull's."""
     most = (4, 3, 3) if n == 3 else (2, 2, 2, 2)
     parts = [f"{x} % {m}" for x, m in zip(("p_partkey", "p_size", "p_partkey // 7", "p_partkey // 11"), most, strict=False)]
@@ -703,19 +707,24 @@ def _alloys_sql(n: int) -> str:
     joins = "".join(f" JOIN l c{k} ON c{k}.p_brand = c0.p_brand AND c{k}.i > c{k - 1}.i" for k in range(1, n))
     # the same sums of products, with one corner replaced by the composition
     weights = [det([*corners[:k], "t", *corners[k + 1 :]]) for k in range(n)]
+    closing = f"""SELECT r.p_brand, p_partkey, CASE WHEN hull IS NOT NULL THEN round(greatest(e.energy - hull, 0), 6) END AS e_above_hull FROM r LEFT JOIN e USING (p_partkey)
+        LEFT JOIN l ON l.p_brand = e.p_brand AND {" AND ".join(f"l.{x} = e.{x}" for x in names)} LEFT JOIN h ON h.p_brand = l.p_brand AND h.i = l.i"""
+    more = "t.m, " + "".join(f"s.i{k}, {w} / s.det AS w{k}, " for k, w in enumerate(weights)) if tail else ""
+    if gaps:
+        shares = f"* REPLACE ({', '.join(f'{x} * (p_partkey % 43 <> 7)::INT AS {x}' for x in names)}) FROM (SELECT p_partkey, {shares} FROM part)"
+    rows = f"""SELECT CASE WHEN p_partkey % 47 <> 11 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 41 <> 5 THEN {energy} END AS energy, s.* FROM part JOIN (SELECT {shares}) s USING (p_partkey)""" if gaps else f"SELECT p_brand, p_partkey, {energy} AS energy, {shares} FROM part"
     return f"""
-        WITH r AS (SELECT p_brand, p_partkey, -(p_partkey * 7 % 97) / 50.0 AS energy, {shares} FROM part),
-        e AS (SELECT p_brand, p_partkey, energy::DOUBLE AS energy, {", ".join(f"x{k} / ({total}) AS x{k}" for k in range(n))} FROM r),
+        WITH r AS ({rows}),
+        e AS (SELECT p_brand, p_partkey, energy::DOUBLE AS energy, {", ".join(f"x{k} / ({total}) AS x{k}" for k in range(n))} FROM r WHERE p_brand IS NOT NULL AND energy IS NOT NULL AND {total} > 0),
         k AS (SELECT p_brand, {", ".join(names)}, min(energy) AS m FROM e GROUP BY ALL UNION ALL
             SELECT p_brand, {", ".join(f"v.{x}" for x in names)}, 0.0 FROM (SELECT DISTINCT p_brand FROM e), (VALUES {pure}) v({", ".join(names)})
             WHERE (p_brand, {", ".join(f"v.{x}" for x in names)}) NOT IN (SELECT (p_brand, {", ".join(names)}) FROM e)),
         l AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY {", ".join(names)}) AS i FROM k),
         s AS (SELECT c0.p_brand, {", ".join(f"c{k}.i AS i{k}" for k in range(n))}, {det(corners)} AS det FROM l c0{joins}),
-        w AS (SELECT t.p_brand, t.i, ({" + ".join(f"{w} * c{k}.m" for k, w in enumerate(weights))}) / s.det AS hull, least({", ".join(f"{w} / s.det" for w in weights)}) AS least
+        w AS (SELECT t.p_brand, t.i, {more} ({" + ".join(f"{w} * c{k}.m" for k, w in enumerate(weights))}) / s.det AS hull, least({", ".join(f"{w} / s.det" for w in weights)}) AS least
             FROM s {" ".join(f"JOIN l c{k} ON c{k}.p_brand = s.p_brand AND c{k}.i = s.i{k}" for k in range(n))} JOIN l t ON t.p_brand = s.p_brand WHERE abs(s.det) > 1e-9),
         h AS (SELECT p_brand, i, min(hull) AS hull FROM w WHERE least > -1e-9 GROUP BY ALL)
-        SELECT e.p_brand, p_partkey, round(greatest(energy - hull, 0), 6) AS e_above_hull
-        FROM e JOIN l USING (p_brand, {", ".join(names)}) JOIN h ON h.p_brand = l.p_brand AND h.i = l.i
+        {tail or closing}
     """
 
 
@@ -729,6 +738,44 @@ def hull_quaternary(spark, d):
     return rounded(thermo.hull_distance(_alloys(spark, d, 4), "p_brand", "p_partkey", ["x0", "x1", "x2", "x3"], "energy"))
 
 
+@query(_alloys_sql(3, gaps=True))
+def hull_with_gaps(spark, d):
+    """Entries without a system, without an energy or without any amount have no distance."""
+    rows = _alloys(spark, d, 3)
+    lacks = F.col("p_partkey") % 43 == 7
+    rows = rows.select(F.when(F.col("p_partkey") % 47 != 11, F.col("p_brand")).alias("p_brand"), "p_partkey", *(F.when(lacks, 0.0).otherwise(F.col(f"x{k}")).alias(f"x{k}") for k in range(3)), F.when(F.col("p_partkey") % 41 != 5, F.col("energy")).alias("energy"))
+    return rounded(thermo.hull_distance(rows, "p_brand", "p_partkey", ["x0", "x1", "x2"], "energy"))
+
+
+_OWNER = "(SELECT min(p_partkey) FROM e WHERE e.p_brand = l.p_brand AND e.x0 = l.x0 AND e.x1 = l.x1 AND e.x2 = l.x2 AND e.energy = l.m)"
+
+
+@query(_alloys_sql(3, _ODD, f"""
+    , b AS (SELECT p_brand, i, unnest([(i0, w0), (i1, w1), (i2, w2)]) AS c, hull FROM w JOIN h USING (p_brand, i, hull) WHERE least > -1e-9),
+    d AS (SELECT DISTINCT p_brand, i, c[1] AS k, round(c[2], 6) AS share, hull FROM b WHERE c[2] > 1e-6)
+    SELECT e.p_brand, e.p_partkey, {_OWNER} AS phase, share, round(l.x0, 6) AS x0, round(l.x1, 6) AS x1, round(l.x2, 6) AS x2, round(hull, 6) AS hull_energy
+    FROM e JOIN l o ON o.p_brand = e.p_brand AND o.x0 = e.x0 AND o.x1 = e.x1 AND o.x2 = e.x2 JOIN d ON d.p_brand = e.p_brand AND d.i = o.i JOIN l ON l.p_brand = d.p_brand AND l.i = d.k
+"""))
+def ternary_decomposition(spark, d):
+    """The stable phases and their shares of every entry's composition."""
+    rows, parts = _alloys(spark, d, 3, _ODD), ["x0", "x1", "x2"]
+    found = thermo.decompose(rows, thermo.sections(rows, "p_brand", "p_partkey", parts, "energy"), "p_brand", "p_partkey", parts)
+    each = found.select("p_brand", "p_partkey", "hull_energy", F.inline("phases"))
+    return rounded(each.select("p_brand", "p_partkey", F.col("entry").alias("phase"), "share", *(F.col("x")[k].alias(f"x{k}") for k in range(3)), "hull_energy"))
+
+
+@query(_alloys_sql(3, _ODD, f"""
+    , f AS (SELECT p_brand, i0, i1, i2 FROM (SELECT p_brand, i0, i1, i2, bool_and(hull <= m + 1e-9) AS low FROM w GROUP BY 1, 2, 3, 4) WHERE low),
+    p AS (SELECT DISTINCT p_brand, unnest([(i0, i1), (i1, i2), (i0, i2)]) AS q FROM f),
+    o AS (SELECT l.p_brand, l.i, {_OWNER} AS phase FROM l)
+    SELECT p.p_brand, a.phase AS phase_a, b.phase AS phase_b FROM p JOIN o a ON a.p_brand = p.p_brand AND a.i = p.q[1] JOIN o b ON b.p_brand = p.p_brand AND b.i = p.q[2]
+"""))
+def ternary_tie_lines(spark, d):
+    """The pairs of entries that are stable together."""
+    lines = thermo.tie_lines(thermo.sections(_alloys(spark, d, 3, _ODD), "p_brand", "p_partkey", ["x0", "x1", "x2"], "energy"), "p_brand")
+    return lines.select("p_brand", F.col("a.entry").alias("phase_a"), F.col("b.entry").alias("phase_b"))
+
+
 @query("""
     WITH e AS (SELECT user_id, epoch(ts) / 3600.0 AS t, avg(value) AS v FROM events GROUP BY 1, 2),
     m AS (SELECT (min(t) + max(t)) / 2 AS mid FROM e),

@@ -19,9 +19,10 @@ def electron_wavelength(kilovolts: Column) -> Column:
 
 
 def caglioti_width(two_theta: Column, u: float, v: float, w: float) -> Column:
-    """The full width at half maximum at a scattering angle in degrees; 0 where its square is negative."""
+    """The full width at half maximum at a scattering angle in degrees; 0 where its square is negative, null without an angle."""
     t = F.tan(F.radians(two_theta / 2))
-    return F.sqrt(F.greatest(u * t * t + v * t + w, F.lit(0.0)))
+    square = u * t * t + v * t + w
+    return F.when(square > 0, F.sqrt(square)).when(square.isNotNull(), 0.0)
 
 
 def simplex_place(shares: list[Column]) -> list[Column]:

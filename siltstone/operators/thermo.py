@@ -94,38 +94,113 @@ def hull_energies(points: np.ndarray, energies: np.ndarray, tolerance: float = 1
     return out
 
 
-def hull_distance(df: DataFrame, system: str, entry: str, components: list[str], energy: str, part: int = 20_000) -> DataFrame:
-    """system, entry, e_above_hull: energies above the lower convex hull of each chemical system.
+def _entries(df: DataFrame, system: str, entry: str | None, components: list[str], energy: str | None) -> tuple[DataFrame, Column]:
+    """system, entry, e, x (shares of the components) of every row, and whether a row has a place in a diagram.
 
-    Of the entries of one composition only the lowest can be on the hull. A system's compositions are dealt over parts of about
-    `part`; the corners of the parts' hulls are few, and the hull of a system is that of its parts' corners. The facets,
-    some numbers a system, then meet the entries in a join that splits large systems, and distances are column expressions.
+    It has none without system or energy, with a missing or negative amount, or if its amounts sum to 0.
     """
-    d = len(components)
-    total = sum((F.col(c).cast("double") for c in components[1:]), F.col(components[0]).cast("double"))
-    rows = df.select(F.col(system).alias("system"), F.col(entry).alias("entry"), F.col(energy).cast("double").alias("e"), F.array(*[F.col(c).cast("double") / total for c in components]).alias("x"))
-    kind = rows.schema["system"].dataType.simpleString()
-    lowest = rows.groupBy("system", "x").agg(F.min("e").alias("e"))
+    amounts = [F.col(c).cast("double") for c in components]
+    total = sum(amounts[1:], amounts[0])
+    shares = F.when(total > 0, F.array(*(F.try_divide(c, total) for c in amounts)))
+    rows = df.select(F.col(system).alias("system"), (F.col(entry) if entry else F.lit(None).cast("long")).alias("entry"), (F.col(energy).cast("double") if energy else F.lit(0.0)).alias("e"), shares.alias("x"))
+    placed = F.col("system").isNotNull() & F.col("e").isNotNull() & ~F.isnan("e") & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0))
+    return rows, F.coalesce(placed, F.lit(False))
+
+
+def _facets(rows: DataFrame, d: int, part: int) -> DataFrame:
+    """system, n (its rows), facets (prices, inverse, corners as entry, x, e) of every system; rows has system, entry, e, x.
+
+    Of the entries of one composition only the lowest (then that with the smallest identifier) can be on the hull. A system's
+    compositions are dealt over parts of about `part`; the hull of a system is that of its parts' corners.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    lowest = rows.groupBy("system", "x").agg(F.min(F.struct("e", "entry")).alias("low")).select("system", "x", "low.e", "low.entry")
     sizes = rows.groupBy("system").agg(F.count("*").alias("n"))
     dealt = join_groups(lowest, sizes, "system", "n").withColumn("part", F.pmod(F.xxhash64("x"), F.ceil(F.col("n") / part)))
+    columns = ["system", "x", "e", "entry"]
 
     def corners(pdf: pd.DataFrame) -> pd.DataFrame:
         points, e = np.array(pdf["x"].tolist()), pdf["e"].to_numpy(float)
         # a pure point that other parts may have must hide nothing here
         _, faces = hull_facets(*_with_pure(points, e, max(e.max(), 0.0) + 1.0)[:2])
         found = np.unique(faces)
-        return pdf.iloc[found[found < len(points)]][["system", "x", "e"]]
+        return pdf.iloc[found[found < len(points)]][columns]
 
     def facets(pdf: pd.DataFrame) -> pd.DataFrame:
-        points, e, _ = _with_pure(np.array(pdf["x"].tolist()), pdf["e"].to_numpy(float), 0.0)
-        prices, _ = hull_facets(points, e)
-        return pd.DataFrame({"system": [pdf["system"].iloc[0]], "prices": [prices.tolist()]})
-
-    kept = dealt.groupBy("system", "part").applyInPandas(corners, f"system {kind}, x array<double>, e double")
-    planes = kept.groupBy("system").applyInPandas(facets, f"system {kind}, prices array<array<double>>").join(sizes, "system")
-    joined = join_groups(rows, planes, "system", "n")
-    hull = F.array_max(F.transform("prices", lambda p: sum((p[k] * F.col("x")[k] for k in range(1, d)), p[0] * F.col("x")[0])))
-    return joined.select(F.col("system").alias(system), F.col("entry").alias(entry), F.greatest(F.col("e") - hull, F.lit(0.0)).alias("e_above_hull"))
+        points, e, n = _with_pure(np.array(pdf["x"].tolist()), pdf["e"].to_numpy(float), 0.0)
+        prices, faces = hull_facets(points, e)
+        entries = [*pdf["entry"].astype(object).where(pdf["entry"].notna(), None), *[None] * (len(points) - n)]
+        made = [
+            {"prices": p.tolist(), "inverse": np.linalg.inv(points[f]).tolist(), "corners": [{"entry": entries[k], "x": points[k].tolist(), "e": float(e[k])} for k in f]}
+            for p, f in zip(prices, faces, strict=True)
+        ]
+        return pd.DataFrame({"system": [pdf["system"].iloc[0]], "facets": [made]})
+
+    kept = dealt.groupBy("system", "part").applyInPandas(corners, f"system {kinds['system']}, x array<double>, e double, entry {kinds['entry']}")
+    corner = f"struct<entry: {kinds['entry']}, x: array<double>, e: double>"
+    form = f"system {kinds['system']}, facets array<struct<prices: array<double>, inverse: array<array<double>>, corners: array<{corner}>>>"
+    return kept.groupBy("system").applyInPandas(facets, form).join(sizes, "system")
+
+
+def _on_plane(prices: Column, d: int) -> Column:
+    return sum((prices[k] * F.col("x")[k] for k in range(1, d)), prices[0] * F.col("x")[0])
+
+
+def hull_distance(df: DataFrame, system: str, entry: str, components: list[str], energy: str, part: int = 20_000) -> DataFrame:
+    """entry's energy per atom above the lower hull of its system; pure components that lack are at 0.
+
+    The facets, some numbers a system, meet the entries in a join that splits large systems, and distances are column
+    expressions. Entries without a place in a diagram (no system or energy, a missing or negative amount, amounts that sum to 0)
+    have a null distance and take no part in the hull.
+    """
+    d = len(components)
+    rows, placed = _entries(df, system, entry, components, energy)
+    planes = _facets(rows.where(placed), d, part).select("system", "n", F.transform("facets", lambda f: f["prices"]).alias("prices"))
+    joined = join_groups(rows.where(placed), planes, "system", "n")
+    hull = F.array_max(F.transform("prices", lambda p: _on_plane(p, d)))
+    found = joined.select("system", "entry", F.greatest(F.col("e") - hull, F.lit(0.0)).alias("e_above_hull"))
+    found = found.unionByName(rows.where(~placed).select("system", "entry", F.lit(None).cast("double").alias("e_above_hull")))
+    return found.select(F.col("system").alias(system), F.col("entry").alias(entry), "e_above_hull")
+
+
+def sections(df: DataFrame, system: str, entry: str, components: list[str], energy: str, part: int = 20_000) -> DataFrame:
+    """system, n, facets: the lower hull of each system as a table of its facets, for `decompose` and `tie_lines`.
+
+    A facet has its prices (its energy is their sum weighted by shares), the inverse of its corners' shares, and its corners; a
+    corner's entry is null where a pure component lacks and stands at 0.
+    """
+    rows, placed = _entries(df, system, entry, components, energy)
+    return _facets(rows.where(placed), len(components), part)
+
+
+def decompose(points: DataFrame, facets: DataFrame, system: str, point: str, components: list[str], least: float = 1e-8) -> DataFrame:
+    """system, point, hull_energy, phases (entry, x, share) of every composition: the stable phases that it splits into.
+
+    The facet over a composition is the one with the highest plane there, as the hull is convex; shares follow from its corners, and
+    those of `least` and below are left out. Null where the composition has no place, or its system no diagram.
+    """
+    d = len(components)
+    rows, placed = _entries(points, system, point, components, None)
+    joined = join_groups(rows.where(placed).select("system", "entry", "x"), facets.select("system", "n", "facets"), "system", "n")
+    over = F.array_max(F.transform("facets", lambda f, k: F.struct(_on_plane(f["prices"], d).alias("e"), k.alias("k"))))
+    chosen = joined.withColumn("over", over).withColumn("facet", F.get("facets", F.col("over.k")))
+    share = lambda k: sum((F.col("x")[j] * F.col("facet.inverse")[j][k] for j in range(1, d)), F.col("x")[0] * F.col("facet.inverse")[0][k])
+    phases = F.array(*(F.struct(F.col("facet.corners")[k]["entry"].alias("entry"), F.col("facet.corners")[k]["x"].alias("x"), share(k).alias("share")) for k in range(d)))
+    found = chosen.select("system", "entry", F.col("over.e").alias("hull_energy"), F.filter(phases, lambda p: p["share"] > least).alias("phases"))
+    there = facets.select(F.col("system"), F.lit(True).alias("there"))
+    lacking = rows.where(placed).select("system", "entry").join(there, "system", "left_anti").unionByName(rows.where(~placed).select("system", "entry"))
+    kind = found.schema["phases"].dataType
+    found = found.unionByName(lacking.select("system", "entry", F.lit(None).cast("double").alias("hull_energy"), F.lit(None).cast(kind).alias("phases")))
+    return found.select(F.col("system").alias(system), F.col("entry").alias(point), "hull_energy", "phases")
+
+
+def tie_lines(facets: DataFrame, system: str) -> DataFrame:
+    """system, a, b (each entry, x, e): the pairs of phases that are stable together, each once."""
+    corners = facets.select(F.col("system").alias(system), F.explode("facets.corners").alias("c"))
+    ordered = corners.select(system, F.array_sort(F.transform("c", lambda c: F.struct(c["x"].alias("x"), c["entry"].alias("entry"), c["e"].alias("e")))).alias("c"))
+    d = F.size("c")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), d - 2), lambda i: F.transform(F.sequence(i + 1, d - 1), lambda j: F.struct(F.get("c", i).alias("a"), F.get("c", j).alias("b")))))
+    return ordered.select(system, F.explode(pairs).alias("p")).select(system, "p.a", "p.b").distinct()
 
 
 def at_temperature(df: DataFrame, entry: str, temperature: str, energy: str, t: float, most_gap: float = 500.0) -> DataFrame:
