@@ -4,8 +4,10 @@ A logistic regression (numpy, fitted on a bounded sample of labelled rows) over
 document's evidence, the probability of good quality. Evidence is summed by path and host in grouped aggregates. The
 spread of the hosts' means around the global mean, less what sampling explains, gives the strength of the global prior
 by the method of moments, and likewise of the paths around their hosts. A host's posterior mean is shrunk toward the
-global one, a path's toward its host's; sparse sites stay near their prior. The score moves the document's log-odds by
-those of its path against the global ones. Unless told otherwise the columns `source` and `lang` stand in for host and path,
+global one, a path's toward its host's; sparse sites stay near their prior. A prior is worth within / between documents, where
+`between` is taken as a thousandth of `within` at least, so 1,000 documents at most. The score moves the document's log-odds by
+those of its path against the global ones; the document's own evidence is left out of its path and host there, or it would count twice,
+and the only document of its site is moved by the global prior alone, that is not at all. Unless told otherwise the columns `source` and `lang` stand in for host and path,
 since `documents` has no URL.
 
 Defined results: null and empty texts have no make-up (all zeros) and are scored like others; null hosts or paths form
@@ -127,13 +129,15 @@ def score(docs: DataFrame, model: np.ndarray | None, id_col: str = "doc_id", tex
     mean = min(max((total["s"] or 0) / max(total["n"] or 0, 1), 1e-6), 1 - 1e-6)
     shrunk = lambda prior, strength: (F.col("s") + prior * strength) / (F.col("n") + strength)
     strength = _strength(hosts, F.lit(mean)).first()["strength"] or 1.0
-    hosts = hosts.select("host", shrunk(F.lit(mean), strength).alias("host_posterior"))
+    hosts = hosts.select("host", F.col("s").alias("host_s"), F.col("n").alias("host_n"), shrunk(F.lit(mean), strength).alias("host_posterior"))
     # one row a path; a host with very many paths is no larger than its rows, and AQE splits such a join
     paths = common.cut(paths.join(hosts, "host"))
-    strength = _strength(paths, F.col("host_posterior")).first()["strength"] or 1.0
-    paths = paths.select("site", "n", "host_posterior", shrunk(F.col("host_posterior"), strength).alias("path_posterior"))
+    path_strength = _strength(paths, F.col("host_posterior")).first()["strength"] or 1.0
+    paths = paths.select("site", "s", "n", "host_s", "host_n", "host_posterior", shrunk(F.col("host_posterior"), path_strength).alias("path_posterior"))
     logit = lambda p: F.log(p / (1 - p))
     clip = lambda p: F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))
     joined = common.join_groups(rows.select("id", "site", "p"), paths, "site", "n")
-    odds = logit(clip(F.col("p"))) + logit(clip(F.col("path_posterior"))) - float(np.log(mean / (1 - mean)))
+    others = (F.col("host_s") - F.col("p") + mean * strength) / (F.col("host_n") - 1 + strength)
+    others = (F.col("s") - F.col("p") + others * path_strength) / (F.col("n") - 1 + path_strength)
+    odds = logit(clip(F.col("p"))) + logit(clip(others)) - float(np.log(mean / (1 - mean)))
     return joined.select(F.col("id").alias(id_col), F.col("p").alias("evidence"), "host_posterior", "path_posterior", (1 / (1 + F.exp(-odds))).alias("score")).withColumn("keep", F.col("score") >= threshold)

@@ -337,8 +337,8 @@ def test_posteriors_against_plain_sums(spark):
         within = np.mean([center(k) * (1 - center(k)) for k in sites])
         return within / max(between, within * 1e-3)
 
-    w = strength(hosts, lambda k: mean)
-    by_host = {k: (s + mean * w) / (n + w) for k, (s, n) in hosts.items()}
+    u = strength(hosts, lambda k: mean)
+    by_host = {k: (s + mean * u) / (n + u) for k, (s, n) in hosts.items()}
     w = strength(paths, lambda k: by_host[k[0]])
     by_path = {k: (s + by_host[k[0]] * w) / (n + w) for k, (s, n) in paths.items()}
     logit = lambda v: np.log(v / (1 - v))
@@ -346,7 +346,10 @@ def test_posteriors_against_plain_sums(spark):
     for (i, _, host, path), value in zip(rows, p, strict=True):
         key = (host or "", path)
         assert got[i].host_posterior == pytest.approx(by_host[key[0]], rel=1e-9) and got[i].path_posterior == pytest.approx(by_path[key], rel=1e-9)
-        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(logit(value) + logit(by_path[key]) - logit(mean)))), rel=1e-6)
+        (hs, hn), (s, n) = hosts[key[0]], paths[key]
+        others = (s - value + (hs - value + mean * u) / (hn - 1 + u) * w) / (n - 1 + w)  # without the document itself
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(logit(value) + logit(others) - logit(mean)))), rel=1e-6)
+    assert got[900].score == pytest.approx(got[900].evidence)  # the only document of its site stands on its own
 
 
 def test_quality_of_long_texts_and_clashing_names(spark):
