@@ -672,7 +672,7 @@ def hull_2d(spark, d):
 
 
 #: The energies of the alloys; the second ones have no three points in a line.
-_PLAIN, _ODD = "-(p_partkey * 7 % 97) / 50.0", "-(p_partkey * 7 % 97) / 50.0 - (p_partkey * 613 % 1009) / 33333.0"
+_PLAIN, _ODD = "-(p_partkey * 7 % 97) / 5e1", "-(p_partkey * 7 % 97) / 5e1 - (p_partkey * 613 % 1009) / 3.3331e4"
 
 
 def _alloys(spark, d, n, energy=_PLAIN):

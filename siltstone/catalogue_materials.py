@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from .catalogue import ORACLE_SQL, QUERIES, _PAIRS, _events, _sites, load, query, rounded
+from .catalogue import _ODD, _OWNER, ORACLE_SQL, QUERIES, _PAIRS, _alloys, _alloys_sql, _events, _sites, load, query, rounded
 from .operators import crystal, graph, pairs, phases, spectral, volume
 from .sources import writers
 
@@ -138,11 +138,12 @@ def equivalent_positions(spark, d):
 
 
 @query("""
-    SELECT range::INTEGER AS number, CASE WHEN range < 1 THEN NULL WHEN range <= 2 THEN 'triclinic' WHEN range <= 15 THEN 'monoclinic' WHEN range <= 74 THEN 'orthorhombic'
-        WHEN range <= 142 THEN 'tetragonal' WHEN range <= 167 THEN 'trigonal' WHEN range <= 194 THEN 'hexagonal' WHEN range <= 230 THEN 'cubic' END AS system FROM range(235)
+    SELECT o_orderkey, n AS number, CASE WHEN n < 1 THEN NULL WHEN n <= 2 THEN 'triclinic' WHEN n <= 15 THEN 'monoclinic' WHEN n <= 74 THEN 'orthorhombic'
+        WHEN n <= 142 THEN 'tetragonal' WHEN n <= 167 THEN 'trigonal' WHEN n <= 194 THEN 'hexagonal' WHEN n <= 230 THEN 'cubic' END AS system FROM (SELECT o_orderkey, (o_orderkey % 235)::INTEGER AS n FROM orders)
 """)
 def crystal_systems(spark, d):
-    return spark.range(235).select(F.col("id").cast("int").alias("number")).withColumn("system", crystal.crystal_system(F.col("number")))
+    numbered = load(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 235).cast("int").alias("number"))
+    return numbered.withColumn("system", crystal.crystal_system(F.col("number")))
 
 
 @query(_PAIRS + """
@@ -287,7 +288,6 @@ def cyclic_nodes(spark, d):
 @query("""
     SELECT vec_id, CASE WHEN x >= 0.5 AND x < 1 AND y >= 0 AND y < 1 THEN 'right' WHEN x >= 0 AND x < 1 AND y >= 0 AND y < 1 THEN 'square' END AS region
     FROM (SELECT vec_id, (vec_id % 23) / 20.0 + 0.001 AS x, (vec_id % 31) / 28.0 + 0.001 AS y FROM embeddings)
-    WHERE x < 1 AND y < 1
 """)
 def phase_lookup(spark, d):
     points = load(spark, d, "embeddings").select("vec_id", ((F.col("vec_id") % 23) / 20.0 + 0.001).alias("x"), ((F.col("vec_id") % 31) / 28.0 + 0.001).alias("y"))
@@ -305,10 +305,23 @@ def temperatures_and_categories(spark, d):
     return rounded(rows.select("event_id", phases.convert_temperature(F.col("value"), "F", "C").alias("celsius"), phases.category(F.col("user_id") % 6).alias("kind")))
 
 
-@query("SELECT system, entry, mu_a::DOUBLE AS mu_a, mu_b::DOUBLE AS mu_b FROM (VALUES ('s', 'a', 0.0, -2.0), ('s', 'a', 0.0, -10.0), ('s', 'ab', -2.0, 0.0), ('s', 'ab', 0.0, -2.0), ('s', 'b', -2.0, 0.0), ('s', 'b', -10.0, 0.0)) t(system, entry, mu_a, mu_b)")
+@query(_alloys_sql(3, _ODD, f"""
+    , q AS (SELECT l.p_brand, l.x0, l.x1, l.x2, l.m, {_OWNER} AS entry FROM l
+        UNION ALL SELECT DISTINCT p_brand, v.a, v.b, v.c, v.e, NULL FROM e, (VALUES (1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0), (-1.0, 0.0, 0.0, 10.0), (0.0, -1.0, 0.0, 10.0), (0.0, 0.0, -1.0, 10.0)) v(a, b, c, e)),
+    g AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY x0, x1, x2, m, entry) AS n FROM q),
+    z AS (SELECT a.p_brand, a.entry AS e0, b.entry AS e1, c.entry AS e2, a.x0 * (b.x1 * c.x2 - b.x2 * c.x1) - a.x1 * (b.x0 * c.x2 - b.x2 * c.x0) + a.x2 * (b.x0 * c.x1 - b.x1 * c.x0) AS det,
+            a.m * (b.x1 * c.x2 - b.x2 * c.x1) + b.m * (c.x1 * a.x2 - c.x2 * a.x1) + c.m * (a.x1 * b.x2 - a.x2 * b.x1) AS y0,
+            a.m * (b.x2 * c.x0 - b.x0 * c.x2) + b.m * (c.x2 * a.x0 - c.x0 * a.x2) + c.m * (a.x2 * b.x0 - a.x0 * b.x2) AS y1,
+            a.m * (b.x0 * c.x1 - b.x1 * c.x0) + b.m * (c.x0 * a.x1 - c.x1 * a.x0) + c.m * (a.x0 * b.x1 - a.x1 * b.x0) AS y2
+        FROM g a JOIN g b ON b.p_brand = a.p_brand AND b.n > a.n JOIN g c ON c.p_brand = a.p_brand AND c.n > b.n),
+    u AS (SELECT DISTINCT p_brand, unnest([e0, e1, e2]) AS entry, y0 / det AS mu0, y1 / det AS mu1, y2 / det AS mu2 FROM z WHERE abs(det) > 1e-9)
+    SELECT DISTINCT u.p_brand, u.entry AS p_partkey, round(round(mu0, 9), 6) + 0 AS mu_x0, round(round(mu1, 9), 6) + 0 AS mu_x1, round(round(mu2, 9), 6) + 0 AS mu_x2 FROM u
+    WHERE u.entry IS NOT NULL AND NOT EXISTS (SELECT 1 FROM g WHERE g.p_brand = u.p_brand AND g.x0 * mu0 + g.x1 * mu1 + g.x2 * mu2 > g.m + 1e-8)
+"""))
 def stability_domains(spark, d):
-    rows = spark.createDataFrame([("s", "a", 1.0, 0.0, 0.0), ("s", "b", 0.0, 1.0, 0.0), ("s", "ab", 0.5, 0.5, -1.0)], "system string, entry string, a double, b double, e double")
-    return phases.stability_domains(rows, "system", "entry", ["a", "b"], "e")
+    """The corners of every stable entry's domain, a ternary system a brand."""
+    found = phases.stability_domains(_alloys(spark, d, 3, _ODD), "p_brand", "p_partkey", ["x0", "x1", "x2"], "energy")
+    return rounded(found, 6).distinct()
 
 
 # --- writers ---

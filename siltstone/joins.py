@@ -11,6 +11,8 @@ from .storage import cut
 
 #: A key counts as hot when it holds more than 1/HOT_SHARE of all rows, so at most HOT_SHARE keys can be hot.
 HOT_SHARE = 1000
+#: A group with no more different values than this is summed up in one task.
+IN_ONE_TASK = 200_000
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int | None = None, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
@@ -45,15 +47,25 @@ def below(counts: DataFrame, group: str, value: str, n: str) -> DataFrame:
     return summed.join(parts, [group, "_part"]).withColumn("below", F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
 
 
+def _with_totals(ranked: DataFrame, group: str) -> DataFrame:
+    totals = ranked.groupBy(group).agg(F.max(F.col("below") + F.col("_n")).alias("_all"), F.count("*").alias("_rows"))
+    return join_groups(ranked, totals, group, "_rows")
+
+
 def quantiles(rows: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
     """group, q0, q1, ...: exact quantiles by linear interpolation of the values, nulls left out.
 
     Equal values are counted first; then the values at the two ranks around each quantile are found by their counts below.
+    While no group has more than IN_ONE_TASK different values these are summed up group by group, else dealt by range.
+    Both ways give the same rows; a null group has none.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
-    ranked = below(counts, group, value, "_n")
-    totals = ranked.groupBy(group).agg(F.max(F.col("below") + F.col("_n")).alias("_all"))
-    known = ranked.join(totals, group)
+    counts = cut(rows.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n")))
+    largest = counts.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= IN_ONE_TASK:
+        before = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        known = counts.withColumn("below", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(group)))
+    else:
+        known = _with_totals(below(counts, group, value, "_n"), group)
     at = [F.col("_all") - F.lit(1) if s == 1 else (F.col("_all") - 1) * F.lit(float(s)) for s in shares]
 
     def there(rank: Column) -> Column:

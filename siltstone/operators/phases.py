@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import thermo
+
 
 def energy_per_atom(energy: Column, correction: Column, amounts: Column) -> Column:
     """(energy + correction) over the atoms of a composition map."""
@@ -41,13 +43,21 @@ def system_name(c: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.split(F.trim(c), r"\s*-\s*"))), "-")
 
 
-def phase_at(points: DataFrame, regions: DataFrame, point: str) -> DataFrame:
-    """point, region: of the polygons (region, number, vertices array of x, y) that hold a point (x, y) the last one.
+def phase_at(points: DataFrame, regions: DataFrame, point: str, cells: int = 256) -> DataFrame:
+    """point, region: of the polygons (region, number, vertices array of x, y) that hold a point (x, y) the last one, null outside all.
 
-    Polygons are a diagram's few regions, so each row meets all of them; the ray test is an expression over the edges.
+    Polygons and points are dealt over strips of x, in which they meet, so no point meets polygons that lie elsewhere. The ray test is
+    an expression over the edges. Points without a place lie outside.
     """
-    joined = points.join(regions, F.col("x").between(F.array_min(F.transform("vertices", lambda v: v["x"])), F.array_max(F.transform("vertices", lambda v: v["x"]))))
-    edges = F.arrays_zip(F.col("vertices").alias("a"), F.concat(F.slice("vertices", 2, 10**6), F.slice("vertices", 1, 1)).alias("b"))
+    across = F.transform("vertices", lambda v: v["x"])
+    wide = regions.where(F.size("vertices") > 2).select("region", "number", "vertices", F.array_min(across).alias("_low"), F.array_max(across).alias("_high"))
+    low, high = wide.agg(F.min("_low"), F.max("_high")).first()
+    if low is None:
+        return points.select(point, F.lit(None).cast(regions.schema["region"].dataType).alias("region"))
+    width = (high - low) / cells or 1.0
+    strip = lambda x: F.floor((x - low) / width)
+    dealt = wide.withColumn("_strip", F.explode(F.sequence(strip(F.col("_low")), strip(F.col("_high"))))).drop("_low", "_high")
+    edges = F.arrays_zip(F.col("vertices").alias("a"), F.concat(F.slice("vertices", 2, F.size("vertices")), F.slice("vertices", 1, 1)).alias("b"))
 
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -55,7 +65,9 @@ def phase_at(points: DataFrame, regions: DataFrame, point: str) -> DataFrame:
         return F.when(((a["y"] > F.col("y")) != (b["y"] > F.col("y"))) & (F.col("x") < at), 1).otherwise(0)
 
     inside = F.aggregate(F.transform(edges, crosses), F.lit(0), lambda x, y: x + y) % 2 == 1
-    return joined.where(inside).groupBy(point).agg(F.max_by("region", "number").alias("region"))
+    placed = points.select(point, "x", "y", strip(F.col("x")).alias("_place"))
+    joined = placed.join(dealt, (F.col("_place") == F.col("_strip")) & inside, "left")
+    return joined.groupBy(point).agg(F.max_by("region", "number").alias("region"))
 
 
 def gas_potential(c: Column, enthalpy: Column, entropy: Column, pressure: Column, atoms: Column) -> Column:
@@ -73,12 +85,15 @@ def gas_corrected(entries: DataFrame, gases: DataFrame, temperature: float) -> D
 
 
 def stability_domains(entries: DataFrame, system: str, entry: str, components: list[str], energy: str, low: float = -10.0) -> DataFrame:
-    """system, entry, corner, mu_1 ...: corners of each entry's domain of chemical potentials.
+    """system, entry, mu_...: the corners of each entry's domain of chemical potentials within low <= mu <= 0.
 
-    The region sum x_i mu_i <= e of all entries within low <= mu_i <= 0 is cut by pairs (or triples) of planes;
-    each system is small and enumerated in one group; systems run in parallel.
+    The domains bound the region sum x_i mu_i <= e of all entries. Entries above the hull of their system bound nothing, so only the
+    corners of its hull are cut with each other and with the box, as many at a time as there are components.
     """
     kinds, d = dict(entries.dtypes), len(components)
+    facets = thermo.sections(entries, system, entry, components, energy)
+    corners = facets.select("system", F.explode(F.flatten(F.transform("facets", lambda f: f["corners"]))).alias("c")).where("c.entry IS NOT NULL")
+    stable = corners.select(F.col("system").alias(system), F.col("c.entry").alias(entry), *(F.col("c.x")[k].alias(c) for k, c in enumerate(components)), F.col("c.e").alias(energy)).distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[components].to_numpy(float)
@@ -96,4 +111,4 @@ def stability_domains(entries: DataFrame, system: str, entry: str, components: l
         out.insert(0, system, pdf[system].iloc[0])
         return out
 
-    return entries.groupBy(system).applyInPandas(run, f"{system} {kinds[system]}, {entry} {kinds[entry]}, " + ", ".join(f"mu_{c} double" for c in components))
+    return stable.groupBy(system).applyInPandas(run, f"{system} {kinds[system]}, {entry} {kinds[entry]}, " + ", ".join(f"mu_{c} double" for c in components))

@@ -111,3 +111,14 @@ def test_hot_keys_of_other_types(spark, kind):
     df = spark.range(4000).selectExpr(f"cast(if(id % 3 = 0, 'hot', if(id % 7 = 0, null, concat('k', id))) as {kind}) as key", "id")
     groups = df.groupBy("key").count()
     assert joins.join_groups(df, groups, "key", "count").count() == df.where("key is not null").count()
+
+
+@pytest.mark.parametrize("room", [1, 200_000])
+def test_quantiles_whichever_way(spark, monkeypatch, room):
+    monkeypatch.setattr(joins, "IN_ONE_TASK", room)
+    rng = np.random.default_rng(2)
+    rows = [("hot", float(v)) for v in rng.integers(0, 900, 3000)] + [("one", 5.0), ("ties", 1.0), ("ties", 1.0), ("ties", 4.0), ("empty", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: (r.q0, r.q1, r.q2) for r in joins.quantiles(df, "g", "v", [0.05, 0.5, 1.0]).collect()}
+    want = {g: tuple(np.quantile([v for h, v in rows if h == g], [0.05, 0.5, 1.0])) for g in ("hot", "one", "ties")}
+    assert got == {g: pytest.approx(q) for g, q in want.items()}

@@ -152,3 +152,13 @@ def test_finite_grids_clamp(spark):
     points = spark.createDataFrame([(0, 1, 0.25, 0.5, 0.5), (0, 2, 1.0, 1.0, 1.0), (0, 3, 9.0, 0.0, 0.0)], "vol int, p int, u double, v double, w double")
     assert {r.p: r.value for r in volume.sample(grid, points, "vol", "p", (3, 2, 2), periodic=False).collect()} == {1: 0.5, 2: 2.0, 3: 2.0}
     assert volume.plane(grid, "i", 1).count() == 4
+
+
+def test_regions_over_strips(spark):
+    """Points outside all regions stay; long and narrow regions, and points without a place."""
+    box = lambda a, b, c, d: [(a, c), (b, c), (b, d), (a, d)]
+    regions = spark.createDataFrame([("wide", 0, box(0.0, 1000.0, 0.0, 1.0)), ("thin", 1, box(10.0, 10.001, 0.0, 1.0)), ("line", 2, [(0.0, 0.0), (1.0, 1.0)])], "region string, number int, vertices array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([(1, 500.0, 0.5), (2, 10.0005, 0.5), (3, 500.0, 2.0), (4, -5.0, 0.5), (5, None, 0.5), (6, 5e9, 0.5)], "id long, x double, y double")
+    got = {r.id: r.region for r in phases.phase_at(points, regions, "id").collect()}
+    assert got == {1: "wide", 2: "thin", 3: None, 4: None, 5: None, 6: None}
+    assert {r.region for r in phases.phase_at(points, regions.limit(0), "id").collect()} == {None}
