@@ -206,7 +206,7 @@ def expression(text: str, temperature: Column, known: dict[str, Column]) -> Colu
             if not take(")"):
                 raise ValueError(f"a bracket is open in {text!r}")
             return value
-        if NUMBER.fullmatch(token):
+        if NUMBER.match(token):
             return F.lit(_number(token))
         name = token.upper()
         if name == "T":
