@@ -907,4 +907,4 @@ def windowed_events(spark, d):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from . import catalogue_files, catalogue_geometry, catalogue_materials, catalogue_more  # noqa: E402, F401  register their queries
+from . import catalogue_files, catalogue_geometry, catalogue_materials, catalogue_more, catalogue_motion  # noqa: E402, F401  register their queries

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from .catalogue import _ODD, _OWNER, ORACLE_SQL, QUERIES, _PAIRS, _alloys, _alloys_sql, _events, _sites, load, query, rounded
+from .catalogue import _ODD, _OWNER, ORACLE_SQL, QUERIES, _PAIRS, _alloys, _alloys_sql, _sites, load, query, rounded
 from .operators import crystal, graph, pairs, phases, spectral, volume
 from .sources import writers
 
@@ -228,11 +228,6 @@ def fourier_power(spark, d):
     return rounded(spectral.fourier_power(_frames(spark, d), "user_id", "frame", "value", [0.05, 0.1, 0.2, 0.4]), 4)
 
 
-@query()
-def periodogram(spark, d):
-    return rounded(spectral.periodogram(_events(spark, d), "user_id", ["ts", "event_id"], "value", 1.0))
-
-
 @query("""
     SELECT vec_id, round(45 * ((a + b + c) / 3) ** 2 + 7 * (((a - b) ** 2 + (b - c) ** 2 + (c - a) ** 2) / 2 + 3 * (e ** 2 + f ** 2 + g ** 2)), 6) AS activity
     FROM (SELECT vec_id, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b, embedding[3]::DOUBLE c, embedding[4]::DOUBLE e, embedding[5]::DOUBLE f, embedding[6]::DOUBLE g FROM embeddings)

@@ -32,6 +32,24 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.where(is_hot).join(F.broadcast(groups.where(hot)), key).unionByName(rows.where(~is_hot).join(groups.where(~hot), key))
 
 
+def numbered(rows: DataFrame, group: str, order: list[str], out: str) -> DataFrame:
+    """`rows` with the place of each in its group's order, from 0, in column `out`.
+
+    A group of more than IN_ONE_TASK rows is dealt by range of group and order, numbered part by part, and moved up by the
+    rows of earlier parts. Rows with equal order keys lie in one part and follow in no fixed order; null groups are one group.
+    """
+    largest = rows.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= IN_ONE_TASK:
+        return rows.withColumn(out, (F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).cast("long"))
+    dealt = cut(rows.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    parts = parts.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order)) - 1
+    placed = dealt.withColumn("_within", within).join(parts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_p")))
+    return placed.withColumn(out, (F.col("_within") + F.col("_before")).cast("long")).drop("_part", "_p", "_group", "_within", "_before")
+
+
 def below(counts: DataFrame, group: str, value: str, n: str) -> DataFrame:
     """`counts` (one row a group and value) with `below`: the sum of n over smaller values of the group.
 

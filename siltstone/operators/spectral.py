@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from math import pi
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import join_groups, numbered
+from ..storage import cut
+from .transform import BLOCK, padded, transform, with_lengths
+
 #: Frequency units by THz.
 PER_THZ = {"THz": 1.0, "eV": 4.135667696e-3, "meV": 4.135667696, "Ha": 1.519829846e-4, "cm-1": 33.35640952}
 
@@ -16,32 +22,68 @@ def convert_frequency(c: Column, unit: str) -> Column:
     return c * PER_THZ[unit]
 
 
-def window_weights(n: int, kind: str = "hann") -> np.ndarray:
-    """Weights of a full window: hann, gaussian (deviation of a sixth of the length) or none."""
-    at = np.arange(n)
+def window(position: Column, length: Column, kind: str = "hann") -> Column:
+    """The weight of a position in a full window of a length: hann, gaussian (deviation of a sixth of the span) or none."""
+    distance = F.abs(2 * position - (length - 1)) / (length - 1)
+    if kind == "none":
+        return F.lit(1.0)
+    weight = 0.5 * (1 + F.cos(F.lit(pi) * distance)) if kind == "hann" else F.exp(-4.5 * distance * distance)
+    return F.when(length > 1, weight).otherwise(1.0)
+
+
+def window_energy(length: Column, kind: str = "hann") -> Column:
+    """The sum of the squared weights of a window."""
+    if kind == "none":
+        return length.cast("double")
     if kind == "hann":
-        return 0.5 - 0.5 * np.cos(2 * np.pi * at / max(n - 1, 1))
-    if kind == "gaussian":
-        return np.exp(-0.5 * ((at - (n - 1) / 2) / max(n / 6, 1e-9)) ** 2)
-    return np.ones(n)
+        return F.when(length > 3, 0.375 * (length - 1)).when(length == 2, 0.0).otherwise(1.0)
 
+    @F.pandas_udf("double")
+    def energy(lengths: pd.Series) -> pd.Series:
+        def one(n: int) -> float:
+            starts = range(0, n, 1 << 20)
+            return float(sum(np.exp(-9.0 * ((2 * np.arange(s, min(s + (1 << 20), n)) - (n - 1)) / max(n - 1, 1)) ** 2).sum() for s in starts))
 
-def periodogram(df: DataFrame, series: str, order: list[str], value: str, step: float, kind: str = "hann", padding: int = 4) -> DataFrame:
-    """series, bin, frequency, power: one-sided, mean removed, by the window's energy, zero-padded to a power of two.
+        known = {n: one(int(n)) if n > 1 else 1.0 for n in lengths.unique()}
+        return lengths.map(known)
+
+    return energy(length)
 
-    A transform is serial within its series; series run in parallel.
-    """
-    name = dict(df.dtypes)[series]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = pdf.sort_values(order)[value].to_numpy(float)
-        weights = window_weights(len(v), kind)
-        size = 1 << int(np.ceil(np.log2(max(len(v) * padding, 2))))
-        power = np.abs(np.fft.rfft((v - v.mean()) * weights, size)) ** 2 * step / max((weights**2).sum(), 1e-300)
-        power[1:-1] *= 2
-        return pd.DataFrame({series: pdf[series].iloc[0], "bin": np.arange(len(power)), "frequency": np.fft.rfftfreq(size, step), "power": power})
+def power_spectrum(rows: DataFrame, group: str, component: str, position: str, value: str, step: float, kind: str = "hann", padding: float = 4.0, weight: str | None = None, block: int = BLOCK) -> DataFrame:
+    """group, bin, frequency, power: one-sided spectra of the components of each group, added up by weight.
 
-    return df.groupBy(series).applyInPandas(run, f"{series} {name}, bin long, frequency double, power double")
+    Each component loses its mean, is multiplied by the window of its group's length and padded to a power of two; the squared
+    transform times the step by the window's energy is the power, twice that between the ends. Positions count from 0; one
+    without a sample, or with a null or infinite value, counts as the mean. `weight` is a column that is the same in all rows of
+    a component (null counts as 0). A group of one position has no spectrum, one whose window has no energy (hann, two
+    positions) a null power. Series of any length are dealt over tasks (see `transform`).
+    """
+    series, samples = with_lengths(rows, group, component, position, value)
+    if weight is not None:
+        weights = rows.groupBy(group, component).agg(F.first(F.coalesce(F.col(weight).cast("double"), F.lit(0.0))).alias("_weight"))
+        series = series.join(weights, [group, component])
+    else:
+        series = series.withColumn("_weight", F.lit(1.0))
+    length = F.col("_length")
+    scale = F.sqrt(F.try_divide(F.col("_weight") * step, window_energy(length, kind)))
+    series = cut(series.where(length > 1).select("_series", group, "_rows", "_mean", "_length", scale.alias("_scale"), padded(length, padding).alias("size")))
+    facts = series.agg(F.max("size"), F.sum("_rows"), F.sum("size")).first()
+    if facts[0] is None:
+        return series.select(group, F.lit(0).cast("long").alias("bin"), F.col("_mean").alias("frequency"), F.col("_mean").alias("power")).where("false")
+    joined = join_groups(samples.select("_series", "position", "value"), series, "_series", "_rows", facts[1], keep=lambda x: x)
+    real = F.coalesce(F.col("value") - F.col("_mean"), F.lit(0.0)) * window(F.col("position"), length, kind) * F.col("_scale")
+    found = transform(joined.select("_series", group, "position", real.alias("re"), F.lit(0.0).alias("im"), "size"), ["_series", group], facts[0], facts[2], block=block)
+    sides = F.when((F.col("bin") == 0) | (F.col("bin") * 2 == F.col("size")), 1.0).otherwise(2.0)
+    power = F.when(~F.isnan("re"), sides * (F.col("re") * F.col("re") + F.col("im") * F.col("im")))
+    summed = found.select(group, "size", "bin", power.alias("power")).groupBy(group, "size", "bin").agg(F.sum("power").alias("power"))
+    return summed.select(group, "bin", (F.col("bin") / (F.col("size") * F.lit(float(step)))).alias("frequency"), "power")
+
+
+def periodogram(df: DataFrame, series: str, order: list[str], value: str, step: float, kind: str = "hann", padding: float = 4.0, block: int = BLOCK) -> DataFrame:
+    """series, bin, frequency, power of one value by its order in each series: `power_spectrum` of a single component."""
+    ranked = numbered(df.where(F.col(series).isNotNull()).select(series, *order, *([] if value in order else [value])), series, order, "position")
+    return power_spectrum(ranked.withColumn("component", F.lit(0)), series, "component", "position", value, step, kind, padding, block=block)
 
 
 def fourier_power(df: DataFrame, series: str, position: str, value: str, frequencies: list[float]) -> DataFrame:
