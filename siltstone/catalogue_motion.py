@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalogue import _FRAMES, ORACLE_SQL, QUERIES, _events, _frames, load, query, rounded
-from .operators import motion, spectral, transform
+from .operators import motion, patterns, spectral, transform
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -85,3 +85,51 @@ def raman_spectra(spark, d):
     names = ("xx", "yy", "zz", "xy", "xz", "yz")
     rows = _moving(spark, d).select("label", "frame", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(names)])
     return rounded(motion.raman(rows, "label", "frame", ("xx", "yy", "zz", "xy", "yz", "xz"), 1.0))
+
+
+# --- formulas by patterns ---
+
+_METALS, _ANIONS = ("Fe", "Co", "Ni", "Mn", "Cr"), ("O", "S", "F")
+_COMPOUNDS = f"""
+    c AS (SELECT p_partkey, p_partkey % 7 < 3 AS alloyed, 1 + p_size % 3 AS a, 1 + p_partkey % 4 AS b, 1 + p_partkey % 2 AS l,
+        {list(_METALS)}[1 + p_size % 5] AS metal, {list(_ANIONS)}[1 + p_partkey % 3] AS anion FROM part)
+"""
+
+
+def _pick(names, k):
+    return F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+
+
+def _compounds(spark, d):
+    """A binary compound a part, or a ternary one with lithium, and a pattern in which all but the anion are free."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    a, b, light = (x.cast("string") for x in (1 + size % 3, 1 + key % 4, 1 + key % 2))
+    metal, anion, ternary = _pick(_METALS, size), _pick(_ANIONS, key), key % 7 < 3
+    text = F.concat(F.when(ternary, F.concat(F.lit("Li"), light)).otherwise(F.lit("")), metal, a, anion, b)
+    wild = F.concat(F.when(ternary, F.concat(F.lit("*"), light)).otherwise(F.lit("")), F.lit("*"), a, anion, b)
+    return load(spark, d, "part").select(key, text.alias("formula"), wild.alias("pattern"))
+
+
+_PATTERN_OF = "CASE WHEN alloyed THEN '*' || l ELSE '' END || '*' || a || anion || b"
+
+
+@query(f"""
+    WITH {_COMPOUNDS}, w AS (SELECT DISTINCT {_PATTERN_OF} AS pattern, alloyed, l, a, b, anion FROM c)
+    SELECT c.p_partkey, w.pattern FROM c JOIN w ON w.alloyed = c.alloyed AND w.anion = c.anion
+    WHERE (NOT c.alloyed AND w.a * c.b = c.a * w.b) OR (c.alloyed AND ((w.a * c.b = c.a * w.b AND w.l * c.b = c.l * w.b) OR (w.l * c.b = c.a * w.b AND w.a * c.b = c.l * w.b)))
+""")
+def pattern_matches(spark, d):
+    """Compounds of the stoichiometry of each other's patterns."""
+    rows = _compounds(spark, d)
+    return patterns.match(rows.select("p_partkey", "formula"), "formula", rows.select("pattern"), "pattern").select("p_partkey", "pattern")
+
+
+@query(f"""
+    WITH {_COMPOUNDS}, w AS (SELECT DISTINCT {_PATTERN_OF} AS pattern, alloyed, anion FROM c WHERE p_partkey % 10 = 0)
+    SELECT c.p_partkey, w.pattern FROM c JOIN w ON w.alloyed = c.alloyed AND w.anion = c.anion
+""")
+def system_matches(spark, d):
+    """Compounds whose elements are those of a pattern, whatever their amounts; the patterns are those of every tenth part."""
+    rows = _compounds(spark, d)
+    found = patterns.match(rows.select("p_partkey", "formula"), "formula", rows.where("p_partkey % 10 = 0").select("pattern"), "pattern", exact=False)
+    return found.select("p_partkey", "pattern")
