@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .catalogue import _FRAMES, ORACLE_SQL, QUERIES, _events, _frames, load, query, rounded
+from .operators import bond_orders as bond_order
 from .operators import motion, patterns, spectral, transform
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -133,3 +134,48 @@ def system_matches(spark, d):
     rows = _compounds(spark, d)
     found = patterns.match(rows.select("p_partkey", "formula"), "formula", rows.where("p_partkey % 10 = 0").select("pattern"), "pattern", exact=False)
     return found.select("p_partkey", "pattern")
+
+
+# --- bond orders of molecules whose size and kind a part gives ---
+
+#: A part's molecule: a ring (CH)n, flat or puckered; a chain O=C..C=O; a dinitrile N C..C N; n from 3 to 10.
+_MOLECULES = """
+    m AS (SELECT p_partkey * 32 AS base, 3 + p_size % 8 AS n, p_partkey % 3 AS kind, p_partkey % 2 = 0 AS flat FROM part),
+    b AS (
+        SELECT base, kind, n, flat, base + range AS a, base + range + 1 AS b, range AS k FROM m, range(9) WHERE range < n - 1
+        UNION ALL SELECT base, kind, n, flat, base, base + n - 1, n - 1 FROM m WHERE kind = 0
+        UNION ALL SELECT base, kind, n, flat, base + range, base + 16 + range, NULL FROM m, range(10) WHERE kind = 0 AND range < n
+        UNION ALL SELECT base, kind, n, flat, base, base + 16, -1 FROM m WHERE kind > 0
+        UNION ALL SELECT base, kind, n, flat, base + n - 1, base + 17, n - 1 FROM m WHERE kind > 0)
+"""
+
+
+@query(f"""
+    WITH {_MOLECULES}, s AS (SELECT *, kind = 1 OR n % 2 = 0 AS fine FROM b)
+    SELECT a, b, CASE WHEN NOT fine THEN 1 WHEN kind = 1 THEN 2 WHEN kind = 0 THEN CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END
+        WHEN k % 2 = 0 THEN 1 WHEN k IN (-1, n - 1) OR k % 2 = 1 THEN 3 END AS "order",
+        kind = 0 AND k IS NOT NULL AND fine AND flat AND n % 4 = 2 AS aromatic, fine AS perceived
+    FROM s
+""")
+def bond_orders(spark, d):
+    base, n, kind = F.col("p_partkey") * 32, 3 + F.col("p_size") % 8, F.col("p_partkey") % 3
+    made = load(spark, d, "part").select(base.cast("long").alias("base"), n.cast("int").alias("n"), kind.cast("int").alias("kind"), (F.col("p_partkey") % 2 == 0).alias("flat"))
+    chain = made.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    turn = F.col("k") * 2 * 3.141592653589793 / F.col("n")
+    height = F.when(F.col("flat"), 0.0).otherwise(F.when(F.col("k") % 2 == 0, 0.6).otherwise(-0.6))
+    ring = F.col("kind") == 0
+
+    def atom(site, element, x, y, z):
+        return F.struct(site.cast("long").alias("site"), F.lit(element).alias("element"), x.alias("x"), y.alias("y"), z.alias("z"))
+
+    line = F.col("k").cast("double")
+    carbon = atom(F.col("base") + F.col("k"), "C", F.when(ring, 1.5 * F.cos(turn)).otherwise(line), F.when(ring, 1.5 * F.sin(turn)).otherwise(0.0), F.when(ring, height).otherwise(0.0))
+    hydrogen = atom(F.col("base") + 16 + F.col("k"), "H", 2.5 * F.cos(turn), 2.5 * F.sin(turn), height)
+    atoms = chain.select(F.inline(F.when(ring, F.array(carbon, hydrogen)).otherwise(F.array(carbon))))
+    ends = made.where("kind > 0").select(F.inline(F.array(*[F.struct((F.col("base") + 16 + k).alias("site"), F.when(F.col("kind") == 1, "O").otherwise("N").alias("element"), F.lit(float(20 * k - 5)).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")) for k in (0, 1)])))
+    at = F.col("base") + F.col("k")
+    bonds = chain.where("k < n - 1").select(at.alias("a"), (at + 1).alias("b"))
+    bonds = bonds.unionByName(made.where(ring).select(F.col("base").alias("a"), (F.col("base") + F.col("n") - 1).alias("b")))
+    bonds = bonds.unionByName(chain.where(ring).select(at.alias("a"), (at + 16).alias("b")))
+    bonds = bonds.unionByName(made.where(~ring).select(F.inline(F.array(F.struct(F.col("base").alias("a"), (F.col("base") + 16).alias("b")), F.struct((F.col("base") + F.col("n") - 1).alias("a"), (F.col("base") + 17).alias("b"))))))
+    return bond_order.perceive(atoms.unionByName(ends), bonds).select("a", "b", "order", "aromatic", "perceived")
