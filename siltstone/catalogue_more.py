@@ -22,6 +22,43 @@ def discover_columns(spark, d):
     return table.discover_columns(load(spark, d, "events"), "props", "event_id")
 
 
+_OBJECTS = """
+    o AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN json_object('name', p_name, 'time', p_size, 'Energy', p_retailprice, 'code', CASE WHEN p_partkey % 2 = 0 THEN to_json(p_size) ELSE to_json(p_brand) END)
+        WHEN 1 THEN json_object('height', p_size / 2.0, 'time', p_size, 'gap', NULL, 'Energy', p_retailprice, 'digits', p_size::VARCHAR) ELSE json_object('time', NULL, 'name', p_brand, 'width', p_size, 'height', p_partkey) END AS props FROM part),
+    k AS (SELECT p_partkey, k.unnest AS "column", (k.ordinality - 1)::BIGINT AS place, json_type(props, '$.' || k.unnest) AS t FROM o, unnest(json_keys(props)) WITH ORDINALITY k),
+    c AS (SELECT "column", min(p_partkey) AS first, min_by(place, p_partkey) AS place, count(*) FILTER (t <> 'NULL') AS n, count(*) FILTER (t IN ('BIGINT', 'UBIGINT', 'DOUBLE')) AS n_numeric, count(*) FILTER (t = 'VARCHAR') AS n_string FROM k GROUP BY 1),
+    j AS (SELECT *, CASE WHEN n > 0 AND n_numeric >= 0.8 * n THEN 'numeric' WHEN n > 0 AND n_string >= 0.8 * n THEN 'string' ELSE 'mixed' END AS kind FROM c)
+"""
+
+
+def _objects(spark, d):
+    """JSON objects of three shapes, with nulls, numbers as text and a key of two types."""
+    rows = load(spark, d, "part")
+    code = F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.concat(F.lit('"'), "p_brand", F.lit('"')))
+    first = F.format_string('{"name": "%s", "time": %d, "Energy": %s, "code": %s}', "p_name", "p_size", F.col("p_retailprice").cast("string"), code)
+    second = F.format_string('{"height": %s, "time": %d, "gap": null, "Energy": %s, "digits": "%d"}', (F.col("p_size") / 2.0).cast("string"), "p_size", F.col("p_retailprice").cast("string"), "p_size")
+    third = F.format_string('{"time": null, "name": "%s", "width": %d, "height": %d}', "p_brand", "p_size", "p_partkey")
+    kind = F.col("p_partkey") % 3
+    return rows.select("p_partkey", F.when(kind == 0, first).when(kind == 1, second).otherwise(third).alias("props"))
+
+
+@query(f"""WITH {_OBJECTS} SELECT * FROM j""")
+def extracted_columns(spark, d):
+    return table.extract_columns(_objects(spark, d), "props", "p_partkey")
+
+
+@query(f"""
+    WITH {_OBJECTS}, q AS (SELECT *, row_number() OVER (ORDER BY first, place) AS pos, lower("column") AS l FROM j),
+    x AS (SELECT coalesce((SELECT min_by("column", pos) FROM q WHERE kind = 'numeric' AND l IN ('x', 'time', 'step', 'index', 'iteration', 'frame', 'epoch')),
+        (SELECT min_by("column", pos) FROM q WHERE kind = 'string' AND l NOT IN ('y', 'energy', 'value', 'force', 'stress', 'loss', 'score'))) AS x),
+    y AS (SELECT x, coalesce((SELECT min_by("column", pos) FROM q WHERE kind = 'numeric' AND "column" <> x AND l IN ('y', 'energy', 'value', 'force', 'stress', 'loss', 'score')), (SELECT min_by("column", pos) FROM q WHERE kind = 'numeric' AND "column" <> x)) AS y FROM x),
+    z AS (SELECT x, y, (SELECT min_by("column", pos) FROM q WHERE kind = 'numeric' AND "column" NOT IN (x, y) AND l IN ('z', 'altitude', 'depth', 'height')) AS z FROM y)
+    SELECT CASE WHEN z IS NOT NULL THEN 'scatter3d' ELSE 'scatter' END AS plot, x, y, z, (SELECT min_by("column", pos) FROM q WHERE kind = 'numeric' AND "column" NOT IN (x, y, z)) AS color FROM z
+""")
+def suggested_axes(spark, d):
+    return table.suggest_axes(table.extract_columns(_objects(spark, d), "props", "p_partkey"))
+
+
 _DATES = """
     SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%dT06:30:15.123456Z')
         WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d 06:30:15+02:00') ELSE strftime(o_orderdate, '%d.%m.%Y') END AS written FROM orders
@@ -43,7 +80,7 @@ def parse_dates(spark, d):
 
 
 @query("""
-    SELECT 'mixed' AS "column", count(*) AS n, count(*) FILTER (o_orderkey % 4 <> 3) AS n_dates, NULL AS kind FROM orders
+    SELECT 'mixed' AS "column", count(*) AS n, count(*) FILTER (o_orderkey % 4 <> 3) AS n_dates, 'datetime' AS kind FROM orders
     UNION ALL SELECT 'bare', count(*), count(*), 'date' FROM orders
     UNION ALL SELECT 'priority', count(*), 0, NULL FROM orders
 """)
@@ -64,18 +101,25 @@ def timestamps_of_numbers(spark, d):
     return load(spark, d, "orders").select("o_orderkey", F.unix_millis(dates.timestamp_of_number(number)).alias("millis"))
 
 
-@query("""
-    WITH s AS (SELECT event_id, epoch('2024-06-01'::TIMESTAMP)::BIGINT - floor(epoch(ts))::BIGINT AS s FROM events)
-    SELECT event_id, CASE WHEN s // 86400 >= 30 AND s % 2592000 // 86400 > 0 AND s % 86400 // 3600 > 0
-        THEN s // 2592000 || 'mo ' || s % 2592000 // 86400 || 'd ' || s % 86400 // 3600 || 'h' END AS age
-    FROM s WHERE s // 86400 >= 30 AND s % 2592000 // 86400 > 0 AND s % 86400 // 3600 > 0 AND s // 86400 < 365
+_NOW = "2024-01-15 12:00:00"
+
+
+@query(f"""
+    WITH s AS (SELECT event_id, epoch_ms('{_NOW}'::TIMESTAMP) - epoch_ms(ts) AS d, abs(epoch_ms('{_NOW}'::TIMESTAMP) - epoch_ms(ts)) // 60000 AS m FROM events),
+    u AS (SELECT event_id, d, [[m // 525600, 0], [m % 525600 // 43200, 1], [m % 525600 % 43200 // 10080, 2], [m % 525600 % 43200 % 10080 // 1440, 3], [m % 525600 % 43200 % 10080 % 1440 // 60, 4], [m % 525600 % 43200 % 10080 % 1440 % 60, 5]] AS p FROM s)
+    SELECT event_id, array_to_string(list_transform(list_filter(p, lambda x: x[1] > 0 OR x[2] = 5)[1:3], lambda x: x[1] || ['y', 'mo', 'w', 'd', 'h', 'm'][x[2] + 1]), ' ') || CASE WHEN d >= 0 THEN ' ago' ELSE ' from now' END AS age FROM u
 """)
 def age_in_words(spark, d):
-    now = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
     rows = load(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    s = F.unix_seconds(now) - F.unix_seconds("ts")
-    rows = rows.where((F.floor(s / 86400) >= 30) & (F.floor(s % 2592000 / 86400) > 0) & (F.floor(s % 86400 / 3600) > 0) & (F.floor(s / 86400) < 365))
-    return rows.select("event_id", dates.since(F.col("ts"), now).alias("age"))
+    return rows.select("event_id", dates.since(F.col("ts"), F.to_timestamp(F.lit(_NOW))).alias("age"))
+
+
+@query("""
+    SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M') AS time, strftime(ts, '%Y-%m-%d %H:%M') AS datetime, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso FROM events
+""")
+def written_times(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    return load(spark, d, "events").select("event_id", *[dates.written(ts, mode).alias(mode) for mode in ("date", "time", "datetime", "iso")])
 
 
 # --- numbers and formulas as text ---
@@ -210,6 +254,36 @@ def monotone_slopes(spark, d):
     return rounded(curves.monotone_tangents(_hours(spark, d), "event_type", "h", "v"))
 
 
+_TANGENTS = f"""
+    WITH r AS (SELECT event_type, h, v FROM ({_HOURS}) WHERE h % 3 = 0),
+    s AS (SELECT *, lead(h) OVER w - h AS h1, (lead(v) OVER w - v) / (lead(h) OVER w - h) AS s1 FROM r WINDOW w AS (PARTITION BY event_type ORDER BY h)),
+    p AS (SELECT *, lag(h1) OVER w AS h0, lag(s1) OVER w AS s0 FROM s WINDOW w AS (PARTITION BY event_type ORDER BY h)),
+    t AS (SELECT *, CASE WHEN s0 IS NOT NULL AND s1 IS NOT NULL THEN (sign(s0) + sign(s1)) * least(abs(s0), abs(s1), abs((s0 * h1 + s1 * h0) / (h0 + h1)) / 2) END AS t FROM p),
+    k AS (SELECT event_type, h, v, coalesce(t, CASE WHEN s0 IS NULL THEN coalesce((3 * s1 - lead(t) OVER w) / 2, s1) ELSE coalesce((3 * s0 - lag(t) OVER w) / 2, s0) END, 0) AS t FROM t WINDOW w AS (PARTITION BY event_type ORDER BY h)),
+    q AS (SELECT event_type, h FROM ({_HOURS})),
+    a AS (SELECT q.event_type, q.h, max(k.h) AS x0 FROM q LEFT JOIN k ON k.event_type = q.event_type AND k.h <= q.h GROUP BY 1, 2),
+    b AS (SELECT q.event_type, q.h, min(k.h) AS x1 FROM q LEFT JOIN k ON k.event_type = q.event_type AND k.h > q.h GROUP BY 1, 2),
+    j AS (SELECT a.event_type, a.h, a.x0, b.x1, c.v AS y0, c.t AS t0, d.v AS y1, d.t AS t1, (a.h - a.x0) / (b.x1 - a.x0)::DOUBLE AS f, (b.x1 - a.x0) / 3.0 AS e
+        FROM a JOIN b USING (event_type, h) LEFT JOIN k c ON c.event_type = a.event_type AND c.h = a.x0 LEFT JOIN k d ON d.event_type = a.event_type AND d.h = b.x1)
+"""
+
+
+@query(_TANGENTS + """
+    SELECT event_type, h, round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 ELSE (1 - f) ** 3 * y0 + 3 * (1 - f) ** 2 * f * (y0 + e * t0) + 3 * (1 - f) * f ** 2 * (y1 - e * t1) + f ** 3 * y1 END, 6) AS monotone,
+        round(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 WHEN f < 0.5 THEN y0 ELSE y1 END, 6) AS step,
+        round(CASE WHEN x0 IS NULL THEN y1 ELSE y0 END, 6) AS "after", round(CASE WHEN x1 IS NULL OR h = x0 THEN y0 ELSE y1 END, 6) AS "before"
+    FROM j
+""")
+def curve_values(spark, d):
+    """Curves through every third hour at all hours."""
+    hours = _hours(spark, d).select("event_type", "h", "v")
+    knots, found = hours.where("h % 3 = 0"), None
+    for kind in ("monotone", "step", "after", "before"):
+        values = curves.evaluate(knots, hours, "event_type", "h", "v", kind).withColumnRenamed("v", kind)
+        found = values if found is None else found.join(values, ["event_type", "h"])
+    return rounded(found)
+
+
 @query(f"""
     WITH g AS (SELECT event_type, h, even - odd AS g FROM ({_HOURS}) WHERE even IS NOT NULL AND odd IS NOT NULL),
     n AS (SELECT *, coalesce((g > 0) <> lag(g > 0) OVER w, true) AS new, lead(h) OVER w AS nh, lead(g) OVER w AS ng FROM g WINDOW w AS (PARTITION BY event_type ORDER BY h)),

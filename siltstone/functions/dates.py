@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .numeric import finite
 
-#: A column is one of dates when so many of its non-null texts are.
-LEAST_SHARE = 0.8
-
 
 def parse_datetime(text: Column) -> Column:
     """A text as a timestamp: a bare date is midnight in the session's zone; ISO dates and times with or without a zone; fractions
@@ -28,7 +25,7 @@ def timestamp_of_number(value: Column) -> Column:
 
 
 def infer_kind(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, n_dates, kind: `date` where texts are bare dates, `datetime` where they are dates with or without a time, else null."""
+    """column, n, n_dates, kind: `datetime` as soon as one text has a time of day, `date` where there are bare dates only, else null."""
     aggs = []
     for c in columns:
         text = F.col(f"`{c}`").cast("string")
@@ -36,15 +33,30 @@ def infer_kind(df: DataFrame, columns: list[str]) -> DataFrame:
         aggs += [F.count(text).alias(f"{c}__n"), F.count_if(parsed).alias(f"{c}__d"), F.count_if(parsed & text.rlike(r"^\s*\d{4}-\d{2}-\d{2}\s*$")).alias(f"{c}__b")]
     parts = [F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}__{k}`").alias(a) for k, a in (("n", "n"), ("d", "n_dates"), ("b", "n_bare"))]) for c in columns]
     rows = df.agg(*aggs).select(F.explode(F.array(*parts)).alias("x")).select("x.*")
-    kind = F.when((F.col("n") > 0) & (F.col("n_bare") >= LEAST_SHARE * F.col("n")), "date").when((F.col("n") > 0) & (F.col("n_dates") >= LEAST_SHARE * F.col("n")), "datetime")
+    kind = F.when(F.col("n_dates") > F.col("n_bare"), "datetime").when(F.col("n_bare") > 0, "date")
     return rows.select("column", "n", "n_dates", kind.alias("kind"))
 
 
 def since(then: Column, now: Column, units: int = 3) -> Column:
-    """The time between two timestamps in up to `units` units: years of 365 days, months of 30 days, d, h, min, s; `0s` for none."""
-    left, parts = F.abs(F.unix_seconds(now) - F.unix_seconds(then)), []
-    for name, size in (("y", 31_536_000), ("mo", 2_592_000), ("d", 86_400), ("h", 3_600), ("min", 60), ("s", 1)):
-        parts.append(F.when(F.floor(left / size) > 0, F.concat(F.floor(left / size).cast("string"), F.lit(name))))
+    """How long ago, or from now: whole minutes in up to `units` units: years of 365 days, months of 30, w, d, h, m.
+
+    Units that are 0 are left out, but for the minutes (`0m ago`); null where a time is.
+    """
+    apart = F.unix_millis(now) - F.unix_millis(then)
+    left, parts = F.floor(F.abs(apart) / 60_000), []
+    for name, size in (("y", 525_600), ("mo", 43_200), ("w", 10_080), ("d", 1_440), ("h", 60), ("m", 1)):
+        value = F.floor(left / size)
+        parts.append(F.when((value > 0) | F.lit(name == "m"), F.concat(value.cast("string"), F.lit(name))))
         left = left % size
-    found = F.slice(F.array_compact(F.array(*parts)), 1, units)
-    return F.when(then.isNotNull() & now.isNotNull(), F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise("0s"))
+    words = F.array_join(F.slice(F.array_compact(F.array(*parts)), 1, units), " ")
+    return F.when(apart >= 0, F.concat(words, F.lit(" ago"))).when(apart < 0, F.concat(words, F.lit(" from now")))
+
+
+def written(time: Column, mode: str = "datetime", now: Column | None = None) -> Column:
+    """A timestamp as text: `date`, `time` (to minutes), `datetime` in the session's zone, `iso` (UTC, milliseconds) or `relative` to `now`."""
+    if mode == "relative":
+        return since(time, F.current_timestamp() if now is None else now)
+    if mode == "iso":
+        utc = F.convert_timezone(None, F.lit("UTC"), time.cast("timestamp_ltz").cast("timestamp_ntz"))
+        return F.date_format(utc.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.date_format(time, {"date": "yyyy-MM-dd", "time": "HH:mm", "datetime": "yyyy-MM-dd HH:mm"}[mode])

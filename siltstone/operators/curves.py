@@ -43,6 +43,30 @@ def monotone_tangents(series: DataFrame, group: str, x: str, y: str) -> DataFram
     return here.select(group, x, y, tangent.alias("tangent"))
 
 
+def evaluate(series: DataFrame, places: DataFrame, group: str, x: str, y: str, kind: str = "monotone") -> DataFrame:
+    """group, x, y at each place: the `monotone` cubic, or steps that hold the last knot (`after`), the next (`before`) or switch midway (`step`).
+
+    A knot's own place has its value. Beyond the ends the curve is held flat; without any knot it is null. Of knots at one x
+    the largest y counts; knots without x or y are left out.
+    """
+    knots = series.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(group, x).agg(F.max(y).cast("double").alias(y))
+    sloped = monotone_tangents(knots, group, x, y) if kind == "monotone" else knots.withColumn("tangent", F.lit(0.0))
+    marked = sloped.select(group, x, F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.col("tangent").alias("t")).alias("_k"), F.lit(0).alias("_asked"))
+    asked = places.select(group, x).distinct().select(group, x, F.lit(None).cast(marked.schema["_k"].dataType).alias("_k"), F.lit(1).alias("_asked"))
+    order = Window.partitionBy(group).orderBy(x, "_asked")
+    before = F.last("_k", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_k", True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    out = marked.unionByName(asked).withColumn("_a", before).withColumn("_b", after).where("_asked = 1")
+    a, b, width = F.col("_a"), F.col("_b"), F.col("_b.x") - F.col("_a.x")
+    f = (F.col(x) - a["x"]) / width
+    g, third = 1 - f, width / 3
+    inside = {
+        "monotone": g * g * g * a["y"] + 3 * g * g * f * (a["y"] + third * a["t"]) + 3 * g * f * f * (b["y"] - third * b["t"]) + f * f * f * b["y"],
+        "after": a["y"], "before": b["y"], "step": F.when(f < 0.5, a["y"]).otherwise(b["y"]),
+    }[kind]
+    return out.select(group, x, F.when(a.isNull(), b["y"]).when(b.isNull() | (a["x"] == F.col(x)), a["y"]).otherwise(inside).alias(y))
+
+
 def fill_segments(series: DataFrame, group: str, x: str, upper: str, lower: str) -> DataFrame:
     """group, segment, start, end, points, area of the stretches in which `upper` lies above `lower`; single points are left out."""
     w = Window.partitionBy(group).orderBy(x)

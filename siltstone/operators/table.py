@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
 from ..functions import text as T
 
 
@@ -123,6 +124,63 @@ def discover_columns(df: DataFrame, text: str, order: str) -> DataFrame:
     return out.withColumn("kind", kind)
 
 
+def extract_columns(df: DataFrame, text: str, order: str) -> DataFrame:
+    """column, first, place, n, n_numeric, n_string, kind: the columns of rows written as JSON objects.
+
+    All rows are read. `first` is the least `order` of a row with the key, `place` its position there. A value's JSON type
+    decides: n counts values that are not null, and the kind is numeric or string where 80 % of these are, else mixed. Texts that
+    are null or no object have no columns. Counts are combined before the shuffle; a row is a key, however many rows have it.
+    """
+    pairs = df.select(F.col(order).alias("_at"), F.posexplode(F.from_json(text, "map<string, variant>")).alias("_place", "column", "_value"))
+    typed = pairs.withColumn("_type", F.schema_of_variant("_value"))
+    valid, number = F.col("_type") != "VOID", F.col("_type").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    counts = [F.min(F.struct("_at", "_place")).alias("_x"), F.count_if(valid).alias("n"), F.count_if(number).alias("n_numeric"), F.count_if(F.col("_type") == "STRING").alias("n_string")]
+    found = typed.groupBy("column").agg(*counts)
+    enough = F.col("n") * F.lit(8)
+    kind = F.when((F.col("n") > 0) & (F.col("n_numeric") * 10 >= enough), "numeric").when((F.col("n") > 0) & (F.col("n_string") * 10 >= enough), "string").otherwise("mixed")
+    return found.select("column", F.col("_x._at").alias("first"), F.col("_x._place").cast("long").alias("place"), "n", "n_numeric", "n_string", kind.alias("kind"))
+
+
+#: Names by which a column takes an axis.
+AXIS_NAMES = {
+    "x": ("x", "time", "step", "index", "iteration", "frame", "epoch"),
+    "y": ("y", "energy", "value", "force", "stress", "loss", "score"),
+    "z": ("z", "altitude", "depth", "height"),
+}
+
+
+def suggest_axes(columns: DataFrame) -> DataFrame:
+    """One row: plot, x, y, z, color (names of columns or null) for the table of `extract_columns`.
+
+    x is the first numeric column named like one, else the first text that isn't named like a y, else the first of two or more
+    numbers; y the first other number named like one, else the first other number; z a third number named like one; color the
+    first number left. A z gives a scatter3d, a text as x a bar, a single number a histogram (as its x), nothing a table.
+    """
+    known = cut(columns.select("column", "kind", F.struct("first", "place", "column").alias("_order")))
+    name, numeric, is_text = F.col("column"), F.col("kind") == "numeric", F.col("kind") == "string"
+    named = {axis: F.lower("column").isin(*names) for axis, names in AXIS_NAMES.items()}
+
+    def first(condition):
+        return F.min_by(F.when(condition, name), F.when(condition, F.col("_order")))
+
+    def following(chosen: DataFrame, *picks) -> DataFrame:
+        """The chosen axes and those picked next from the columns left; one row is joined to all columns."""
+        axes = [F.first(c).alias(c) for c in chosen.columns]
+        return known.join(F.broadcast(chosen)).agg(*axes, *picks)  # chosen is one row
+
+    x = F.coalesce(first(numeric & named["x"]), first(is_text & ~named["y"]), F.when(F.count_if(numeric) >= 2, first(numeric)))
+    chosen = known.agg(x.alias("x"), F.count_if(numeric).alias("numbers"), F.max(F.when(is_text, 1)).alias("_texts"))
+    left = numeric & ~name.eqNullSafe(F.col("x"))
+    chosen = following(chosen, F.coalesce(first(left & named["y"]), first(left)).alias("y"))
+    left = left & ~name.eqNullSafe(F.col("y"))
+    chosen = following(chosen, F.when(F.first("numbers") >= 3, first(left & named["z"])).alias("z"))
+    left = left & ~name.eqNullSafe(F.col("z"))
+    chosen = following(chosen, first(left).alias("color"), first(numeric).alias("_number"), F.max(F.when(name == F.col("x"), F.col("kind"))).alias("_x"))
+    lacks = F.col("x").isNull() | F.col("y").isNull()
+    plot = F.when(F.col("z").isNotNull(), "scatter3d").when(F.col("_x") == "string", "bar").when(lacks & (F.col("numbers") >= 1), "histogram").when(lacks, "table").otherwise("scatter")
+    return chosen.select(plot.alias("plot"), F.when(plot == "histogram", F.coalesce("x", "y", "_number")).otherwise(F.col("x")).alias("x"), "y", "z", "color")
+
+
 def suggest_roles(df: DataFrame, names: dict[str, list[str]]) -> dict[str, str]:
     """The column for each role: the first whose name is in the role's list, else the first numeric one that no role has yet."""
     lower, numeric = {c.lower(): c for c in df.columns}, [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint") or t.startswith("decimal")]

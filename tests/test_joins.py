@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone import joins, storage
 from siltstone.functions import dates
@@ -122,3 +123,30 @@ def test_quantiles_whichever_way(spark, monkeypatch, room):
     got = {r.g: (r.q0, r.q1, r.q2) for r in joins.quantiles(df, "g", "v", [0.05, 0.5, 1.0]).collect()}
     want = {g: tuple(np.quantile([v for h, v in rows if h == g], [0.05, 0.5, 1.0])) for g in ("hot", "one", "ties")}
     assert got == {g: pytest.approx(q) for g, q in want.items()}
+
+
+def test_times_in_words(spark):
+    import datetime as dt
+
+    now = dt.datetime(2024, 3, 1, 12)
+    cases = {0: "0m ago", 59: "0m ago", 60: "1m ago", 7500: "2h 5m ago", 7200: "2h 0m ago", 86400 * 8: "1w 1d 0m ago", -86400 * 3: "3d 0m from now", 86400 * 400 + 3600 * 2 + 300: "1y 1mo 5d ago", -30: "0m from now"}
+    rows = spark.createDataFrame([(s, now - dt.timedelta(seconds=s), now) for s in cases] + [(None, None, now)], "s int, then timestamp, now timestamp")
+    got = {r.s: r.age for r in rows.select("s", dates.since(F.col("then"), F.col("now")).alias("age")).collect()}
+    assert got == cases | {None: None}
+    assert rows.where("s = 60").select(dates.written(F.col("then"), "iso"), dates.written(F.col("then"), "time"), dates.written(F.col("then"), "relative", F.col("now"))).first() == ("2024-03-01T11:59:00.000Z", "11:59", "1m ago")
+
+
+def test_one_time_of_day_makes_a_column_of_times(spark):
+    rows = spark.createDataFrame([("2024-01-02", "2024-01-02", "x"), ("2024-01-03 10:00", "no date", None), (None, None, "12")], "a string, b string, c string")
+    assert {r.column: r.kind for r in dates.infer_kind(rows, ["a", "b", "c"]).collect()} == {"a": "datetime", "b": "date", "c": None}
+
+
+def test_curves_at_places(spark):
+    knots = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, 1.0), ("a", 3.0, 5.0), ("a", 3.0, 4.0), ("b", 1.0, 7.0), ("c", None, 1.0)], "g string, x double, y double")
+    places = spark.createDataFrame([(g, x) for g in "abcd" for x in (-1.0, 0.5, 1.0, 1.9, 2.5, 9.0)], "g string, x double")
+    for kind, want in {"step": [0, 1, 1, 1, 5, 5], "after": [0, 0, 1, 1, 1, 5], "before": [0, 1, 1, 5, 5, 5]}.items():
+        got = {(r.g, r.x): r.y for r in curves.evaluate(knots, places, "g", "x", "y", kind).collect()}
+        assert [got["a", x] for x in (-1.0, 0.5, 1.0, 1.9, 2.5, 9.0)] == want
+        assert {got["b", x] for x in (-1.0, 1.0, 9.0)} == {7.0} and {got[g, 0.5] for g in "cd"} == {None}
+    got = [r.y for r in curves.evaluate(knots, places.where("g = 'a'"), "g", "x", "y").orderBy("x").collect()]
+    assert got == sorted(got) and got[2] == 1.0 and 0 < got[1] < 1 < got[3] < got[4] < 5
