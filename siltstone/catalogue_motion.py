@@ -1,13 +1,13 @@
-"""Registered queries of spectra, correlations, bond orders and formula patterns."""
+"""Registered queries of spectra, correlations, formula patterns, bond orders and pair distributions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .catalogue import _FRAMES, ORACLE_SQL, QUERIES, _events, _frames, load, query, rounded
+from .catalogue import _FRAMES, _PAIRS, ORACLE_SQL, QUERIES, _events, _frames, _sites, load, query, rounded
 from .operators import bond_orders as bond_order
-from .operators import motion, patterns, spectral, transform
+from .operators import distributions, motion, pairs, patterns, spectral, transform
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -179,3 +179,46 @@ def bond_orders(spark, d):
     bonds = bonds.unionByName(chain.where(ring).select(at.alias("a"), (at + 16).alias("b")))
     bonds = bonds.unionByName(made.where(~ring).select(F.inline(F.array(F.struct(F.col("base").alias("a"), (F.col("base") + 16).alias("b")), F.struct((F.col("base") + F.col("n") - 1).alias("a"), (F.col("base") + 17).alias("b"))))))
     return bond_order.perceive(atoms.unionByName(ends), bonds).select("a", "b", "order", "aromatic", "perceived")
+
+
+# --- partial and total pair distributions ---
+
+_LENGTHS = {"A": 1.0, "B": 2.5, "C": -0.5}
+_PARTS = _PAIRS + """
+    , t AS (SELECT "group", site, substr('ABC', (site % 3)::INTEGER + 1, 1) AS e FROM s),
+    c AS (SELECT "group", e, count(*)::DOUBLE AS n FROM t GROUP BY 1, 2),
+    m AS (SELECT "group", sum(n) AS total FROM c GROUP BY 1),
+    h AS (SELECT p."group", a.e AS a, b.e AS b, floor(distance / 0.1 + 1e-9)::BIGINT AS bin, count(*)::DOUBLE AS n FROM p JOIN t a ON a."group" = p."group" AND a.site = p.site JOIN t b ON b."group" = p."group" AND b.site = p.other
+        WHERE distance > 0 AND a.e <= b.e GROUP BY 1, 2, 3, 4),
+    f AS (SELECT x."group", x.e AS a, y.e AS b, k.range AS bin, (k.range + 0.5)::DOUBLE * 0.1 AS r, coalesce(h.n, 0) AS n, x.n AS na, y.n AS nb, total,
+            coalesce(h.n, 0) * 64 / (x.n * y.n * 4 / 3 * pi() * ((0.1 * (k.range + 1)) ** 3 - (0.1 * k.range) ** 3)) AS g
+        FROM c x JOIN c y ON y."group" = x."group" AND x.e <= y.e JOIN m ON m."group" = x."group" CROSS JOIN range(8) k LEFT JOIN h ON h."group" = x."group" AND h.a = x.e AND h.b = y.e AND h.bin = k.range)
+"""
+
+
+def _parts(spark, d):
+    sites = _sites(spark, d).withColumn("element", _pick(("A", "B", "C"), F.col("site")))
+    cells = sites.select("group").distinct().withColumn("volume", F.lit(64.0))
+    return distributions.partials(pairs.radius_pairs(sites, 0.8), sites, cells, 0.8, 8)
+
+
+@query(_PARTS + """SELECT "group", a, b, bin, round(r, 6) AS r, n, round(g, 6) AS g, round(4 * pi() * r * (total / 64) * (g - 1), 6) AS reduced FROM f""")
+def partial_distributions(spark, d):
+    found = _parts(spark, d).withColumn("reduced", distributions.reduced(F.col("r"), F.col("g"), F.col("all_atoms") / F.col("volume")))
+    return rounded(found.select("group", "a", "b", "bin", "r", "n", "g", "reduced"))
+
+
+@query(_PARTS + """
+    , l(e, l) AS (VALUES ('A', 1.0::DOUBLE), ('B', 2.5), ('C', -0.5)),
+    w AS (SELECT c."group", sum(n / total * l) AS mean FROM c JOIN m USING ("group") JOIN l USING (e) GROUP BY 1),
+    g AS (SELECT f."group", bin, any_value(r) AS r, any_value(total) AS total, sum(g * CASE WHEN a = b THEN 1 ELSE 2 END * na / total * nb / total * x.l * y.l / mean ** 2) AS g FROM f JOIN w USING ("group") JOIN l x ON x.e = a JOIN l y ON y.e = b GROUP BY 1, 2)
+    SELECT "group", bin, round(r, 6) AS r, round(g, 6) AS g, round(4 * pi() * r * (total / 64) * (g - 1), 6) AS reduced FROM g
+""")
+def total_distribution(spark, d):
+    lengths = spark.createDataFrame(list(_LENGTHS.items()), "element string, length double")
+    return rounded(distributions.total(_parts(spark, d), lengths))
+
+
+@query(_PARTS + """SELECT "group", a, b, round(sum(CASE WHEN r >= 0.2 AND r < 0.6 THEN 4 * pi() * r * r * nb / 64 * g * 0.1 ELSE 0 END), 6) AS neighbours FROM f GROUP BY 1, 2, 3""")
+def shell_coordination(spark, d):
+    return rounded(distributions.coordination(_parts(spark, d), 0.1, 0.2, 0.6))
