@@ -4,11 +4,12 @@ import itertools
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone import joins, storage
+from siltstone import catalogue, joins, storage
 from siltstone.functions import dates
 from siltstone.operators import curves, graph, thermo
 
@@ -141,6 +142,16 @@ def test_one_time_of_day_makes_a_column_of_times(spark):
     assert {r.column: r.kind for r in dates.infer_kind(rows, ["a", "b", "c"]).collect()} == {"a": "datetime", "b": "date", "c": None}
 
 
+def test_kinds_of_dates_count_rows_without_a_key_and_repeated_ones(spark, tmp_path):
+    orders = f"{tmp_path}/orders.parquet"
+    keys = [0, 1, 2, 3, 4, 4, 5, 5, 5, None, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").selectExpr("o_orderkey", "timestamp_ntz'2024-01-02' AS o_orderdate", "'1-URGENT' AS o_orderpriority").write.parquet(orders)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW orders AS SELECT * FROM '{orders}/*.parquet'")
+    got = {tuple(r) for r in catalogue.QUERIES["infer_date_columns"](spark, str(tmp_path)).collect()}
+    assert got == {("mixed", 11, 8, "datetime"), ("bare", 11, 11, "date"), ("priority", 11, 0, None)} == set(db.sql(catalogue.ORACLE_SQL["infer_date_columns"]).fetchall())
+
+
 def test_curves_at_places(spark):
     knots = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, 1.0), ("a", 3.0, 5.0), ("a", 3.0, 4.0), ("b", 1.0, 7.0), ("c", None, 1.0)], "g string, x double, y double")
     places = spark.createDataFrame([(g, x) for g in "abcd" for x in (-1.0, 0.5, 1.0, 1.9, 2.5, 9.0)], "g string, x double")
