@@ -32,25 +32,31 @@ def lattice_parameters(cells: DataFrame, key: str) -> DataFrame:
     return cells.select(key, *[v.alias(k) for k, v in (size | angles).items()], F.abs(N.volume([a, b, c])).alias("volume"))
 
 
-def reciprocal(cells: DataFrame, key: str) -> DataFrame:
-    """The reciprocal vectors with a* . a = 1, in columns named as the cell's."""
+def _reciprocal() -> list[Column]:
     a, b, c = map(_vector, AXES)
     v = N.volume([a, b, c])
     made = zip(AXES, (_cross(b, c), _cross(c, a), _cross(a, b)), strict=True)
-    return cells.select(key, *[(x / v).alias(f"{name}{k}") for name, vector in made for k, x in zip("xyz", vector, strict=True)])
+    return [(x / v).alias(f"{name}{k}") for name, vector in made for k, x in zip("xyz", vector, strict=True)]
+
+
+def reciprocal(cells: DataFrame, key: str) -> DataFrame:
+    """The reciprocal vectors with a* . a = 1, in columns named as the cell's."""
+    return cells.select(key, *_reciprocal())
 
 
 def reflections(cells: DataFrame, key: str, wavelength: float, two_theta: tuple[float, float] = (0.0, 90.0)) -> DataFrame:
-    """key, h, k, l, g (1 / d), two_theta of all reciprocal points in the range of angles."""
+    """key, h, k, l, g (1 / d), two_theta of all reciprocal points in the range of angles.
+
+    A cell's points are made and kept or dropped in the row of its reciprocal vectors, so no cell meets another and nothing is shuffled.
+    """
     from math import radians, sin
 
     most = 2 * sin(radians(two_theta[1] / 2)) / wavelength
     least = 2 * sin(radians(two_theta[0] / 2)) / wavelength
     lengths = [F.sqrt(_dot(_vector(x), _vector(x))) for x in AXES]
-    bounded = cells.select(key, *[(F.ceil(size * most) + 1).cast("int").alias(f"n{x}") for x, size in zip(AXES, lengths, strict=True)])
+    points = cells.select(key, *_reciprocal(), *[(F.ceil(size * most) + 1).cast("int").alias(f"n{x}") for x, size in zip(AXES, lengths, strict=True)])
     for n, x in zip("hkl", AXES, strict=True):
-        bounded = bounded.withColumn(n, F.explode(F.sequence(-F.col(f"n{x}"), F.col(f"n{x}"))))
-    points = bounded.select(key, "h", "k", "l").join(reciprocal(cells, key), key)
+        points = points.withColumn(n, F.explode(F.sequence(-F.col(f"n{x}"), F.col(f"n{x}")))).drop(f"n{x}")
     g = [F.col("h") * F.col(f"a{x}") + F.col("k") * F.col(f"b{x}") + F.col("l") * F.col(f"c{x}") for x in "xyz"]
     points = points.select(key, "h", "k", "l", F.sqrt(_dot(g, g)).alias("g")).where((F.col("g") > 1e-12) & F.col("g").between(least, most))
     return points.withColumn("two_theta", 2 * F.degrees(F.asin(F.col("g") * wavelength / 2)))
