@@ -63,8 +63,11 @@ def reflections(cells: DataFrame, key: str, wavelength: float, two_theta: tuple[
 
 
 def structure_factors(points: DataFrame, sites: DataFrame, key: str, weight: str = "weight") -> DataFrame:
-    """Each reflection with |F|^2: a sum over the sites (fractional u, v, w) of its cell, combined before the shuffle."""
-    joined = points.join(sites.select(key, "u", "v", "w", weight), key)
+    """Each reflection with |F|^2: a sum over the sites (fractional u, v, w) of its cell, combined before the shuffle.
+
+    Both sides grow by explode(), which Spark's estimates leave out, so neither may be taken for small and broadcast.
+    """
+    joined = points.join(sites.select(key, "u", "v", "w", weight).hint("merge"), key)
     phase = 2 * pi * (F.col("h") * F.col("u") + F.col("k") * F.col("v") + F.col("l") * F.col("w"))
     sums = joined.groupBy(key, "h", "k", "l").agg(F.first("g").alias("g"), F.first("two_theta").alias("two_theta"), F.sum(F.col(weight) * F.cos(phase)).alias("re"), F.sum(F.col(weight) * F.sin(phase)).alias("im"))
     return sums.select(key, "h", "k", "l", "g", "two_theta", (F.col("re") ** 2 + F.col("im") ** 2).alias("f2"))
