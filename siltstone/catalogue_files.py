@@ -70,7 +70,9 @@ def lammps_file(spark, d):
 
 @query(_ATOMS_SQL)
 def pdb_file(spark, d):
-    line = F.format_string("ATOM  %5d %-4s RES A%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s", "site", "element", "site", "x", "y", "z", "element")
+    # the columns of serial and residue numbers hold five and four digits; beyond, they begin anew
+    serial, residue = F.col("site") % 100_000, F.col("site") % 10_000
+    line = F.format_string("ATOM  %5d %-4s RES A%4d    %8.3f%8.3f%8.3f  1.00  0.00          %2s", serial, "element", residue, "x", "y", "z", "element")
     return _back(_text(_sites(spark, d), ["HEADER    structure"], line, ["END"]), lambda p: formats.read_atoms(spark, p, "pdb"), *_ATOM)
 
 
