@@ -41,8 +41,8 @@ def _back(texts: DataFrame, read: Callable[[str], DataFrame], *columns: str) ->
     return rounded(found)
 
 
-def _text(sites: DataFrame, head: list[str | Column], line: Column, foot: list[str] = ()) -> DataFrame:
-    """name, value: head lines, a line a site in order, foot lines; `n` is the number of sites."""
+def _text(sites: DataFrame, head: list[str | Column], line: Column, foot: list[str | Column] = ()) -> DataFrame:
+    """name, value: head lines, a line a site in order, foot lines; `n` is the number of sites. Null lines are left out."""
     grouped = sites.groupBy("name").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("site", line.alias("line")))).alias("rows"))
     parts = [x if isinstance(x, Column) else F.lit(x) for x in head]
     return grouped.select("name", F.concat_ws("\n", *parts, F.transform("rows", lambda r: r["line"]), *map(F.lit, foot)).alias("value"))
@@ -78,9 +78,17 @@ def pdb_file(spark, d):
 
 @query(_ATOMS_SQL)
 def mol_file(spark, d):
-    head = [F.col("name"), "", "", F.format_string("%3d  0  0  0  0  0  0  0  0  0999 V2000", "n")]
-    line = F.format_string("%10.4f%10.4f%10.4f %-3s 0  0", "x", "y", "z", "element")
-    return _back(_text(_sites(spark, d), head, line, ["M  END"]), lambda p: formats.read_atoms(spark, p, "mol"), *_ATOM)
+    # a V2000 count has three digits; larger molecules are V3000
+    large = F.col("n") > 999
+    sites = _sites(spark, d)
+    sites = sites.join(sites.groupBy("name").agg(F.count("*").alias("n")), "name")
+    counts = F.when(large, "  0  0  0     0  0            999 V3000").otherwise(F.format_string("%3d  0  0  0  0  0  0  0  0  0999 V2000", "n"))
+    opening = F.when(large, F.format_string("M  V30 BEGIN CTAB\nM  V30 COUNTS %d 0 0 0 0\nM  V30 BEGIN ATOM", "n"))
+    closing = F.when(large, "M  V30 END ATOM\nM  V30 END CTAB")
+    short = F.format_string("%10.4f%10.4f%10.4f %-3s 0  0", "x", "y", "z", "element")
+    line = F.when(large, F.format_string("M  V30 %d %s %.4f %.4f %.4f 0", F.col("site") + 1, "element", "x", "y", "z")).otherwise(short)
+    texts = _text(sites, [F.col("name"), "", "", counts, opening], line, [closing, "M  END"])
+    return _back(texts, lambda p: formats.read_atoms(spark, p, "mol"), *_ATOM)
 
 
 @query(_ATOMS_SQL)
