@@ -87,12 +87,12 @@ def gas_corrected(entries: DataFrame, gases: DataFrame, temperature: float) -> D
 def stability_domains(entries: DataFrame, system: str, entry: str, components: list[str], energy: str, low: float = -10.0) -> DataFrame:
     """system, entry, mu_...: the corners of each entry's domain of chemical potentials within low <= mu <= 0.
 
-    The domains bound the region sum x_i mu_i <= e of all entries. Entries above the hull of their system bound nothing, so only the
-    corners of its hull are cut with each other and with the box, as many at a time as there are components.
+    The domains bound the region sum x_i mu_i <= e of all entries. Entries above the hull of their system bound nothing, so only those
+    on its hull, also within its faces, are cut with each other and with the box, as many at a time as there are components.
     """
     kinds, d = dict(entries.dtypes), len(components)
     facets = thermo.sections(entries, system, entry, components, energy)
-    corners = facets.select("system", F.explode(F.flatten(F.transform("facets", lambda f: f["corners"]))).alias("c")).where("c.entry IS NOT NULL")
+    corners = facets.select("system", F.explode(F.flatten("faces")).alias("c")).where("c.entry IS NOT NULL")
     stable = corners.select(F.col("system").alias(system), F.col("c.entry").alias(entry), *(F.col("c.x")[k].alias(c) for k, c in enumerate(components)), F.col("c.e").alias(energy)).distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
