@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,11 +46,19 @@ def savitzky_golay(df: DataFrame, series: str, order: list[str], value: str, win
     return df.withColumn(out, F.when(F.abs(weight) > 1e-12, total / weight).otherwise(F.col(value)))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What `then` makes of a value that is worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def _median(values: Column) -> Column:
-    """The median of an array of numbers."""
-    s, n = F.array_sort(values), F.size(values)
-    middle = F.floor(n / 2).cast("int")
-    return F.when(n % 2 == 1, F.get(s, middle)).otherwise((F.get(s, middle - 1) + F.get(s, middle)) / 2)
+    """The median of an array of numbers without nulls."""
+
+    def middle(s: Column) -> Column:
+        n, at = F.size(s), F.floor(F.size(s) / 2).cast("int")
+        return F.when(n % 2 == 1, F.get(s, at)).otherwise((F.get(s, at - 1) + F.get(s, at)) / 2)
+
+    return _once(F.sort_array(values), middle)
 
 
 def local_outliers(df: DataFrame, series: str, order: list[str], value: str, half: int = 7, threshold: float = 2.0) -> DataFrame:
@@ -59,10 +69,10 @@ def local_outliers(df: DataFrame, series: str, order: list[str], value: str, hal
     """
     w = Window.partitionBy(series).orderBy(*order)
     near = F.concat(F.collect_list(value).over(w.rowsBetween(-half, -1)), F.collect_list(value).over(w.rowsBetween(1, half)))
-    rows = df.withColumn("near", near).withColumn("median", _median(F.col("near")))
-    rows = rows.withColumn("mad", _median(F.transform("near", lambda x: F.abs(x - F.col("median")))))
-    flagged = (F.size("near") == 2 * half) & (F.col("mad") > 0) & (F.abs(F.col(value) - F.col("median")) > threshold * F.col("mad"))
-    return rows.withColumn("is_outlier", F.coalesce(flagged, F.lit(False))).drop("near")
+    far = lambda x, m, mad: (mad > 0) & (F.abs(x - m) > threshold * mad)
+    judged = _once(near, lambda n: _once(_median(n), lambda m: _once(_median(F.transform(n, lambda x: F.abs(x - m))), lambda mad: F.struct(m.alias("median"), mad.alias("mad"), ((F.size(n) == 2 * half) & far(F.col(value), m, mad)).alias("far")))))
+    rows = df.withColumn("_judged", judged)
+    return rows.withColumns({"median": F.col("_judged.median"), "mad": F.col("_judged.mad"), "is_outlier": F.coalesce("_judged.far", F.lit(False))}).drop("_judged")
 
 
 def apply_bounds(df: DataFrame, value: str, low: float, high: float, mode: str = "clamp", out: str = "bounded") -> DataFrame:
@@ -75,13 +85,16 @@ def apply_bounds(df: DataFrame, value: str, low: float, high: float, mode: str =
 
 
 def interpolate_gaps(df: DataFrame, series: str, order: list[str], value: str, out: str = "filled") -> DataFrame:
-    """Missing values by linear interpolation over the row index; ends hold the nearest value, an empty series is 0."""
+    """Missing values by linear interpolation over the row index; ends hold the nearest value, an empty series is 0.
+
+    The value ahead is the last one in reverse order: a frame that starts at the row and is open at the end is read anew for every row.
+    """
     w = Window.partitionBy(series).orderBy(*order)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = (x.rowsBetween(Window.unboundedPreceding, 0) for x in (w, Window.partitionBy(series).orderBy(F.col("_i").desc())))
     v = N.finite(F.col(value))
     rows = df.withColumn("_i", F.row_number().over(w)).withColumn("_v", v).withColumn("_j", F.when(v.isNotNull(), F.col("_i")))
     last = lambda c: F.last(c, True).over(back)
-    next_ = lambda c: F.first(c, True).over(ahead)
+    next_ = lambda c: F.last(c, True).over(ahead)
     rows = rows.withColumns({"_a": last("_v"), "_p": last("_j"), "_b": next_("_v"), "_q": next_("_j")})
     line = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_i") - F.col("_p")) / (F.col("_q") - F.col("_p"))
     filled = F.coalesce("_v", F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), line), "_a", "_b", F.lit(0.0))
