@@ -167,7 +167,7 @@ def centrosymmetry(spark, d):
     SELECT p."group", p.site, p.other, coalesce(n_common, 0) AS n_common, coalesce(n_bonds, 0) AS n_bonds FROM p LEFT JOIN n USING ("group", site, other) LEFT JOIN e USING ("group", site, other)
 """)
 def common_neighbours(spark, d):
-    return crystal.common_neighbours(pairs.radius_pairs(_sites(spark, d), 0.8))
+    return pairs.common_neighbours(_sites(spark, d), 0.8)
 
 
 # --- volumes: a gyroid-like field of 12 by 10 by 8 points for each region ---
