@@ -261,7 +261,7 @@ def parent_levels(spark, d):
 """)
 def fragments(spark, d):
     sites = _sites(spark, d)
-    return graph.fragments(pairs.radius_pairs(sites, 0.8), sites, "site", "other")
+    return pairs.clusters(sites, 0.8)
 
 
 @query("""
